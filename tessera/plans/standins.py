@@ -65,3 +65,28 @@ def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_cte(name: str = "dirty") -> str:
     """``WITH dirty AS (...)`` prefix for DuckDB oracles."""
     return f"WITH {name} AS (\n{dirty_lineitem_sql('duckdb')}\n)"
+
+
+# ------------------------------------------------------------------ order features
+ORDER_FEATURES = ["n_lines", "sum_qty", "sum_price", "avg_disc", "o_totalprice"]
+
+ORDER_FEATURES_SQL = """order_features AS (
+  SELECT o.o_orderkey, CAST(s.n_lines AS DOUBLE) AS n_lines, s.sum_qty, s.sum_price, s.avg_disc, o.o_totalprice
+  FROM orders o JOIN (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS sum_qty,
+                             sum(l_extendedprice) AS sum_price, avg(l_discount) AS avg_disc
+                      FROM lineitem GROUP BY l_orderkey) s ON o.o_orderkey = s.l_orderkey)"""
+
+
+def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order numeric features: lineitem aggregated by order, joined to orders.
+    Both sides are partitioned on the order key, so the aggregate's shuffle is reused
+    by the join."""
+    from pyspark.sql import functions as F
+    li = load_table(spark, sf_dir, "lineitem")
+    o = load_table(spark, sf_dir, "orders")
+    s = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("double").alias("n_lines"),
+                                     F.sum("l_quantity").alias("sum_qty"),
+                                     F.sum("l_extendedprice").alias("sum_price"),
+                                     F.avg("l_discount").alias("avg_disc"))
+    return (o.join(s, o.o_orderkey == s.l_orderkey, "inner")
+            .select("o_orderkey", "n_lines", "sum_qty", "sum_price", "avg_disc", "o_totalprice"))
