@@ -44,10 +44,11 @@ def lower_bound(cuts: Column, v: Column, max_len: int) -> Column:
 
 def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: list[str] | None = None,
                    buckets: int | None = None, accuracy: int | None = None,
-                   tiebreak: list[str] | None = None) -> DataFrame:
+                   tiebreak: list[str] | None = None, bucket_col: str | None = None) -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over rows of the same ``by`` group that come
     strictly before in (``order_col``, ``tiebreak``...) order.  Without ``tiebreak``,
-    ``counts`` must hold one row per (by, order value)."""
+    ``counts`` must hold one row per (by, order value).  ``bucket_col`` supplies a
+    precomputed bucket that is monotone in the order (skips the quantile pass)."""
     by = list(by or [])
     spark = counts.sparkSession
     if buckets is None:
@@ -56,7 +57,9 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
     probs = [i / buckets for i in range(1, buckets)]
     v = F.col(order_col)
 
-    if buckets > 1:
+    if bucket_col is not None:
+        tagged = counts.withColumn("_bucket", F.col(bucket_col))
+    elif buckets > 1:
         cuts = counts.groupBy(*by).agg(
             F.array_sort(F.array_distinct(F.percentile_approx(v, probs, accuracy))).alias("_cuts"))
         if by:
