@@ -48,7 +48,7 @@ sc AS (SELECT *, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS prediction FROM sc0)
 
 def scored_events(spark, sf_dir):
     ev = load_table(spark, sf_dir, "events")
-    return FIXED.transform(ev.select("event_id", "value", "ts",
+    return FIXED.transform(ev.select("event_id", "value", "ts", "user_id",
                                      (F.col("event_type") == "purchase").cast("int").alias("label")))
 
 
