@@ -7,7 +7,8 @@ from tessera.plans.common import ORACLES, QUERIES
 def load_all():
     # importing a module registers its queries
     from tessera.plans import cleaning  # noqa: F401
-    for mod in ("profiling", "correlation", "outliers", "modeling", "monitoring", "sources"):
+    for mod in ("profiling", "correlation", "outliers", "modeling", "monitoring", "neighbors", "training",
+                "sources", "streams"):
         try:
             __import__(f"tessera.plans.{mod}")
         except ModuleNotFoundError as exc:
