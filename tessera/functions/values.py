@@ -78,3 +78,9 @@ def uniform01(key: Column, seed: int | str, salt: str = "") -> Column:
 
 def md5_key(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+
+
+def to_datetime(c, formats=("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")) -> Column:
+    """Parse text to a timestamp trying each format; unparsable -> NULL (never raises)."""
+    c = _c(c)
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
