@@ -30,9 +30,13 @@ def missing_tokens(extra=()) -> list[str]:
                   {t.strip().lower() for t in extra})
 
 
+# every character str.strip() removes (Spark's trim only removes ' ')
+_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def trim_ws(c) -> Column:
-    """Strip leading/trailing Unicode whitespace (Spark's trim only strips ' ')."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing whitespace like Python's str.strip (no regex)."""
+    return F.btrim(_c(c), F.lit(_WHITESPACE))
 
 
 def null_if_token(c, tokens=None) -> Column:
@@ -48,9 +52,9 @@ def null_if_invalid(c, pattern: str = INVALID_PATTERN) -> Column:
     return F.when(t.rlike("(?i)" + pattern), F.lit(None).cast("string")).otherwise(t)
 
 
-def strict_double(c) -> Column:
+def strict_double(c, trimmed: bool = False) -> Column:
     """String -> double only for plain numeric text, else NULL (never raises)."""
-    t = trim_ws(c)
+    t = _c(c) if trimmed else trim_ws(c)
     return F.when(t.rlike(NUMERIC_PATTERN), t.try_cast("double"))
 
 

@@ -1,8 +1,9 @@
 """Table cleaning: names, trimming, missing tokens, numeric promotion, z-score masking,
 sparse-column drop, interval rules, row/column filters, feature preparation.
 
-``Cleaner.fit`` runs exactly three fused aggregate jobs over the table (promotion
-profile; mean/std of numeric columns; NULL ratio after masking) and returns a
+``Cleaner.fit`` runs exactly two fused aggregate jobs over the table (promotion
+profile together with mean/std of every candidate's parsed values; NULL ratio
+after masking - masking needs the statistics, so these two cannot merge) and returns a
 ``CleanerModel`` whose ``transform`` is a single lazy projection - so the same
 rules replay on new data (a later batch or a stream) without re-profiling.
 """
@@ -63,11 +64,16 @@ def rename_columns(df: DataFrame) -> DataFrame:
 
 
 def tokens_to_null(df: DataFrame, tokens=None, cols=None) -> DataFrame:
-    """C3+C4: trim string columns, missing tokens and '' -> NULL."""
+    """C3+C4: trim string columns, missing tokens and '' -> NULL.
+
+    Two projections on purpose: the token test references the trimmed value three
+    times, so it must read a column, not repeat the regex (Catalyst keeps the two
+    projections apart instead of duplicating a non-trivial expression)."""
     toks = tokens if tokens is not None else missing_tokens()
     cols = set(cols if cols is not None else string_columns(df))
-    return df.select(*[null_if_token(trim_ws(F.col(q(c))), toks).alias(c) if c in cols
-                       else F.col(q(c)) for c in df.columns])
+    trimmed = df.select(*[trim_ws(F.col(q(c))).alias(c) if c in cols else F.col(q(c)) for c in df.columns])
+    return trimmed.select(*[null_if_token(F.col(q(c)), toks).alias(c) if c in cols
+                            else F.col(q(c)) for c in df.columns])
 
 
 def promotion_profile(df: DataFrame, cols=None) -> DataFrame:
@@ -79,7 +85,7 @@ def promotion_profile(df: DataFrame, cols=None) -> DataFrame:
     for c in cols:
         aggs.append(F.struct(F.lit(c).alias("col"),
                              F.count(F.col(q(c))).alias("non_missing"),
-                             F.count(strict_double(F.col(q(c)))).alias("parsed")))
+                             F.count(strict_double(F.col(q(c)), trimmed=True)).alias("parsed")))
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
@@ -135,30 +141,36 @@ class CleanerModel:
     report: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Replay the fitted rules as one projection (no action)."""
+        """Replay the fitted rules as staged projections (no action): trim -> tokens ->
+        parse -> mask; each stage reads the previous one's columns."""
         if len(df.columns) != len(self.renamed):
             raise ValueError("input width differs from the fitted table")
         df = df.toDF(*self.renamed)
-        toks = self.config.tokens
         thr = self.config.outlier_z
-        dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-        cols = []
-        for c in self.renamed:
-            if c in self.dropped_cols:
-                continue
+        kept = [c for c in self.renamed if c not in self.dropped_cols]
+        work = tokens_to_null(df.select(*[F.col(q(c)) for c in kept]), self.config.tokens,
+                              [c for c in self.string_cols if c in kept])
+        dtypes = dict((f.name, f.dataType) for f in work.schema.fields)
+        parsed = []
+        for c in kept:
             e = F.col(q(c))
-            if c in self.string_cols:
-                e = null_if_token(trim_ws(e), toks)
             if c in self.promoted:
-                e = strict_double(e)
+                e = strict_double(e, trimmed=True)
             elif isinstance(dtypes[c], (T.DoubleType, T.FloatType)):
                 e = F.nanvl(e, F.lit(None).cast(dtypes[c]))
-            if thr is not None and c in self.z_stats:
+            parsed.append(e.alias(c))
+        work = work.select(*parsed)
+        if thr is None:
+            return work
+        out = []
+        for c in kept:
+            e = F.col(q(c))
+            if c in self.z_stats:
                 m, s = self.z_stats[c]
                 z = F.abs((e.cast("double") - F.lit(m)) / F.lit(s))
                 e = F.when(z > F.lit(float(thr)), F.lit(None)).otherwise(e)
-            cols.append(e.alias(c))
-        return df.select(*cols)
+            out.append(e.alias(c))
+        return work.select(*out)
 
 
 class Cleaner:
@@ -174,28 +186,44 @@ class Cleaner:
         str_cols = string_columns(work)
         work = tokens_to_null(work, cfg.tokens, str_cols)
 
+        fields = dict((f.name, f.dataType) for f in work.schema.fields)
+        numeric = [c for c in renamed if c not in str_cols and is_numeric_type(fields[c], include_bool=True)]
+        zable = [c for c in renamed if c not in cfg.protect and c not in str_cols
+                 and is_numeric_type(fields[c]) and not isinstance(fields[c], T.BooleanType)]
+        cand = [c for c in str_cols if c not in cfg.protect] if cfg.coerce_float else []
+        # pass 1: promotion profile AND mean/std of every candidate's parsed values
+        aggs = []
+        staged = work.select("*", *[strict_double(F.col(q(c)), trimmed=True).alias(f"__num{i}")
+                                    for i, c in enumerate(renamed) if c in str_cols and cfg.coerce_float])
+        for i, c in enumerate(renamed):
+            if c in str_cols and cfg.coerce_float:
+                v = F.col(f"__num{i}")
+                aggs += [F.count(F.col(q(c))).alias(f"nm{i}"), F.count(v).alias(f"np{i}")]
+            elif c in zable:
+                v = F.col(q(c)).cast("double")
+            else:
+                continue
+            if c in zable or c in cand:
+                aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+        row = staged.agg(*aggs).first() if aggs else None
         promoted: list[str] = []
-        numeric: list[str] = [c for c in renamed if c not in str_cols
-                              and is_numeric_type(dict((f.name, f.dataType) for f in work.schema.fields)[c],
-                                                  include_bool=True)]
-        if cfg.coerce_float and str_cols:
-            prof = {r["col"]: (r["non_missing"], r["parsed"])
-                    for r in promotion_profile(work, str_cols).collect()}  # one row per column
-            for c in str_cols:
-                nm, parsed = prof[c]
-                if nm and parsed / nm >= cfg.numeric_like_ratio:
-                    promoted.append(c)
-        work = work.select(*[strict_double(F.col(q(c))).alias(c) if c in promoted else F.col(q(c))
+        if cfg.coerce_float:
+            for i, c in enumerate(renamed):
+                if c in str_cols:
+                    nm, parsed = row[f"nm{i}"], row[f"np{i}"]
+                    if nm and parsed / nm >= cfg.numeric_like_ratio:
+                        promoted.append(c)
+        work = work.select(*[strict_double(F.col(q(c)), trimmed=True).alias(c) if c in promoted else F.col(q(c))
                              for c in work.columns])
         numeric_all = [c for c in renamed if c in numeric or c in promoted]
 
         z_stats, masked = {}, []
-        if cfg.outlier_z is not None:
-            fields = dict((f.name, f.dataType) for f in work.schema.fields)
-            zcols = [c for c in numeric_all if c not in cfg.protect
-                     and not isinstance(fields[c], T.BooleanType)]
-            stats = zscore_stats(work, zcols)
-            z_stats = {c: s for c, s in stats.items() if s[1] is not None and s[1] > 0}
+        if cfg.outlier_z is not None and row is not None:
+            for i, c in enumerate(renamed):
+                if c in zable or (c in promoted and c in cand):
+                    m, s_ = row[f"m{i}"], row[f"s{i}"]
+                    if s_ is not None and s_ > 0:
+                        z_stats[c] = (m, s_)
 
         # one job: NULL ratio after masking + whether a mask fired per column
         masked_expr, ratio_expr = [], []
