@@ -30,11 +30,13 @@ def read_csv_strings(spark: SparkSession, path: str, **options) -> DataFrame:
             "emptyValue": "", "multiLine": "false"}
     opts.update({k: str(v) for k, v in options.items()})
     try:
-        return spark.read.options(**opts).csv(path)
+        df = spark.read.options(**opts).csv(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(path) from exc
         raise
+    # with the sentinel as nullValue, a NULL can only be an unquoted empty cell
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
 def read_csv_inferred(spark: SparkSession, path: str, reject_empty: bool = False, **options) -> DataFrame:
