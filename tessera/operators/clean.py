@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,7 +185,9 @@ class Cleaner:
         renamed = normalized_names(df.columns)
         work = df.toDF(*renamed)
         str_cols = string_columns(work)
-        work = tokens_to_null(work, cfg.tokens, str_cols)
+        # both fit passes read the tokenised frame: keep it (memory, spilling to disk)
+        # instead of re-deriving every string transform; released at the end of fit
+        work = tokens_to_null(work, cfg.tokens, str_cols).persist(StorageLevel.MEMORY_AND_DISK)
 
         fields = dict((f.name, f.dataType) for f in work.schema.fields)
         numeric = [c for c in renamed if c not in str_cols and is_numeric_type(fields[c], include_bool=True)]
@@ -237,6 +240,7 @@ class Cleaner:
                 masked_expr.append(F.max(is_out.cast("int")).alias(f"k{i}"))
             ratio_expr.append(F.avg((v.isNull() | is_out).cast("double")).alias(f"r{i}"))
         row = work.agg(*(ratio_expr + masked_expr)).first()
+        work.unpersist()
         masked = [c for i, c in enumerate(renamed) if c in z_stats and row[f"k{i}"] == 1]
         ratios = {c: (row[f"r{i}"] or 0.0) for i, c in enumerate(renamed)}
         dropped = ([] if cfg.drop_na_thresh >= 1 else

@@ -109,8 +109,11 @@ def stress_features(df: DataFrame, features, key: Column, severity: float = 0.3,
     n_mask = max(1, len(features) // 8)
     masked = list(features)[:n_mask]
     share = min(0.4, s + 0.1)
-    med_row = base.agg(*[(F.percentile(f, 0.5) if exact_median else F.percentile_approx(f, 0.5, 10000)).alias(f)
-                         for f in masked]).first()
+    if exact_median:
+        from tessera.operators.quantiles import quantiles
+        med_row = {r["col"]: r["value"] for r in quantiles(base, masked, (0.5,)).collect()}  # one row per column
+    else:
+        med_row = base.agg(*[F.percentile_approx(f, 0.5, 10000).alias(f) for f in masked]).first().asDict()
     out = []
     for f in features:
         if f in masked:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
+from tessera.operators.quantiles import quantile_columns
 
 
 def _quant(v, probs, exact, accuracy=10000):
@@ -23,13 +24,17 @@ def _quant(v, probs, exact, accuracy=10000):
 def iqr_bounds(df: DataFrame, cols, k: float = 1.5, exact: bool = True) -> DataFrame:
     """(col, q1, q3, iqr, lower, upper, extrem_min, extrem_max); extrem_* = round(min/q1, 2)
     and round(max/q3, 2) (half-even, like pandas) with a zero quartile giving NULL."""
-    s = []
-    for c in cols:
-        v = F.col(q(c)).cast("double")
-        qs = _quant(v, (0.25, 0.75), exact)
-        s.append(F.struct(F.lit(c).alias("col"), qs[0].alias("q1"), qs[1].alias("q3"),
-                          F.min(v).alias("mn"), F.max(v).alias("mx")))
-    raw = df.agg(F.array(*s).alias("_a")).select(F.inline("_a"))
+    mm = df.agg(F.array(*[F.struct(F.lit(c).alias("col"), F.min(F.col(q(c)).cast("double")).alias("mn"),
+                                   F.max(F.col(q(c)).cast("double")).alias("mx")) for c in cols]).alias("_a")) \
+           .select(F.inline("_a"))
+    if exact:
+        qt = quantile_columns(df, cols, (0.25, 0.75), ("q1", "q3"))
+    else:
+        qt = df.agg(F.array(*[F.struct(F.lit(c).alias("col"),
+                                       *[x.alias(n) for x, n in zip(
+                                           [_quant(F.col(q(c)).cast("double"), (0.25, 0.75), False)[i] for i in (0, 1)],
+                                           ("q1", "q3"))]) for c in cols]).alias("_a")).select(F.inline("_a"))
+    raw = mm.join(qt, "col", "left")          # one row per column on both sides
     iqr = F.col("q3") - F.col("q1")
     return raw.select(
         "col", "q1", "q3", iqr.alias("iqr"),
@@ -86,12 +91,16 @@ def class_stats(df: DataFrame, target: str, cols, classes=(0, 1), digits: int =
     aggs = []
     for c in cols:
         v = F.col(q(c)).cast("double")
-        med = F.percentile(v, 0.5) if exact else F.percentile_approx(v, 0.5, 10000)
+        extra = [] if exact else [F.percentile_approx(v, 0.5, 10000).alias("median")]
         aggs.append(F.struct(F.lit(c).alias("variable"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-                             med.alias("median"), F.stddev_samp(v).alias("std"),
+                             *extra, F.stddev_samp(v).alias("std"),
                              F.min(v).alias("min"), F.max(v).alias("max")))
     g = (df.groupBy(F.col(q(target)).alias("class")).agg(F.array(*aggs).alias("_a"))
          .select("class", F.inline("_a")))
+    if exact:
+        med = quantile_columns(df.withColumnRenamed(target, "class") if target != "class" else df,
+                               cols, (0.5,), ("median",), by=["class"]).withColumnRenamed("col", "variable")
+        g = g.join(med, ["class", "variable"], "left")
     grid = df.sparkSession.createDataFrame([(c, k) for c in cols for k in classes],
                                            f"variable string, class {g.schema['class'].dataType.simpleString()}")
     out = grid.join(g, ["variable", "class"], "left")

@@ -6,9 +6,9 @@ form ``(col, stat...)`` via ``inline(array(struct(...)))``.  For very wide table
 (columns x statistics beyond what whole-stage codegen fits in one method) use the
 ``long=True`` path: unpivot then ``groupBy(col)`` - one shuffle of partial states.
 
-Quantiles: ``exact=True`` uses ``percentile`` (memory grows with distinct values
-per group); ``exact=False`` uses ``percentile_approx`` (bounded sketch) - the one
-to use at scale.
+Quantiles: ``exact=True`` uses distributed order statistics (``quantiles.py``: no
+task ever holds a column's distinct values); ``exact=False`` uses
+``percentile_approx`` inside the same single aggregate (bounded sketch, one pass).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import q
 from tessera.functions.stats import sample_kurt, sample_skew
 from tessera.operators.clean import numeric_columns
+from tessera.operators.quantiles import quantile_columns
 
 
 def _col(c: str) -> Column:
@@ -47,18 +48,24 @@ def missing_ratio(df: DataFrame, cols=None) -> DataFrame:
 
 # ---------------------------------------------------------------- E3 / E4 / E5
 def describe(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max."""
+    """count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max.
+
+    Moments come from one aggregate; exact quartiles from ``quantiles`` (distributed
+    order statistics), joined on the column name (one row per column on each side)."""
     cols = cols if cols is not None else numeric_columns(df)
     s = []
     for c in cols:
         v = _col(c).cast("double")
-        qs = _quantiles(v, (0.25, 0.5, 0.75), exact, accuracy)
+        qs = [] if exact else [_quantiles(v, (0.25, 0.5, 0.75), False, accuracy)]
         s.append(F.struct(F.lit(c).alias("col"), F.count(v).alias("count"), F.avg(v).alias("mean"),
                           F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                          qs[0].alias("p25"), qs[1].alias("p50"), qs[2].alias("p75"),
+                          *([qs[0][0].alias("p25"), qs[0][1].alias("p50"), qs[0][2].alias("p75")] if qs else []),
                           F.max(v).alias("max")))
-    return _long(df, s, "col string, count bigint, mean double, std double, min double, "
-                        "p25 double, p50 double, p75 double, max double")
+    base = _long(df, s, "col string, count bigint, mean double, std double, min double, max double")
+    if exact and cols:
+        qt = quantile_columns(df, cols, (0.25, 0.5, 0.75), ("p25", "p50", "p75"))
+        base = base.join(qt, "col", "left")
+    return base.select("col", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def skew_kurtosis(df: DataFrame, cols=None) -> DataFrame:
@@ -78,14 +85,16 @@ def pct_zeros(df: DataFrame, cols=None) -> DataFrame:
 
 
 def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One pass: per column dtype, missing ratio and (numeric) describe + skew/kurt/zeros."""
+    """Per column: dtype, missing ratio and (numeric) describe + skew/kurt/zeros.
+    One aggregate for everything but exact quartiles (distributed, joined by column)."""
     num = set(numeric_columns(df))
     s = []
     for f in df.schema.fields:
         c = f.name
         isn = c in num
         v = _col(c).cast("double") if isn else F.lit(None).cast("double")
-        qs = _quantiles(v, (0.25, 0.5, 0.75), exact) if isn else F.array(*[F.lit(None).cast("double")] * 3)
+        nul3 = F.array(*[F.lit(None).cast("double")] * 3)
+        qs = _quantiles(v, (0.25, 0.5, 0.75), False) if (isn and not exact) else nul3
         s.append(F.struct(
             F.lit(c).alias("col"), F.lit(f.dataType.simpleString()).alias("dtype"),
             F.avg(_col(c).isNull().cast("double")).alias("missing_ratio"),
@@ -97,7 +106,15 @@ def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
             (F.avg(F.coalesce((v == 0).cast("double"), F.lit(0.0))) if isn
              else F.lit(None).cast("double")).alias("pct_zeros"),
         ))
-    return _long(df, s, "col string")
+    out = _long(df, s, "col string")
+    ncols = [f.name for f in df.schema.fields if f.name in num]
+    if exact and ncols:
+        qt = quantile_columns(df, ncols, (0.25, 0.5, 0.75), ("q25", "q50", "q75"))
+        out = (out.join(qt, "col", "left")
+               .withColumn("p25", F.col("q25")).withColumn("p50", F.col("q50")).withColumn("p75", F.col("q75"))
+               .drop("q25", "q50", "q75"))
+    return out.select("col", "dtype", "missing_ratio", "count", "mean", "std", "min", "p25", "p50", "p75",
+                      "max", "skew", "kurt", "pct_zeros")
 
 
 # ---------------------------------------------------------------- E12 / E13
