@@ -262,10 +262,13 @@ def clean(df: DataFrame, config: CleanConfig | None = None) -> tuple[DataFrame,
 def interval_filter(df: DataFrame, rules: dict) -> DataFrame:
     """C11: keep rows with lo <= c <= hi for every rule (NULL fails); Catalyst fuses
     the rules into one pushed-down filter."""
-    cond = F.lit(True)
+    cond = None
     for c, (lo, hi) in rules.items():
-        cond = cond & F.coalesce(F.col(q(c)).between(lo, hi), F.lit(False))
-    return df.filter(cond)
+        # a NULL comparison drops the row in a filter, so plain comparisons keep the
+        # predicate pushable to the parquet scan
+        term = (F.col(q(c)) >= F.lit(lo)) & (F.col(q(c)) <= F.lit(hi))
+        cond = term if cond is None else cond & term
+    return df.filter(cond) if cond is not None else df
 
 
 def first_failed_rule(rules: dict) -> Column:
@@ -349,3 +352,11 @@ def align_features(df: DataFrame, feature_names, fill_value: float | None = 0.0,
             e = F.lit(fill_value).cast("double")
         cols.append(e.alias(c))
     return df.select(*cols)
+
+
+def normalize_binary_target(df: DataFrame, target: str) -> DataFrame:
+    """Cast the target to bigint when all its non-NULL values are 0 or 1 (one
+    aggregate decides); otherwise leave it unchanged."""
+    v = F.col(q(target))
+    bad = df.agg(F.max(F.when(v.isNotNull() & ~v.cast("double").isin(0.0, 1.0), 1).otherwise(0))).first()[0]
+    return df.withColumn(target, v.cast("double").cast("bigint")) if not bad else df

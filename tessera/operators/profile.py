@@ -254,3 +254,17 @@ def profile_compare(raw: DataFrame, clean: DataFrame, name_map: dict | None = No
 __all__ = ["missing_ratio", "describe", "skew_kurtosis", "pct_zeros", "profile_table", "category_freq",
            "class_balance", "histogram", "pair_bins", "crosstab_row_norm", "target_concentration",
            "profile_flags", "profile_compare", "value_range", "bin_expr", "Window"]
+
+
+def infer_roles(df: DataFrame, target: str | None = None, id_cols=(), datetime_cols=(), cat_cols=(),
+                drop_suffixes=("_label",)) -> dict:
+    """Column roles from the schema (metadata only): columns with a dropped suffix
+    are ignored; categorical = user list + string/boolean columns; numeric = the rest of
+    the numeric columns (the target stays in the numeric list, as in the reference)."""
+    cols = [c for c in df.columns if not any(c.endswith(s) for s in drop_suffixes)]
+    fixed = set(id_cols) | set(datetime_cols)
+    dtypes = dict(df.dtypes)
+    cats = [c for c in cols if c not in fixed and (c in cat_cols or dtypes[c] in ("string", "boolean"))]
+    nums = [c for c in cols if c not in fixed and c not in cats and c in set(numeric_columns(df))]
+    return {"id": [c for c in cols if c in id_cols], "datetime": [c for c in cols if c in datetime_cols],
+            "categorical": cats, "numeric": nums, "target": target}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +58,18 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
     probs = [i / buckets for i in range(1, buckets)]
     v = F.col(order_col)
 
+    small_groups = True
     if bucket_col is not None:
         tagged = counts.withColumn("_bucket", F.col(bucket_col))
     elif buckets > 1:
         cuts = counts.groupBy(*by).agg(
             F.array_sort(F.array_distinct(F.percentile_approx(v, probs, accuracy))).alias("_cuts"))
         if by:
-            # one row per group, B doubles each: bounded by (#groups x B)
-            tagged = counts.join(F.broadcast(cuts), by, "inner")
+            # one row per group with B-1 cut points: broadcast only after a count proves
+            # the number of groups small (else a shuffle join)
+            cuts = cuts.persist(StorageLevel.MEMORY_AND_DISK)
+            small_groups = cuts.count() * buckets <= 2_000_000
+            tagged = counts.join(F.broadcast(cuts) if small_groups else cuts, by, "inner")
             tagged = tagged.withColumn("_bucket", lower_bound(F.col("_cuts"), v, buckets)).drop("_cuts")
         else:
             cut_list = cuts.first()["_cuts"] or []          # B-1 numbers: a scalar-sized result
@@ -79,8 +84,9 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
                                          for w in weights])
     wi = Window.partitionBy(*by, "_bucket").orderBy(order_col, *(tiebreak or [])).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.select("*", *[F.coalesce(F.sum(w).over(wi), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    # offsets: (#groups x B) rows, broadcast
-    out = inner.join(F.broadcast(offs), [*by, "_bucket"], "inner")
+    # offsets: (#groups x B) rows - broadcast when the groups are few (checked), else shuffle
+    # offsets have at most (#groups x B) rows: same bound as the cuts
+    out = inner.join(F.broadcast(offs) if small_groups else offs, [*by, "_bucket"], "inner")
     return out.select(*[c for c in counts.columns],
                       *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"{w}_before") for w in weights])
 

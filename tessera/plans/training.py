@@ -168,3 +168,14 @@ def registry_latest(spark, sf_dir):
     reg = SEL.register(SEL.best_by_algorithm(_runs(spark, sf_dir)), list(ALGOS))
     return round_doubles(SEL.registry_latest(reg).select("version", "registered_order", "algorithm", "trial_no",
                                                          "score", "roc_auc"))
+
+
+@register("overfit_check")
+def overfit_check(spark, sf_dir):
+    """Accuracy (and AUC) of one logistic model on its own train split and on the test split."""
+    from tessera.operators.metrics import evaluate
+    train, test = doc_split(spark, sf_dir)
+    model = ML.fit(train, DOC_FEATURES, "logreg", {"C": 1.0, "max_iter": 100}, "label", balanced=True)
+    parts = [evaluate(ML.predict(model, d), "label", "prediction", "prob").withColumn("split", F.lit(name))
+             for name, d in (("train", train), ("test", test))]
+    return round_doubles(parts[0].unionByName(parts[1]))

@@ -118,3 +118,10 @@ def save_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 __all__ = ["read_csv_strings", "read_csv_inferred", "read_headerless", "parse_dictionary",
            "load_dataset", "save_dataset", "Window"]
+
+
+def append_runs(df: DataFrame, path: str) -> str:
+    """Run records / registry entries: append to a parquet table (one file set per
+    write, readers see whole appends).  ``latest`` is a query over it, never a file."""
+    df.write.mode("append").parquet(path)
+    return path

@@ -64,3 +64,24 @@ def test_align_and_prepare(spark):
     assert rows[0].a == 0.0 and rows[0].c == 0.0 and rows[1].a == 1.0
     al = C.align_features(df, ["c", "missing", "a"])
     assert al.columns == ["c", "missing", "a"] and al.first().missing == 0.0
+
+
+def test_normalize_binary_target_and_roles(spark):
+    from tessera.operators.profile import infer_roles
+    df = spark.createDataFrame([(1, 1.0, "a", "x"), (2, 0.0, "b", "y")], "id long, t double, c string, c_label string")
+    assert dict(C.normalize_binary_target(df, "t").dtypes)["t"] == "bigint"
+    df2 = spark.createDataFrame([(1, 2.0)], "id long, t double")
+    assert dict(C.normalize_binary_target(df2, "t").dtypes)["t"] == "double"
+    roles = infer_roles(df, target="t", id_cols=["id"])
+    assert roles["categorical"] == ["c"] and roles["numeric"] == ["t"] and roles["id"] == ["id"]
+
+
+def test_append_runs(spark):
+    import uuid
+    from tessera.session import scratch_path
+    from tessera.sources.files import append_runs
+    path = scratch_path(spark, f"runs-{uuid.uuid4().hex[:8]}")
+    a = spark.createDataFrame([(0, "x", 0.5)], "trial_no int, algorithm string, score double")
+    append_runs(a, path)
+    append_runs(a.withColumn("trial_no", a.trial_no + 1), path)
+    assert spark.read.parquet(path).count() == 2
