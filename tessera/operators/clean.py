@@ -360,3 +360,31 @@ def normalize_binary_target(df: DataFrame, target: str) -> DataFrame:
     v = F.col(q(target))
     bad = df.agg(F.max(F.when(v.isNotNull() & ~v.cast("double").isin(0.0, 1.0), 1).otherwise(0))).first()[0]
     return df.withColumn(target, v.cast("double").cast("bigint")) if not bad else df
+
+
+# ------------------------------------------------------------------ pyspark.ml wrappers
+from pyspark.ml import Estimator, Model  # noqa: E402
+
+
+class CleanerEstimator(Estimator):
+    """``Cleaner`` as a pyspark.ml Estimator, so it can be the first stage of a Pipeline."""
+
+    def __init__(self, config: CleanConfig | None = None):
+        super().__init__()
+        self.config = config or CleanConfig()
+
+    def _fit(self, dataset: DataFrame) -> "CleanerTransformer":
+        return CleanerTransformer(Cleaner(self.config).fit(dataset))
+
+
+class CleanerTransformer(Model):
+    def __init__(self, fitted: CleanerModel):
+        super().__init__()
+        self.fitted = fitted
+
+    @property
+    def report(self) -> dict:
+        return self.fitted.report
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.fitted.transform(dataset)

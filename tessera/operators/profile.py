@@ -268,3 +268,28 @@ def infer_roles(df: DataFrame, target: str | None = None, id_cols=(), datetime_c
     nums = [c for c in cols if c not in fixed and c not in cats and c in set(numeric_columns(df))]
     return {"id": [c for c in cols if c in id_cols], "datetime": [c for c in cols if c in datetime_cols],
             "categorical": cats, "numeric": nums, "target": target}
+
+
+def profile_report(df: DataFrame, target: str | None = None, id_cols=(), datetime_cols=(), cat_cols=(),
+                   drop_suffixes=("_label",), exact: bool = True) -> dict:
+    """E19 facade: the profiling tables of one frame as lazy DataFrames (no rendering).
+    Keys: roles, table (per-column profile), flags, spearman, strong_pairs, vif,
+    target_spearman / target_concentration (numeric / categorical target)."""
+    from tessera.operators import correlation as R
+    roles = infer_roles(df, target, id_cols, datetime_cols, cat_cols, drop_suffixes)
+    keep = [c for c in df.columns if not any(c.endswith(s) for s in drop_suffixes)]
+    frame = df.select(*[_col(c) for c in keep])
+    feats = [c for c in roles["numeric"] if c != target]
+    out = {"roles": roles, "table": profile_table(frame, exact), "flags": profile_flags(frame, exact=exact)}
+    if len(feats) >= 2:
+        pairs = R.spearman_pairs(frame, feats)
+        out["spearman"] = pairs
+        out["strong_pairs"] = R.strong_pairs(pairs)
+        out["vif"] = R.vif(frame, feats)
+    if target and target in roles["numeric"] and feats:
+        out["target_spearman"] = R.spearman_target(frame, feats, target)
+    elif target and roles["categorical"]:
+        cats = [c for c in roles["categorical"] if c != target]
+        if cats:
+            out["target_concentration"] = target_concentration(frame, cats, target)
+    return out

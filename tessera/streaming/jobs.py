@@ -54,3 +54,20 @@ def monitor_stream(scored: DataFrame, ts: str, window: str = "1 day", watermark:
         F.avg(F.col(prob)).alias("mean_prob"), F.avg((y == yh).cast("double")).alias("accuracy"))
     return g.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "n", "pos_rate", "mean_prob",
                     "accuracy")
+
+
+def score_stream_reloading(stream: DataFrame, load_champion, out_path: str, keys=(), threshold: float = 0.5,
+                           checkpoint: str | None = None):
+    """Continuous scoring that picks up a newly registered champion: ``load_champion()``
+    returns ``(model, feature_names)`` and is called once per micro-batch inside
+    ``foreachBatch``; each batch is appended to ``out_path``.  Returns the started query."""
+    spark = stream.sparkSession
+    ckpt = checkpoint or scratch_path(spark, f"streams/reload-{uuid.uuid4().hex[:12]}/_checkpoint")
+
+    def each(batch: DataFrame, batch_id: int):
+        model, names = load_champion()
+        score_batch(batch, model, names, keys=keys, threshold=threshold) \
+            .withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    return (stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+            .trigger(availableNow=True).start())

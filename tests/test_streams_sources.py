@@ -53,3 +53,26 @@ def test_json_records(spark, tmp_path):
     p.write_text('{"records": [{"a": 1, "b": "x"}, {"a": 2}], "return_probabilities": true}\n')
     rows = read_json_records(spark, str(p)).orderBy("record_no").collect()
     assert [r.record["a"] for r in rows] == ["1", "2"] and rows[0].return_probabilities is True
+
+
+def test_reloading_stream_and_estimator(spark):
+    from pyspark.ml import Pipeline
+    from tessera.operators.clean import CleanConfig, CleanerEstimator
+    from tessera.operators.scoring import LinearLogit
+    from tessera.sources.tables import load_table
+    from tessera.streaming.jobs import score_stream_reloading, source
+    calls = []
+
+    def champion():
+        calls.append(1)
+        m = LinearLogit({"value": 0.02}, intercept=-1.0)
+        return m, m.feature_names
+
+    schema = load_table(spark, SF_SMALL, "events").schema
+    out = scratch_path(spark, f"reload-out-{uuid.uuid4().hex[:8]}")
+    q = score_stream_reloading(source(spark, SF_SMALL, "events.parquet", schema), champion, out, keys=["event_id"])
+    q.awaitTermination()
+    assert calls and spark.read.parquet(out).count() == load_table(spark, SF_SMALL, "events").count()
+    raw = spark.createDataFrame([(" 1 ", "x"), ("?", "y"), ("3", "z")], "`A b` string, c string")
+    model = Pipeline(stages=[CleanerEstimator(CleanConfig(outlier_z=None, drop_na_thresh=1.0))]).fit(raw)
+    assert model.transform(raw).columns == ["a_b", "c"] and dict(model.transform(raw).dtypes)["a_b"] == "double"
