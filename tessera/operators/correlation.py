@@ -13,12 +13,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
 from tessera.functions.stats import safe_corr, t_pvalue
-from tessera.operators.rank import rank_table, size_checked_join
+from tessera.operators.rank import rank_table
 
 
 def _long(df: DataFrame, structs, schema: str) -> DataFrame:
@@ -38,12 +39,14 @@ def attach_ranks(df: DataFrame, cols, suffix: str = "__rank", max_broadcast_rows
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"),
                                                       F.col(q(c)).cast("double").alias("_v"))
                                              for c in cols])).alias("_s")).select("_s.*")
-    rt = rank_table(stacked, "_v", by=["_col"], out="_r").cache()
+    rt = rank_table(stacked, "_v", by=["_col"], out="_r").persist(StorageLevel.MEMORY_AND_DISK)
+    # one count bounds every per-column piece: broadcast them all, or shuffle-join them all
+    small = rt.count() <= max_broadcast_rows
     out = df
     for c in cols:
         one = rt.filter(F.col("_col") == c).select(F.col("_v").alias(f"{c}__key"), F.col("_r").alias(f"{c}{suffix}"))
         out = out.withColumn(f"{c}__key", F.col(q(c)).cast("double"))
-        out = size_checked_join(out, one, f"{c}__key", "left", max_broadcast_rows).drop(f"{c}__key")
+        out = out.join(F.broadcast(one) if small else one, f"{c}__key", "left").drop(f"{c}__key")
     return out
 
 

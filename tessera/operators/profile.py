@@ -84,9 +84,18 @@ def pct_zeros(df: DataFrame, cols=None) -> DataFrame:
     return _long(df, s, "col string, pct_zeros double")
 
 
+_PROFILE_SCHEMA = ("col string, dtype string, missing_ratio double, count bigint, mean double, std double, "
+                   "min double, p25 double, p50 double, p75 double, max double, skew double, kurt double, "
+                   "pct_zeros double")
+
+
 def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: dtype, missing ratio and (numeric) describe + skew/kurt/zeros.
-    One aggregate for everything but exact quartiles (distributed, joined by column)."""
+
+    exact=False: one lazy aggregate (``percentile_approx`` inside it).
+    exact=True: one eager aggregate for the moments that also measures each numeric
+    column's distinct count (collected: one row per column), then the exact quartiles
+    (``quantile_columns``, strategy chosen from those counts) joined by column name."""
     num = set(numeric_columns(df))
     s = []
     for f in df.schema.fields:
@@ -105,14 +114,18 @@ def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
             (sample_kurt(v) if isn else F.lit(None).cast("double")).alias("kurt"),
             (F.avg(F.coalesce((v == 0).cast("double"), F.lit(0.0))) if isn
              else F.lit(None).cast("double")).alias("pct_zeros"),
+            (F.approx_count_distinct(v, 0.05) if (isn and exact) else F.lit(0).cast("long")).alias("_nd"),
         ))
-    out = _long(df, s, "col string")
     ncols = [f.name for f in df.schema.fields if f.name in num]
-    if exact and ncols:
-        qt = quantile_columns(df, ncols, (0.25, 0.5, 0.75), ("q25", "q50", "q75"))
-        out = (out.join(qt, "col", "left")
-               .withColumn("p25", F.col("q25")).withColumn("p50", F.col("q50")).withColumn("p75", F.col("q75"))
-               .drop("q25", "q50", "q75"))
+    if not exact or not ncols:
+        return _long(df, s, _PROFILE_SCHEMA + ", _nd bigint").drop("_nd")
+    rows = _long(df, s, _PROFILE_SCHEMA + ", _nd bigint").collect()      # one row per column
+    distinct = {r["col"]: r["_nd"] for r in rows}
+    base = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], _PROFILE_SCHEMA)
+    qt = quantile_columns(df, ncols, (0.25, 0.5, 0.75), ("q25", "q50", "q75"), distinct=distinct)
+    out = (base.join(qt, "col", "left")
+           .withColumn("p25", F.col("q25")).withColumn("p50", F.col("q50")).withColumn("p75", F.col("q75"))
+           .drop("q25", "q50", "q75"))
     return out.select("col", "dtype", "missing_ratio", "count", "mean", "std", "min", "p25", "p50", "p75",
                       "max", "skew", "kurt", "pct_zeros")
 

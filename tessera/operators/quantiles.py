@@ -51,10 +51,12 @@ def quantiles(df: DataFrame, cols, probs, by=(), buckets: int | None = None) ->
 EXACT_MAP_LIMIT = 2_000_000
 
 
-def quantile_columns(df: DataFrame, cols, probs, names, by=(), map_limit: int | None = None) -> DataFrame:
+def quantile_columns(df: DataFrame, cols, probs, names, by=(), map_limit: int | None = None,
+                     distinct: dict | None = None) -> DataFrame:
     """Wide form: (by..., col, <names[i]> for probs[i]).
 
-    Strategy per column, decided by one ``approx_count_distinct`` pass: when a column
+    Strategy per column, decided by ``approx_count_distinct`` (one pass, or ``distinct``
+    counts the caller already has): when a column
     has at most ``map_limit`` distinct values (``spark.tessera.exactQuantileMapLimit``,
     2M by default - a bounded aggregate state), the ``percentile`` aggregate is exact
     and cheapest; above it, the distributed order statistics of ``quantiles`` are used,
@@ -63,8 +65,10 @@ def quantile_columns(df: DataFrame, cols, probs, names, by=(), map_limit: int |
     cols = list(cols)
     spark = df.sparkSession
     limit = map_limit or int(spark.conf.get("spark.tessera.exactQuantileMapLimit", str(EXACT_MAP_LIMIT)))
-    nd = df.agg(*[F.approx_count_distinct(F.col(q(c)), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if nd[f"d{i}"] <= limit / 1.2]
+    if distinct is None:
+        nd = df.agg(*[F.approx_count_distinct(F.col(q(c)), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        distinct = {c: nd[f"d{i}"] for i, c in enumerate(cols)}
+    small = [c for c in cols if distinct[c] <= limit / 1.2]
     big = [c for c in cols if c not in small]
     parts = []
     if small:

@@ -32,11 +32,18 @@ def _sql_keys():
     return ", ".join(f"cast({sql_q(h)} AS BIGINT) AS {s}" for h, s in zip(DIRTY_HEADERS[:4], KEY_SLUGS))
 
 
-def cleaned_dirty(spark, sf_dir):
-    """Fit the cleaner on the dirty stand-in and apply it (3 aggregate jobs + projection)."""
+def cleaned_dirty(spark, sf_dir, materialize: bool = False):
+    """Fit the cleaner on the dirty stand-in (2 aggregate passes) and apply it (a
+    projection).  ``materialize`` writes the clean table to the shared folder and reads
+    it back - for consumers that scan it several times (profiling), as a pipeline saves
+    its interim clean table before profiling it."""
     raw = dirty_lineitem(spark, sf_dir)
     model = C.Cleaner(C.CleanConfig(**CLEAN_CFG)).fit(raw)
-    return model.transform(raw), model
+    out = model.transform(raw)
+    if materialize:
+        from tessera.session import cut_lineage
+        out = cut_lineage(out, "clean")
+    return out, model
 
 
 # ---------------------------------------------------------------- C3/C4

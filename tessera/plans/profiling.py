@@ -154,7 +154,7 @@ def _sql_profile_flags():
 
 @register("profile_flags", _sql_profile_flags())
 def profile_flags(spark, sf_dir):
-    df, _ = cleaned_dirty(spark, sf_dir)
+    df, _ = cleaned_dirty(spark, sf_dir, materialize=True)
     return round_doubles(P.profile_flags(df))
 
 
@@ -194,6 +194,7 @@ def _sql_clean_profile():
 
 @register("clean_profile", _sql_clean_profile())
 def clean_profile(spark, sf_dir):
-    """Flagship: fit + apply the cleaner on the raw stand-in, then profile every column."""
-    df, _ = cleaned_dirty(spark, sf_dir)
+    """Flagship: fit + apply the cleaner on the raw stand-in, save the clean table, then
+    profile every column."""
+    df, _ = cleaned_dirty(spark, sf_dir, materialize=True)
     return round_doubles(P.profile_table(df))

@@ -88,5 +88,8 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.sum("l_quantity").alias("sum_qty"),
                                      F.sum("l_extendedprice").alias("sum_price"),
                                      F.avg("l_discount").alias("avg_disc"))
-    return (o.join(s, o.o_orderkey == s.l_orderkey, "inner")
-            .select("o_orderkey", "n_lines", "sum_qty", "sum_price", "avg_disc", "o_totalprice"))
+    of = (o.join(s, o.o_orderkey == s.l_orderkey, "inner")
+          .select("o_orderkey", "n_lines", "sum_qty", "sum_price", "avg_disc", "o_totalprice"))
+    # read by several passes downstream (ranks, moments, quantiles): cut the lineage once
+    from tessera.session import cut_lineage
+    return cut_lineage(of)

@@ -16,6 +16,7 @@ from tessera.operators import selection as SEL
 from tessera.operators import split as SP
 from tessera.plans.common import register
 from tessera.plans.profiling import round_doubles
+from tessera.session import cut_lineage
 from tessera.sources.tables import load_table
 
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "upper_ratio", "digit_ratio", "excl"]
@@ -29,12 +30,15 @@ def doc_features(spark, sf_dir):
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     feats = d.select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(F.trim(t), r"\s+")).cast("double").alias("n_words"),
-        F.size(F.split(t, "\n")).cast("double").alias("n_lines"),
-        ((F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))) / n).alias("upper_ratio"),
-        ((F.length(t) - F.length(F.regexp_replace(t, "[0-9]", ""))) / n).alias("digit_ratio"),
-        (F.length(t) - F.length(F.regexp_replace(t, "!", ""))).cast("double").alias("excl"))
-    return feats.join(lab, "doc_id")            # AQE broadcasts the label side when it is small
+        (F.regexp_count(t, F.lit(r"\S+"))).cast("double").alias("n_words"),
+        (F.regexp_count(t, F.lit("\n")) + 1).cast("double").alias("n_lines"),
+        (F.regexp_count(t, F.lit("[A-Z]")) / n).alias("upper_ratio"),
+        (F.regexp_count(t, F.lit("[0-9]")) / n).alias("digit_ratio"),
+        F.regexp_count(t, F.lit("!")).cast("double").alias("excl"))
+    # AQE broadcasts the label side at run time when it is small; the feature table is
+    # read by the split, the fit and the evaluation, so its lineage is cut once
+    # (reliable checkpoint in the shared folder) instead of re-scanning every text
+    return cut_lineage(feats.join(lab, "doc_id"))
 
 
 def doc_split(spark, sf_dir):

@@ -3,8 +3,8 @@
 Cluster rules followed here:
 * the checkpoint folder is whatever the cluster names in ``spark.checkpoint.dir``;
   only when that is unset (local tests) do we create one of our own;
-* lineage is cut with ``DataFrame.checkpoint()`` (reliable, written to the shared
-  folder), never with ``localCheckpoint`` (lost with the executor).
+* lineage is cut by writing a table into the shared folder (reliable), never with
+  ``localCheckpoint`` (lost with the executor).
 """
 
 from __future__ import annotations
@@ -62,7 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it
+    back: the lineage is cut (survives executor loss, never recomputed), the data stay
+    columnar and Catalyst keeps size statistics for join planning.  (``df.checkpoint()``
+    would recompute the plan for its RDD write and store serialised rows.)"""
+    import uuid
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
