@@ -265,7 +265,7 @@ def prepare_features(spark, sf_dir):
 @register("align_features", """SELECT event_id,
   coalesce(CASE WHEN regexp_matches(trim(json_extract_string(props, '$.k')), '""" + NUMERIC_PATTERN + """')
            THEN TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE) END, 0.0) AS k,
-  0.0 AS absent_feature,
+  CAST(0.0 AS DOUBLE) AS absent_feature,
   value
 FROM events""")
 def align_features(spark, sf_dir):

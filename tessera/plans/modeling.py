@@ -100,10 +100,10 @@ m AS (SELECT class, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, coale
   support, tp FROM per),
 f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1_score FROM m)
 SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support) FROM f
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), sum(support) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-  round(sum(f1_score * support) / sum(support), 6), sum(support) FROM f""")
+  round(sum(f1_score * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""")
 def classification_report(spark, sf_dir):
     return round_doubles(M.classification_report(scored_events(spark, sf_dir), "label", "prediction"))
 

@@ -48,7 +48,7 @@ r AS (SELECT """ + ", ".join(
     [f"max(CASE WHEN k = 'current' THEN {m} END) AS cur_{m}" for m in _METRICS]) + """ FROM m)
 SELECT """ + ", ".join([f"round(base_{m}, 6) AS base_{m}" for m in _METRICS] +
                        [f"round(cur_{m}, 6) AS cur_{m}" for m in _METRICS]) + f""",
-  round(base_roc_auc - cur_roc_auc, 6) AS delta_roc_auc, 0.05 AS threshold,
+  round(base_roc_auc - cur_roc_auc, 6) AS delta_roc_auc, CAST(0.05 AS DOUBLE) AS threshold,
   coalesce(base_roc_auc - cur_roc_auc >= 0.05, false) AS alert,
   CASE WHEN coalesce(base_roc_auc - cur_roc_auc >= 0.05, false) THEN '{MO.ACTION_ALERT}' ELSE '{MO.ACTION_OK}' END AS action
 FROM r""")

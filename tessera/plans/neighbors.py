@@ -32,7 +32,8 @@ def _split(spark, sf_dir):
 def knn_neighbors(spark, sf_dir):
     q, t = _split(spark, sf_dir)
     nb = K.knn_neighbors(q, t, k=5)
-    return round_doubles(nb.select("qid", "vec_id", "label", "d", F.col("rank").cast("bigint").alias("rank")))
+    return round_doubles(nb.select("qid", "vec_id", F.col("label").cast("int").alias("label"), "d",
+                                   F.col("rank").cast("bigint").alias("rank")))
 
 
 @register("knn_classify", _SQL + """,
@@ -43,4 +44,5 @@ w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, label) AS
 SELECT qid, label AS prediction FROM w WHERE rr = 1""")
 def knn_classify(spark, sf_dir):
     q, t = _split(spark, sf_dir)
-    return K.knn_vote(K.knn_neighbors(q, t, k=5))
+    pred = K.knn_vote(K.knn_neighbors(q, t, k=5))
+    return pred.select("qid", F.col("prediction").cast("int").alias("prediction"))

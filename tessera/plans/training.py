@@ -114,7 +114,8 @@ ALGOS = {
 
 
 def _trials_sql():
-    rows = ", ".join(f"({no}, '{a}', '{f}', {s!r}, {t!r})" for no, a, f, s, t in SEL.expand_trials(ALGOS))
+    rows = ", ".join(f"({no}, '{a}', '{f}', CAST({s!r} AS DOUBLE), CAST({t!r} AS DOUBLE))"
+                     for no, a, f, s, t in SEL.expand_trials(ALGOS))
     return f"""WITH tr AS (SELECT * FROM (VALUES {rows}) t(trial_no, algorithm, feature, slope, threshold)),
 x0 AS (SELECT tr.trial_no, CASE WHEN e.event_type = 'purchase' THEN 1 ELSE 0 END AS y,
    1.0 / (1.0 + exp(-(-1.0 + tr.slope * CASE tr.feature WHEN 'value' THEN e.value WHEN 'user_id' THEN CAST(e.user_id AS DOUBLE) END))) AS p,
