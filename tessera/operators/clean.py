@@ -140,6 +140,7 @@ class CleanerModel:
     masked_cols: list
     dropped_cols: list
     report: dict = field(default_factory=dict)
+    tokens: DataFrame | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Replay the fitted rules as staged projections (no action): trim -> tokens ->
@@ -147,10 +148,16 @@ class CleanerModel:
         if len(df.columns) != len(self.renamed):
             raise ValueError("input width differs from the fitted table")
         df = df.toDF(*self.renamed)
-        thr = self.config.outlier_z
         kept = [c for c in self.renamed if c not in self.dropped_cols]
         work = tokens_to_null(df.select(*[F.col(q(c)) for c in kept]), self.config.tokens,
                               [c for c in self.string_cols if c in kept])
+        return self.transform_tokens(work)
+
+    def transform_tokens(self, work: DataFrame) -> DataFrame:
+        """Parse -> mask -> drop on a frame that is already renamed and tokenised."""
+        thr = self.config.outlier_z
+        kept = [c for c in self.renamed if c not in self.dropped_cols]
+        work = work.select(*[F.col(q(c)) for c in kept])
         dtypes = dict((f.name, f.dataType) for f in work.schema.fields)
         parsed = []
         for c in kept:
@@ -180,7 +187,9 @@ class Cleaner:
     def __init__(self, config: CleanConfig | None = None):
         self.config = config or CleanConfig()
 
-    def fit(self, df: DataFrame) -> CleanerModel:
+    def fit(self, df: DataFrame, keep_tokens: bool = False) -> CleanerModel:
+        """Two aggregate passes.  ``keep_tokens`` leaves the persisted tokenised frame on
+        the model (``model.tokens``) for ``fit_transform``, which releases it."""
         cfg = self.config
         renamed = normalized_names(df.columns)
         work = df.toDF(*renamed)
@@ -188,6 +197,7 @@ class Cleaner:
         # both fit passes read the tokenised frame: keep it (memory, spilling to disk)
         # instead of re-deriving every string transform; released at the end of fit
         work = tokens_to_null(work, cfg.tokens, str_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        tokens = work
 
         fields = dict((f.name, f.dataType) for f in work.schema.fields)
         numeric = [c for c in renamed if c not in str_cols and is_numeric_type(fields[c], include_bool=True)]
@@ -240,7 +250,6 @@ class Cleaner:
                 masked_expr.append(F.max(is_out.cast("int")).alias(f"k{i}"))
             ratio_expr.append(F.avg((v.isNull() | is_out).cast("double")).alias(f"r{i}"))
         row = work.agg(*(ratio_expr + masked_expr)).first()
-        work.unpersist()
         masked = [c for i, c in enumerate(renamed) if c in z_stats and row[f"k{i}"] == 1]
         ratios = {c: (row[f"r{i}"] or 0.0) for i, c in enumerate(renamed)}
         dropped = ([] if cfg.drop_na_thresh >= 1 else
@@ -249,8 +258,25 @@ class Cleaner:
                   "dropped_columns": dropped, "null_ratios": ratios}
         if cfg.coerce_float:
             report["numeric_columns"] = numeric_all
-        return CleanerModel(cfg, renamed, str_cols, promoted, numeric_all, z_stats,
-                            masked, dropped, report)
+        model = CleanerModel(cfg, renamed, str_cols, promoted, numeric_all, z_stats, masked, dropped, report)
+        if keep_tokens:
+            model.tokens = tokens
+        else:
+            tokens.unpersist()
+        return model
+
+    def fit_transform(self, df: DataFrame, name: str = "clean") -> tuple[DataFrame, CleanerModel]:
+        """Fit, apply the rules to the fit's persisted tokenised frame (no second
+        derivation from the raw input), write the clean table to the shared folder and
+        read it back; the cache is released once the table is written."""
+        from tessera.session import cut_lineage
+        model = self.fit(df, keep_tokens=True)
+        try:
+            out = cut_lineage(model.transform_tokens(model.tokens), name)
+        finally:
+            model.tokens.unpersist()
+            model.tokens = None
+        return out, model
 
 
 def clean(df: DataFrame, config: CleanConfig | None = None) -> tuple[DataFrame, dict]:

@@ -38,12 +38,10 @@ def cleaned_dirty(spark, sf_dir, materialize: bool = False):
     it back - for consumers that scan it several times (profiling), as a pipeline saves
     its interim clean table before profiling it."""
     raw = dirty_lineitem(spark, sf_dir)
-    model = C.Cleaner(C.CleanConfig(**CLEAN_CFG)).fit(raw)
-    out = model.transform(raw)
     if materialize:
-        from tessera.session import cut_lineage
-        out = cut_lineage(out, "clean")
-    return out, model
+        return C.Cleaner(C.CleanConfig(**CLEAN_CFG)).fit_transform(raw)
+    model = C.Cleaner(C.CleanConfig(**CLEAN_CFG)).fit(raw)
+    return model.transform(raw), model
 
 
 # ---------------------------------------------------------------- C3/C4
@@ -183,7 +181,8 @@ def sparse_columns(spark, sf_dir):
 @register("clean_table", _sql_clean_ctes() + "\nSELECT " +
           ", ".join(s for s in DIRTY_SLUGS if s not in DROPPED) + " FROM msk")
 def clean_table(spark, sf_dir):
-    df, _ = cleaned_dirty(spark, sf_dir)
+    """Fit the cleaner, apply it and save the clean table (read back from the shared folder)."""
+    df, _ = cleaned_dirty(spark, sf_dir, materialize=True)
     return df
 
 
