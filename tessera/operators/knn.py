@@ -79,3 +79,103 @@ def knn_vote(neighbors: DataFrame) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("_s"), F.asc("label"))
     return (scores.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
             .select("qid", F.col("label").alias("prediction")))
+
+
+# ---------------------------------------------------------------- exact, cell-pruned
+def _cell_search(pairs: DataFrame, refs_cells: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Exact top-k of each (query, cell) request against the references of that cell.
+    A cell larger than ``block_rows`` is split into hash sub-blocks; the requests of a cell
+    are replicated over its sub-blocks only.  Returns (qid, vec_id, label, d) candidates."""
+    sizes = refs_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_sz"))
+    nsub = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("_sz") / F.lit(block_rows))).cast("int")
+                        .alias("_nsub"))
+    # one row per cell: cells are bounded by the k-means size (checked by the caller)
+    t = (refs_cells.join(F.broadcast(nsub), "cell")
+         .select(F.col("vec_id").alias("id"), "vec", "label", F.lit(1).alias("_side"), "cell",
+                 F.pmod(F.xxhash64("vec_id"), F.col("_nsub")).cast("int").alias("sub")))
+    q = (pairs.join(F.broadcast(nsub), "cell")
+         .select(F.col("qid").alias("id"), "vec", F.lit(None).cast("long").alias("label"), F.lit(0).alias("_side"),
+                 "cell", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)).alias("sub")))
+    return q.unionByName(t).groupBy("cell", "sub").applyInPandas(
+        _cell_topk(k), "qid long, vec_id long, label long, d double")
+
+
+def _centroid_requests(centroids: np.ndarray, radius: np.ndarray, stage: int):
+    """mapInPandas body: stage 1 -> the query's nearest cell; stage 2 -> every other cell
+    whose lower bound d(q, c) - radius(c) does not exceed the query's k-th distance."""
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            Q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            D = np.sqrt(((Q[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2))
+            own = D.argmin(axis=1)
+            if stage == 1:
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=np.int64), "cell": own.astype(np.int32),
+                                    "vec": pdf["vec"]})
+                continue
+            r = pdf["r"].to_numpy(dtype=np.float64)
+            lower = D - radius[None, :]
+            hit = lower <= r[:, None]
+            hit[np.arange(len(own)), own] = False
+            rows, cells = np.nonzero(hit)
+            if len(rows):
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=np.int64)[rows], "cell": cells.astype(np.int32),
+                                    "vec": pdf["vec"].iloc[rows].reset_index(drop=True)})
+    return fn
+
+
+def knn_neighbors_pruned(queries: DataFrame, refs: DataFrame, k: int = 5, id_col: str = "vec_id",
+                         vec_col: str = "embedding", label_col: str = "label", n_cells: int | None = None,
+                         block_rows: int = 4096, seed: int = 42) -> DataFrame:
+    """Exact k-NN that visits only the reference cells the triangle inequality cannot
+    rule out.  Cells: Spark ML k-means over the references (``n_cells`` centroids, a
+    bounded broadcast); radius(c) = max distance of a member to its centroid.
+    Stage 1 searches each query's own cell -> r_q = k-th distance (inf if fewer than k);
+    stage 2 searches every other cell with d(q, c) - radius(c) <= r_q; the union of both
+    candidate sets contains the true k nearest.  Same output as ``knn_neighbors``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    spark = queries.sparkSession
+    nt = refs.count()
+    n_cells = n_cells or max(1, min(4096, int(math.sqrt(max(nt, 1)) // 2)))
+    r = refs.select(F.col(id_col).cast("long").alias("vec_id"),
+                    F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("long").alias("label"))
+    km = KMeans(k=n_cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=10).fit(
+        r.withColumn("_f", array_to_vector("vec")))
+    centroids = np.array([np.asarray(c, dtype=np.float64) for c in km.clusterCenters()], dtype=np.float64)
+    cent = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(centroids)],
+                                 "cell int, _c array<double>")                  # n_cells rows
+    rc = km.transform(r.withColumn("_f", array_to_vector("vec"))).select("vec_id", "vec", "label", "cell")
+    dist = F.sqrt(F.aggregate(F.zip_with(F.col("vec"), F.col("_c"), lambda a, b: (a - b) * (a - b)),
+                              F.lit(0.0), lambda acc, x: acc + x))
+    rad_rows = (rc.join(F.broadcast(cent), "cell").groupBy("cell").agg(F.max(dist).alias("rad"))
+                .collect())                                                     # one row per cell
+    radius = np.full(len(centroids), -np.inf)
+    for row in rad_rows:
+        radius[row["cell"]] = row["rad"]
+    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("vec"))
+    req1 = q.mapInPandas(_centroid_requests(centroids, radius, 1), "qid long, cell int, vec array<double>")
+    cand1 = _cell_search(req1, rc, k, block_rows)
+    w = Window.partitionBy("qid").orderBy("d", "vec_id")
+    top1 = cand1.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    rq = top1.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("d").alias("_d"))
+    rq = rq.select("qid", F.when(F.col("_n") >= k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("r"))
+    q2 = q.join(rq, "qid", "left").fillna({"r": float("inf")})
+    req2 = q2.mapInPandas(_centroid_requests(centroids, radius, 2), "qid long, cell int, vec array<double>")
+    cand2 = _cell_search(req2, rc, k, block_rows)
+    cand = top1.drop("_rk").unionByName(cand2)
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+PAIR_BUDGET = 200_000_000
+
+
+def knn_search(queries: DataFrame, refs: DataFrame, k: int = 5, pair_budget: int | None = None, **kw) -> DataFrame:
+    """Exact k-NN choosing the plan by size: up to ``pair_budget`` query x reference pairs
+    the blocked all-pairs search is cheapest; beyond it the cell-pruned search avoids
+    replicating every query to every block.  Both return the same rows."""
+    budget = pair_budget or int(queries.sparkSession.conf.get("spark.tessera.knnPairBudget", str(PAIR_BUDGET)))
+    if queries.count() * refs.count() <= budget:
+        return knn_neighbors(queries, refs, k, **kw)
+    return knn_neighbors_pruned(queries, refs, k, **kw)

@@ -1,5 +1,7 @@
 """k-NN queries (M8): embeddings split 80/20 per label (exact stratified split);
-every test vector is classified by its 5 nearest training vectors."""
+every test vector is classified by its 5 nearest training vectors (exact search; the
+plan - blocked all-pairs or k-means cells pruned by the triangle inequality - is
+chosen by the number of query x reference pairs)."""
 
 from __future__ import annotations
 
@@ -31,7 +33,7 @@ def _split(spark, sf_dir):
 @register("knn_neighbors", _SQL + "\nSELECT qid, vec_id, label, round(d, 6) AS d, rank FROM nb")
 def knn_neighbors(spark, sf_dir):
     q, t = _split(spark, sf_dir)
-    nb = K.knn_neighbors(q, t, k=5)
+    nb = K.knn_search(q, t, k=5)
     return round_doubles(nb.select("qid", "vec_id", F.col("label").cast("int").alias("label"), "d",
                                    F.col("rank").cast("bigint").alias("rank")))
 
@@ -44,5 +46,5 @@ w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, label) AS
 SELECT qid, label AS prediction FROM w WHERE rr = 1""")
 def knn_classify(spark, sf_dir):
     q, t = _split(spark, sf_dir)
-    pred = K.knn_vote(K.knn_neighbors(q, t, k=5))
+    pred = K.knn_vote(K.knn_search(q, t, k=5))
     return pred.select("qid", F.col("prediction").cast("int").alias("prediction"))

@@ -46,3 +46,17 @@ def test_knn_matches_brute_force(spark):
         assert np.allclose(got.d, [D[qi, j] for j in order])
     pred = {r.qid: r.prediction for r in K.knn_vote(spark.createDataFrame(nb)).collect()}
     assert pred[5] == int(lab[6])              # the zero-distance neighbour takes all the weight
+
+
+def test_pruned_knn_equals_blocked(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(scale=6.0, size=(6, 8))
+    X = (centers[rng.integers(0, 6, 600)] + rng.normal(size=(600, 8))).astype(np.float32)
+    lab = rng.integers(0, 4, 600)
+    df = spark.createDataFrame([(i, X[i].tolist(), int(lab[i])) for i in range(600)],
+                               "vec_id long, embedding array<float>, label int")
+    q, t = df.filter(F.col("vec_id") % 5 == 0), df.filter(F.col("vec_id") % 5 != 0)
+    a = K.knn_neighbors(q, t, k=5, block_rows=100).select("qid", "vec_id", "rank").toPandas()
+    b = K.knn_neighbors_pruned(q, t, k=5, n_cells=8, block_rows=40).select("qid", "vec_id", "rank").toPandas()
+    key = ["qid", "rank"]
+    assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
