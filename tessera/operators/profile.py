@@ -13,7 +13,7 @@ task ever holds a column's distinct values); ``exact=False`` uses
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
@@ -266,7 +266,7 @@ def profile_compare(raw: DataFrame, clean: DataFrame, name_map: dict | None = No
 
 __all__ = ["missing_ratio", "describe", "skew_kurtosis", "pct_zeros", "profile_table", "category_freq",
            "class_balance", "histogram", "pair_bins", "crosstab_row_norm", "target_concentration",
-           "profile_flags", "profile_compare", "value_range", "bin_expr", "Window"]
+           "profile_flags", "profile_compare", "value_range", "bin_expr", "infer_roles", "profile_report"]
 
 
 def infer_roles(df: DataFrame, target: str | None = None, id_cols=(), datetime_cols=(), cat_cols=(),

@@ -96,3 +96,12 @@ UNION ALL SELECT 'sum_qty', round((1 - r13 * r13) / det, 6) FROM d
 UNION ALL SELECT 'sum_price', round((1 - r12 * r12) / det, 6) FROM d""")
 def vif(spark, sf_dir):
     return round_doubles(R.vif(order_features(spark, sf_dir), _VIF))
+
+
+@register("spearman_pvalues")
+def spearman_pvalues(spark, sf_dir):
+    """Spearman r of each event feature against the purchase flag with its two-sided
+    p-value (t test, n - 2 df; the incomplete beta runs on the per-feature rows only)."""
+    ev = load_table(spark, sf_dir, "events").withColumn(
+        "y", (F.col("event_type") == "purchase").cast("int"))
+    return round_doubles(R.spearman_target(ev, EV_FEATS, "y", with_pvalue=True))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # a value no real cell holds, so that Spark never turns text into NULL on read
@@ -117,7 +117,7 @@ def save_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 __all__ = ["read_csv_strings", "read_csv_inferred", "read_headerless", "parse_dictionary",
-           "load_dataset", "save_dataset", "Window"]
+           "load_dataset", "save_dataset", "append_runs"]
 
 
 def append_runs(df: DataFrame, path: str) -> str:

@@ -85,3 +85,16 @@ def test_append_runs(spark):
     append_runs(a, path)
     append_runs(a.withColumn("trial_no", a.trial_no + 1), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_profile_report_facade(spark):
+    import numpy as np
+    from tessera.operators.profile import profile_report
+    rng = np.random.default_rng(2)
+    rows = [(int(i), float(a), float(a * 2 + b), int(a > 0), "x" if i % 2 else "y")
+            for i, (a, b) in enumerate(zip(rng.normal(size=200), rng.normal(size=200)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, t int, c string")
+    rep = profile_report(df, target="t", id_cols=["id"])
+    assert rep["roles"]["numeric"] == ["a", "b", "t"] and rep["roles"]["categorical"] == ["c"]
+    assert rep["table"].count() == 5 and rep["strong_pairs"].count() == 1
+    assert {r.feature for r in rep["target_spearman"].collect()} == {"a", "b"}
