@@ -12,7 +12,8 @@ A global ``Window.orderBy`` (no partition) runs in ONE task.  Instead:
 5. running sum inside each (group, bucket) with a window partitioned by it.
 
 Weight before value v = offset(bucket) + running sum before v inside the bucket.
-Every step is a DataFrame operation; nothing is collected.  The same helper gives
+Every step is a DataFrame operation; the only values brought to the driver are the
+B-1 cut points of an ungrouped order (a bounded array).  The same helper gives
 average ranks (Spearman), the Mann-Whitney AUC, and exact stratified splits.
 """
 
@@ -84,8 +85,7 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
                                          for w in weights])
     wi = Window.partitionBy(*by, "_bucket").orderBy(order_col, *(tiebreak or [])).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.select("*", *[F.coalesce(F.sum(w).over(wi), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    # offsets: (#groups x B) rows - broadcast when the groups are few (checked), else shuffle
-    # offsets have at most (#groups x B) rows: same bound as the cuts
+    # offsets have at most (#groups x B) rows, the bound already checked for the cuts
     out = inner.join(F.broadcast(offs) if small_groups else offs, [*by, "_bucket"], "inner")
     return out.select(*[c for c in counts.columns],
                       *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"{w}_before") for w in weights])

@@ -181,8 +181,9 @@ def sparse_columns(spark, sf_dir):
 @register("clean_table", _sql_clean_ctes() + "\nSELECT " +
           ", ".join(s for s in DIRTY_SLUGS if s not in DROPPED) + " FROM msk")
 def clean_table(spark, sf_dir):
-    """Fit the cleaner, apply it and save the clean table (read back from the shared folder)."""
-    df, _ = cleaned_dirty(spark, sf_dir, materialize=True)
+    """Fit the cleaner (two passes) and apply it (a lazy projection: the consumer's
+    write of the result is its only materialisation)."""
+    df, _ = cleaned_dirty(spark, sf_dir)
     return df
 
 

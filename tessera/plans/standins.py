@@ -77,7 +77,7 @@ ORDER_FEATURES_SQL = """order_features AS (
                       FROM lineitem GROUP BY l_orderkey) s ON o.o_orderkey = s.l_orderkey)"""
 
 
-def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_features(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     """Per-order numeric features: lineitem aggregated by order, joined to orders.
     Both sides are partitioned on the order key, so the aggregate's shuffle is reused
     by the join."""
@@ -90,6 +90,9 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.avg("l_discount").alias("avg_disc"))
     of = (o.join(s, o.o_orderkey == s.l_orderkey, "inner")
           .select("o_orderkey", "n_lines", "sum_qty", "sum_price", "avg_disc", "o_totalprice"))
-    # read by several passes downstream (ranks, moments, quantiles): cut the lineage once
+    if not materialize:
+        return of
+    # for consumers that scan it several times (ranks, quantiles, PCA): one aggregate +
+    # join, written to the shared folder, instead of one per pass
     from tessera.session import cut_lineage
-    return cut_lineage(of)
+    return cut_lineage(of, "order_features")

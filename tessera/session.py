@@ -68,6 +68,13 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     columnar and Catalyst keeps size statistics for join planning.  (``df.checkpoint()``
     would recompute the plan for its RDD write and store serialised rows.)"""
     import uuid
-    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    parts = df.rdd.getNumPartitions()
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = spark.read.parquet(path)
+    # a small table's files are packed into one split on read; keep the parallelism it had
+    want = min(parts, spark.sparkContext.defaultParallelism)
+    if back.rdd.getNumPartitions() < want:
+        back = back.repartition(want)
+    return back
