@@ -1,5 +1,6 @@
-"""Source queries (S3, S4, date parsing).  Each writes its raw input from a test
-table into the shared scratch folder, then runs the library's reader on it."""
+"""Source queries (S3, S4, date parsing).  The two file readers first write their raw
+input (from a test table) into the shared scratch folder, then read it back with the
+library's reader; the date parser reads a text rendering of the event timestamps."""
 
 from __future__ import annotations
 
