@@ -94,3 +94,23 @@ def test_exact_quantiles_both_paths(spark, limit):
         s = pdf[pdf.g == r.g][r.col]
         assert r.q1 == pytest.approx(s.quantile(0.25)) and r.q2 == pytest.approx(s.quantile(0.5))
         assert r.q9 == pytest.approx(s.quantile(0.9))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_hot_value_third_of_rows(spark, parts):
+    """One value holds a third of all rows: ranks, AUC and the split stay exact."""
+    from tessera.operators.metrics import roc_auc
+    from tessera.operators.split import stratified_split
+    rng = np.random.default_rng(9)
+    n = 3000
+    score = np.where(np.arange(n) % 3 == 0, 0.5, rng.random(n).round(3))
+    y = (rng.random(n) < 0.3).astype(int)
+    pdf = pd.DataFrame({"id": np.arange(n), "s": score, "y": y})
+    df = spark.createDataFrame(pdf).repartition(parts)
+    rt = rank_table(df, "s").toPandas().set_index("s")["rank"]
+    assert np.allclose(pdf["s"].map(rt).to_numpy(), pdf["s"].rank(method="average").to_numpy())
+    pos, neg = pdf.s[pdf.y == 1].to_numpy(), pdf.s[pdf.y == 0].to_numpy()
+    exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert roc_auc(df, "y", "s").first().roc_auc == pytest.approx(exp)
+    sp = stratified_split(df, "y", "id", 0.2).filter(F.col("split") == "test").groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in sp} == {c: int(np.ceil((pdf.y == c).sum() * 0.2)) for c in (0, 1)}
