@@ -13,13 +13,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
 from tessera.functions.stats import safe_corr, t_pvalue
 from tessera.operators.rank import rank_table
+from tessera.session import keep
 
 
 def _long(df: DataFrame, structs, schema: str) -> DataFrame:
@@ -39,7 +39,7 @@ def attach_ranks(df: DataFrame, cols, suffix: str = "__rank", max_broadcast_rows
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"),
                                                       F.col(q(c)).cast("double").alias("_v"))
                                              for c in cols])).alias("_s")).select("_s.*")
-    rt = rank_table(stacked, "_v", by=["_col"], out="_r").persist(StorageLevel.MEMORY_AND_DISK)
+    rt = keep(rank_table(stacked, "_v", by=["_col"], out="_r"))
     # one count bounds every per-column piece: broadcast them all, or shuffle-join them all
     small = rt.count() <= max_broadcast_rows
     out = df

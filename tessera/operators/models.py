@@ -20,7 +20,6 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.metrics import evaluate
 from tessera.operators.split import with_class_weights
+from tessera.session import keep
 
 SCALED = {"logreg", "svc", "knn"}
 
@@ -176,8 +176,7 @@ def param_grid(grid: dict) -> list[dict]:
 def grid_search(train: DataFrame, test: DataFrame, features, grids: dict, label: str = "label",
                 scoring: str = "roc_auc", balanced: bool = False, parallelism: int = 4, seed: int = 42):
     """Run every (algorithm, params) trial on one persisted split; returns (run table, models)."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = keep(train), keep(test)
     trials = [(algo, p) for algo in grids for p in param_grid(grids[algo])]
 
     def run(i_t):

@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import keep
+
 DEFAULT_BUCKETS = 256
 
 
@@ -68,7 +69,7 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
         if by:
             # one row per group with B-1 cut points: broadcast only after a count proves
             # the number of groups small (else a shuffle join)
-            cuts = cuts.persist(StorageLevel.MEMORY_AND_DISK)
+            cuts = keep(cuts)
             small_groups = cuts.count() * buckets <= 2_000_000
             tagged = counts.join(F.broadcast(cuts) if small_groups else cuts, by, "inner")
             tagged = tagged.withColumn("_bucket", lower_bound(F.col("_cuts"), v, buckets)).drop("_cuts")
@@ -117,5 +118,5 @@ def with_rank(df: DataFrame, col: str, out: str | None = None, by: list[str] | N
     """Attach the average rank of ``col`` (NULL stays NULL) to every row."""
     out = out or f"{col}_rank"
     by = list(by or [])
-    rt = rank_table(df, col, by, out=out).cache()
+    rt = keep(rank_table(df, col, by, out=out))
     return size_checked_join(df, rt, [*by, col], "left", max_broadcast_rows)

@@ -78,3 +78,25 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     if back.rdd.getNumPartitions() < want:
         back = back.repartition(want)
     return back
+
+
+# intermediates persisted by operators whose lazy results still need them
+_KEPT: list = []
+
+
+def keep(df: DataFrame, level=None) -> DataFrame:
+    """Persist an intermediate (memory, spilling to disk) and register it for ``release``.
+    Lost blocks are recomputed from lineage, so this is safe under executor loss."""
+    from pyspark import StorageLevel
+    out = df.persist(level or StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(out)
+    return out
+
+
+def release() -> int:
+    """Unpersist every intermediate registered by ``keep`` (call once the results that
+    depend on them have been written or collected).  Returns how many were released."""
+    n = len(_KEPT)
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    return n
