@@ -1 +1,3 @@
-from tessera.streaming.jobs import score_stream, monitor_stream, run_available_now  # noqa: F401
+from tessera.streaming.jobs import (  # noqa: F401
+    monitor_stream, run_available_now, score_stream, score_stream_reloading, source,
+)
