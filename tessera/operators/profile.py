@@ -60,12 +60,20 @@ def describe(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 10000
         s.append(F.struct(F.lit(c).alias("col"), F.count(v).alias("count"), F.avg(v).alias("mean"),
                           F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
                           *([qs[0][0].alias("p25"), qs[0][1].alias("p50"), qs[0][2].alias("p75")] if qs else []),
-                          F.max(v).alias("max")))
-    base = _long(df, s, "col string, count bigint, mean double, std double, min double, max double")
-    if exact and cols:
-        qt = quantile_columns(df, cols, (0.25, 0.5, 0.75), ("p25", "p50", "p75"))
-        base = base.join(qt, "col", "left")
-    return base.select("col", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+                          F.max(v).alias("max"),
+                          *([F.approx_count_distinct(v, 0.05).alias("_nd")] if exact else [])))
+    schema = "col string, count bigint, mean double, std double, min double, max double"
+    out_cols = ["col", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema + ", p25 double, p50 double, p75 double").select(*out_cols)
+    if not exact:                                   # approximate quartiles inside the one aggregate
+        return _long(df, s, schema).select(*out_cols)
+    # moments and distinct counts in one eager pass (one row per column), then quartiles
+    rows = _long(df, s, schema + ", _nd bigint").collect()
+    base = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], schema)
+    qt = quantile_columns(df, cols, (0.25, 0.5, 0.75), ("p25", "p50", "p75"),
+                          distinct={r["col"]: r["_nd"] for r in rows})
+    return base.join(qt, "col", "left").select(*out_cols)
 
 
 def skew_kurtosis(df: DataFrame, cols=None) -> DataFrame:
