@@ -28,6 +28,6 @@ def dirty(spark):
         mostly = "42" if i == 59 else None
         text_num = ["2.0", "2.5", "3.0", "3.5"][i % 4]
         rows.append((i + 1, income, claims, 1 if i % 4 == 0 else 0, region, camp, mostly, text_num))
-    schema = ("`Customer ID` long, `Income ` string, pastclaims string, CARAVAN int, `Region Label` string, "
+    schema = ("`Customer ID` long, `Income ` string, pastclaims string, HAS_POLICY int, `Region Label` string, "
               "campaign_label string, mostly_missing string, `text_numeric ` string")
     return spark.createDataFrame(rows, schema)

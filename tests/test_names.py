@@ -33,6 +33,6 @@ def test_slugify_idempotent(s):
 
 
 def test_guess_target():
-    cols = ["customer_id", "caravan", "income"]
-    assert guess_target(cols, "CARAVAN") == "caravan"
+    cols = ["customer_id", "has_policy", "income"]
+    assert guess_target(cols, "HAS_POLICY") == "has_policy"
     assert guess_target(["x", "my_target_col"], "target") == "my_target_col"
