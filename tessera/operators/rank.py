@@ -12,6 +12,8 @@ A global ``Window.orderBy`` (no partition) runs in ONE task.  Instead:
 5. running sum inside each (group, bucket) with a window partitioned by it.
 
 Weight before value v = offset(bucket) + running sum before v inside the bucket.
+When every group has at most ``spark.tessera.singleTaskOrderRows`` (1M) distinct rows,
+one bucket per group is used: a bounded sort per task, without the cut/offset stages.
 Every step is a DataFrame operation; the only values brought to the driver are the
 B-1 cut points of an ungrouped order (a bounded array).  The same helper gives
 average ranks (Spearman), the Mann-Whitney AUC, and exact stratified splits.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.session import keep
 
 DEFAULT_BUCKETS = 256
+SINGLE_TASK_ROWS = 1_000_000
 
 
 def lower_bound(cuts: Column, v: Column, max_len: int) -> Column:
@@ -54,6 +57,15 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
     precomputed bucket that is monotone in the order (skips the quantile pass)."""
     by = list(by or [])
     spark = counts.sparkSession
+    if buckets is None and bucket_col is None:
+        # one sorted window per group is cheapest while a group is small enough for one
+        # task (a bounded sort); larger groups are cut into buckets so no task holds them
+        counts = keep(counts)
+        sizes = counts.groupBy(*by).count() if by else counts.select(F.lit(1).alias("_g")).groupBy("_g").count()
+        largest = sizes.agg(F.max("count")).first()[0] or 0
+        limit = int(spark.conf.get("spark.tessera.singleTaskOrderRows", str(SINGLE_TASK_ROWS)))
+        buckets = 1 if largest <= limit else max(DEFAULT_BUCKETS,
+                                                  4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     if buckets is None:
         buckets = max(DEFAULT_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     accuracy = accuracy or max(10000, 8 * buckets)
