@@ -9,8 +9,10 @@ Cluster rules followed here:
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,37 +49,48 @@ def get_session(app: str = "tessera", cpus: int | str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a private one only when unset."""
+    """Return the shared checkpoint folder.  A private one is created only where the setting
+    is missing AND the master is local (tests): on a cluster every executor would write to
+    its own disk, so that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for materialised intermediates."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A place in this application's own folder below the shared checkpoint folder; the
+    folder is removed when the driver's interpreter ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _ROOTS[app])
+    return f"{_ROOTS[app]}/{name}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:          # stopped already: nothing of this application runs any more
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it
-    back: the lineage is cut (survives executor loss, never recomputed), the data stay
-    columnar and Catalyst keeps size statistics for join planning.  (``df.checkpoint()``
-    would recompute the plan for its RDD write and store serialised rows.)"""
-    import uuid
+    """Write ``df`` as a parquet table in the shared folder and read it back: the lineage is
+    cut (survives executor loss, never recomputed), the data stay columnar and Catalyst
+    keeps size statistics for join planning."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
-    parts = df.rdd.getNumPartitions()
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    # a small table's files are packed into one split on read; keep the parallelism it had
-    want = min(parts, spark.sparkContext.defaultParallelism)
-    if back.rdd.getNumPartitions() < want:
-        back = back.repartition(want)
-    return back
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # intermediates persisted by operators whose lazy results still need them
