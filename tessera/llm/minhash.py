@@ -10,15 +10,19 @@ A text's set is its distinct ``width``-word shingles.  Method:
 4. star-shaped candidate edges: each bucket ties its members to its least member (the hub);
 5. every candidate is confirmed on the full shingle sets; confirmed links and exact copies
    give components;
-6. a star loses a link when two members resemble each other and not the hub.  So in every
-   bucket whose members are still in different components, each member outside the
-   bucket's largest component is compared with the members of the other components.
-   After it, two texts that share a bucket are in one component or were compared in full.
+6. a star loses a link when two members resemble each other and not the hub.  So buckets
+   whose members are in different components after step 5 are looked at again: in buckets
+   of at most ``FEW`` members all members of different components are compared (no more
+   than FEW pairs per member); members of larger ones get ``FINE_KEYS`` further keys of
+   ``FINE_ROWS`` bins each, whose buckets hold only what is much alike, and these are
+   treated in the same way, large ones by stars again.
 
 Equal sets meet by their digest before step 3, so a group of exact copies enters the
-buckets as one member, and copies are never paired.  Nothing is capped or dropped.  In step
-6, pairs are made for members outside the bucket's largest component only; that number is
-small unless many texts share a bucket while hardly any are similar enough.
+buckets as one member, and copies are never paired.  Candidates grow in proportion to
+members and keys, not with the square of a group.  Two texts at the threshold of 0.85 share
+no bucket with probability 6e-11 (0.8: 1e-7); in a bucket of over FEW texts, hardly two of
+which are linked, the further keys bring such a pair together with probability 0.998 (0.8:
+0.84; 0.9: over 0.999999), and it is linked anyway when both are linked to a common text.
 
 Rows that share a doc_id are one node (linked if any of their texts is).  NULL and empty
 texts and texts without words have an empty set: linked with nothing.  Rows with a NULL
@@ -41,8 +45,9 @@ from tessera.llm.text import SPACE, chunks, mix64, salts, shingle_sets, utf8
 from tessera.session import cut_lineage
 
 BANDS, ROWS = 40, 5
+FINE_KEYS, FINE_ROWS, FEW = 160, 20, 16
 
-SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>, bins binary"
 
 
 def _bin_orders(bins: int) -> np.ndarray:
@@ -73,16 +78,47 @@ def _sign(width: int, bands: int, rows: int):
         for piece in chunks(batches):
             sets = shingle_sets(*utf8(piece.column(1)), width)
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys = [None] * len(sets)
+            keys, short = [None] * len(sets), [None] * len(sets)
             if some:
-                table = np.stack([signature(sets[i], edges, orders) for i in some]).reshape(len(some), bands, rows)
-                hashed = mix64((table * place).sum(axis=2, dtype=np.uint64) + band).view(np.int64)
-                for i, row in zip(some, hashed):
-                    keys[i] = row
+                table = np.stack([signature(sets[i], edges, orders) for i in some])
+                hashed = mix64((table.reshape(len(some), bands, rows) * place).sum(axis=2, dtype=np.uint64) + band).view(np.int64)
+                for i, row, low in zip(some, hashed, table.astype("<u2")):
+                    keys[i], short[i] = row, low.tobytes()
             yield pa.RecordBatch.from_arrays([
                 piece.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "keys", "bins"])
+    return run
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, keys): hashes of FINE_KEYS random choices of FINE_ROWS bins (low 16 bits each)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([np.frombuffer(b, "<u2") for b in batch.column(1).to_pylist()]).astype(np.uint64)
+        rng, place = np.random.default_rng(606), salts(FINE_ROWS, 33)
+        keys = np.empty((len(table), FINE_KEYS), dtype=np.int64)
+        for k in range(FINE_KEYS):
+            chosen = rng.choice(table.shape[1], FINE_ROWS, replace=False)
+            keys[:, k] = mix64((table[:, chosen] * place).sum(axis=1, dtype=np.uint64) + np.uint64(k)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "keys"])
+
+
+def _likely(share: tuple[int, int]):
+    """Pairs whose share of equal bins is not more than five standard deviations below what
+    the threshold would give (a set of n shingles fills n bins of its own at most)."""
+    t = share[0] / share[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = batch.column(2).to_numpy()
+            equal = np.array([(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean()
+                              for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], dtype=float)
+            bins = len(batch.column(3)[0].as_py()) // 2 if batch.num_rows else 1
+            keep = equal >= t - 5 * np.sqrt(t * (1 - t) / np.minimum(least, bins))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -124,38 +160,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut_lineage(docs.mapInArrow(_sign(width, bands, rows), SIGNED), "signed")
     known = signed.filter("doc_id is not null and digest is not null")
-    groups = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"),
-                                         F.min(F.struct("doc_id", "n_shingles", "keys")).alias("first"))
-    reps = groups.select("rep", F.col("first.n_shingles").alias("size"), F.col("first.keys").alias("keys"))
-    buckets = reps.select("rep", "size", F.posexplode("keys").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.min(F.struct("rep", "size")).alias("hub"), F.max("rep").alias("last")) \
-        .filter("hub.rep < last").select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"))
-    members = cut_lineage(buckets.join(shared, ["band", "key"]), "members")
+    groups = cut_lineage(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"),
+                                         F.min(F.struct("doc_id", "n_shingles", "keys", "bins")).alias("first")), "groups")
+    reps = groups.select("rep", F.col("first.n_shingles").alias("size"), F.col("first.keys").alias("keys"),
+                         F.col("first.bins").alias("bins"))
 
     def alike(x: str, y: str):
         return (F.col(x) * share[1] >= F.col(y) * share[0]) & (F.col(y) * share[1] >= F.col(x) * share[0])
 
-    stars = members.filter("rep > hub").filter(alike("size", "hub_size")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirm(stars, docs, width, share)
+    def bucketed(rows: DataFrame) -> DataFrame:
+        # rows (bucket, rep, size) of buckets of two members or more, with hub and n
+        shared = rows.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("hub"), F.count(F.lit(1)).alias("n")) \
+            .filter("n > 1").select("bucket", "n", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"))
+        return cut_lineage(rows.join(shared, "bucket"), "members")
+
+    def stars(rows: DataFrame) -> DataFrame:
+        return rows.filter("rep > hub").filter(alike("size", "hub_size")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+
+    def few(rows: DataFrame) -> DataFrame:
+        small = rows.filter(F.col("n") <= FEW)
+        x = small.select("bucket", F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("comp_a"))
+        y = small.select("bucket", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("comp_b"))
+        return x.join(y, "bucket").filter("a < b and comp_a <> comp_b").filter(alike("size_a", "size_b")).select("a", "b")
+
+    def torn(rows: DataFrame, found: DataFrame) -> DataFrame:
+        placed = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
+            .withColumn("component", F.coalesce("component", "rep"))
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q")
+        return cut_lineage(placed.join(apart.select("bucket"), "bucket"), "torn")
+
+    members = bucketed(reps.select("rep", "size", F.posexplode("keys").alias("band", "key"))
+                       .select(F.xxhash64("band", "key").alias("bucket"), "rep", "size"))
+    first = stars(members).distinct()
     copies = known.join(groups.filter("n > 1").select("digest", "rep"), "digest").filter("doc_id <> rep") \
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    edges = cut_lineage(links.unionByName(copies), "links")
+    edges = cut_lineage(confirm(first, docs, width, share).unionByName(copies), "links")
     found = cut_lineage(components(edges), "components")
 
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep"))
-    torn = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")) \
-        .filter("parts > 1").select("band", "key", F.col("most.component").alias("largest"))
-    torn = cut_lineage(placed.join(torn, ["band", "key"]), "torn")
-    x = torn.filter("component <> largest").select("band", "key", F.col("rep").alias("x"), F.col("size").alias("size_x"),
-                                                   F.col("component").alias("comp_x"))
-    y = torn.select("band", "key", F.col("rep").alias("y"), F.col("size").alias("size_y"), F.col("component").alias("comp_y"),
-                    (F.col("component") != F.col("largest")).alias("outside"))
-    rest = (x.join(y, ["band", "key"]).filter(F.col("comp_x") != F.col("comp_y")).filter(alike("size_x", "size_y"))
-            .filter("not outside or x < y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
+    left = torn(members, found)
+    ids = left.filter(F.col("n") > FEW).select("rep").distinct()
+    fine = reps.select("rep", "size", "bins").join(ids, "rep")
+    fine = fine.select("rep", "bins").mapInArrow(_fine, "rep long, keys array<long>").join(fine.select("rep", "size"), "rep") \
+        .select(F.explode("keys").alias("bucket"), "rep", "size")
+    fine = torn(bucketed(fine), found)
+    rest = (few(left).unionByName(few(fine)).unionByName(stars(fine.filter(F.col("n") > FEW))).distinct()
+            .join(first, ["a", "b"], "left_anti"))
+    a, b = (reps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
+    rest = rest.join(a, "a").join(b, "b").select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b") \
+        .mapInArrow(_likely(share), "a long, b long")
     more = cut_lineage(confirm(rest, docs, width, share), "links")
     if not more.isEmpty():
         joined = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
