@@ -43,7 +43,7 @@ NOTICES = {
 }
 BASE_WEIGHT = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.7}
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx[^\w\n]license[^\w\n]identifier[^\w\n]*:?[ \t]*([^\n]*)", re.I)
+TAG_LINE = re.compile(r"spdx[^\w\n]license[^\w\n]identifier[ \t]*:?[ \t]*([^\n]*)", re.I)
 
 #: identifiers (lower case) that ask for no more than notices
 PERMISSIVE = {"mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "zlib", "unlicense", "cc0-1.0",
