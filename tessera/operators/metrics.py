@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
-from tessera.operators.rank import ordered_prefix
+from tessera.operators.rank import join_null_safe, ordered_prefix
 
 EPS = 1e-15
 
@@ -49,13 +49,14 @@ def count_metrics(df: DataFrame, label: str, pred: str, prob: str | None = None,
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
-    """(by..., roc_auc); NULL when a slice has only one class."""
+    """(by..., roc_auc); NULL when a slice has only one class.  Rows without a label count for
+    neither class."""
     by = list(by)
     y = _c(label).cast("int")
     g = (df.filter(_c(score).isNotNull())
          .groupBy(*[_c(b) for b in by], _c(score).cast("double").alias("_s"))
          .agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("_p"),
-              F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("_q")))
+              F.sum(F.when(y != 1, 1).otherwise(0)).cast("long").alias("_q")))
     pref = ordered_prefix(g, "_s", ["_q"], by=by)
     contrib = F.col("_p").cast("double") * (F.col("_q_before").cast("double") + F.col("_q").cast("double") / 2.0)
     a = pref.groupBy(*by).agg(F.sum(contrib).alias("_num"), F.sum("_p").cast("double").alias("_P"),
@@ -77,7 +78,7 @@ def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", prob
         return m.withColumn("roc_auc", F.lit(None).cast("double")).withColumn("log_loss", F.lit(None).cast("double"))
     a = roc_auc(df, label, prob, by)
     if by:
-        return m.join(a, list(by), "left")
+        return join_null_safe(m, a, list(by), "left")
     # both sides are single rows: attach on a constant key
     return m.withColumn("_k", F.lit(1)).join(F.broadcast(a.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
 

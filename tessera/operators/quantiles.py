@@ -8,7 +8,7 @@ a single final task - unbounded for a continuous column at scale.  Here:
 2. ``ordered_prefix`` gives, per distinct value, the number of rows strictly below;
 3. per (group, col): n, and for each probability p the 0-based positions
    floor(h), ceil(h) with h = (n - 1) p  (a table of groups x cols x probs rows);
-4. a broadcast join of that small positions table picks the value whose row range
+4. a join with that positions table picks the value whose row range
    [before, before + count) contains each position;
 5. q = v_lo + (h - floor(h)) (v_hi - v_lo).
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
-from tessera.operators.rank import ordered_prefix
+from tessera.operators.rank import join_null_safe, ordered_prefix
 
 
 def quantiles(df: DataFrame, cols, probs, by=(), buckets: int | None = None) -> DataFrame:
@@ -37,8 +37,7 @@ def quantiles(df: DataFrame, cols, probs, by=(), buckets: int | None = None) ->
            .select(*keys, "_p", F.floor(h).cast("long").alias("_lo"), F.ceil(h).cast("long").alias("_hi"),
                    (h - F.floor(h)).alias("_frac")))
     look = pos.select(*keys, "_p", "_lo", "_hi", "_frac", F.explode(F.array("_lo", "_hi")).alias("_j")).distinct()
-    # positions table: groups x cols x probs x 2 rows - broadcast
-    hit = (pref.join(F.broadcast(look), keys, "inner")
+    hit = (join_null_safe(pref, look, keys)
            .filter((F.col("_n_before") <= F.col("_j")) & (F.col("_j") < F.col("_n_before") + F.col("_n"))))
     vals = hit.groupBy(*keys, "_p").agg(
         F.max(F.when(F.col("_j") == F.col("_lo"), F.col("_v"))).alias("_vlo"),

@@ -12,8 +12,6 @@ A global ``Window.orderBy`` (no partition) runs in ONE task.  Instead:
 5. running sum inside each (group, bucket) with a window partitioned by it.
 
 Weight before value v = offset(bucket) + running sum before v inside the bucket.
-When every group has at most ``spark.tessera.singleTaskOrderRows`` (1M) distinct rows,
-one bucket per group is used: a bounded sort per task, without the cut/offset stages.
 Every step is a DataFrame operation; the only values brought to the driver are the
 B-1 cut points of an ungrouped order (a bounded array).  The same helper gives
 average ranks (Spearman), the Mann-Whitney AUC, and exact stratified splits.
@@ -26,10 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.names import q
 from tessera.session import keep
 
 DEFAULT_BUCKETS = 256
-SINGLE_TASK_ROWS = 1_000_000
 
 
 def lower_bound(cuts: Column, v: Column, max_len: int) -> Column:
@@ -48,6 +46,16 @@ def lower_bound(cuts: Column, v: Column, max_len: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys of ``left`` stay."""
+    names = {k: f"_right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    on = F.lit(True)
+    for k, other in names.items():
+        on = on & F.col(q(k)).eqNullSafe(F.col(q(other)))
+    return left.join(right, on, how).drop(*names.values())
+
+
 def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: list[str] | None = None,
                    buckets: int | None = None, accuracy: int | None = None,
                    tiebreak: list[str] | None = None, bucket_col: str | None = None) -> DataFrame:
@@ -57,33 +65,20 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
     precomputed bucket that is monotone in the order (skips the quantile pass)."""
     by = list(by or [])
     spark = counts.sparkSession
-    if buckets is None and bucket_col is None:
-        # one sorted window per group is cheapest while a group is small enough for one
-        # task (a bounded sort); larger groups are cut into buckets so no task holds them
-        counts = keep(counts)
-        sizes = counts.groupBy(*by).count() if by else counts.select(F.lit(1).alias("_g")).groupBy("_g").count()
-        largest = sizes.agg(F.max("count")).first()[0] or 0
-        limit = int(spark.conf.get("spark.tessera.singleTaskOrderRows", str(SINGLE_TASK_ROWS)))
-        buckets = 1 if largest <= limit else max(DEFAULT_BUCKETS,
-                                                  4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     if buckets is None:
         buckets = max(DEFAULT_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     accuracy = accuracy or max(10000, 8 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     v = F.col(order_col)
 
-    small_groups = True
     if bucket_col is not None:
         tagged = counts.withColumn("_bucket", F.col(bucket_col))
     elif buckets > 1:
         cuts = counts.groupBy(*by).agg(
             F.array_sort(F.array_distinct(F.percentile_approx(v, probs, accuracy))).alias("_cuts"))
         if by:
-            # one row per group with B-1 cut points: broadcast only after a count proves
-            # the number of groups small (else a shuffle join)
-            cuts = keep(cuts)
-            small_groups = cuts.count() * buckets <= 2_000_000
-            tagged = counts.join(F.broadcast(cuts) if small_groups else cuts, by, "inner")
+            # one row per group with B-1 cut points; NULL is a group like any other
+            tagged = join_null_safe(counts, cuts, by)
             tagged = tagged.withColumn("_bucket", lower_bound(F.col("_cuts"), v, buckets)).drop("_cuts")
         else:
             cut_list = cuts.first()["_cuts"] or []          # B-1 numbers: a scalar-sized result
@@ -98,8 +93,8 @@ def ordered_prefix(counts: DataFrame, order_col: str, weights: list[str], by: li
                                          for w in weights])
     wi = Window.partitionBy(*by, "_bucket").orderBy(order_col, *(tiebreak or [])).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.select("*", *[F.coalesce(F.sum(w).over(wi), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    # offsets have at most (#groups x B) rows, the bound already checked for the cuts
-    out = inner.join(F.broadcast(offs) if small_groups else offs, [*by, "_bucket"], "inner")
+    # without groups the offsets are at most B rows
+    out = join_null_safe(inner, offs if by else F.broadcast(offs), [*by, "_bucket"])
     return out.select(*[c for c in counts.columns],
                       *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"{w}_before") for w in weights])
 

@@ -40,9 +40,12 @@ def stratified_split(df: DataFrame, label: str | None, key: str, test_frac: floa
                              "_lab": lab, "_one": F.lit(1)})
     tagged = tagged.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_u") * buckets).cast("int")))
     counts = class_counts(tagged, "_lab")                     # one number per class
-    quota = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(math.ceil(n * test_frac)))])
+    quota = F.lit(math.ceil(counts.pop(None, 0) * test_frac))          # rows without a label are a class too
+    if counts:
+        by_class = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(math.ceil(n * test_frac)))])
+        quota = F.when(F.col("_lab").isNull(), quota).otherwise(by_class[F.col("_lab")])
     pos = ordered_prefix(tagged, "_u", ["_one"], by=["_lab"], tiebreak=["_h", key], bucket_col="_b")
-    res = pos.withColumn(out, F.when(F.col("_one_before") < quota[F.col("_lab")], F.lit("test"))
+    res = pos.withColumn(out, F.when(F.col("_one_before") < quota, F.lit("test"))
                          .otherwise(F.lit("train")))
     return res.drop("_u", "_h", "_lab", "_one", "_b", "_one_before")
 

@@ -73,19 +73,15 @@ def parse_dictionary(spark: SparkSession, path: str, min_entries: int | None = N
     distributed text read; the start/stop line numbers are two scalar aggregates.
     """
     lines = (spark.read.text(path)
-             .withColumn("line_no", F.monotonically_increasing_id()))
-    # monotonically_increasing_id is ordered within and across file splits
-    start = lines.filter(F.col("value").rlike(r"^1\s+\S+")).agg(F.min("line_no")).first()[0]
+             .select("value", F.struct("_metadata.file_path", "_metadata.file_block_start",
+                                       F.monotonically_increasing_id()).alias("line_no")))
+    # files in order of their paths; the id is ordered within a block of a file
+    start = lines.filter(F.col("value").rlike(r"^1\s+\S+")).agg(F.min("line_no").alias("m"))
     entry = r"^(\d+)\s+(\S+)\s+"
-    if start is None:
-        return spark.createDataFrame([], "number int, name string")
-    stop = (lines.filter((F.col("line_no") > F.lit(start)) &
-                         ((F.trim(F.col("value")) == "") | F.col("value").startswith("L0")))
-            .agg(F.min("line_no")).first()[0])
-    keep = F.col("line_no") >= F.lit(start)
-    if stop is not None:
-        keep = keep & (F.col("line_no") < F.lit(stop))
-    out = (lines.filter(keep & F.col("value").rlike(entry))
+    begun = lines.join(F.broadcast(start), F.col("line_no") >= F.col("m")).drop("m")            # one row
+    ends = begun.filter((F.trim("value") == "") | F.col("value").startswith("L0")).agg(F.min("line_no").alias("m"))
+    out = (begun.join(F.broadcast(ends), F.col("m").isNull() | (F.col("line_no") < F.col("m")))
+           .filter(F.col("value").rlike(entry))
            .select(F.regexp_extract("value", entry, 1).cast("int").alias("number"),
                    F.regexp_extract("value", entry, 2).alias("name"))
            .orderBy("number"))

@@ -60,14 +60,15 @@ def score_stream_reloading(stream: DataFrame, load_champion, out_path: str, keys
                            checkpoint: str | None = None):
     """Continuous scoring that picks up a newly registered champion: ``load_champion()``
     returns ``(model, feature_names)`` and is called once per micro-batch inside
-    ``foreachBatch``; each batch is appended to ``out_path``.  Returns the started query."""
+    ``foreachBatch``; each batch is the partition ``batch_id`` of ``out_path``, overwritten
+    when the batch is run again.  Returns the started query."""
     spark = stream.sparkSession
     ckpt = checkpoint or scratch_path(spark, f"streams/reload-{uuid.uuid4().hex[:12]}/_checkpoint")
 
     def each(batch: DataFrame, batch_id: int):
         model, names = load_champion()
         score_batch(batch, model, names, keys=keys, threshold=threshold) \
-            .withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+            .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())

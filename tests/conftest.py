@@ -18,16 +18,14 @@ def spark():
 
 @pytest.fixture(scope="session")
 def dirty(spark):
-    """60-row raw table in the shape of the reference's dirty fixture (own literals)."""
+    """60 meter readings with untidy headers, missing tokens and one nearly empty column."""
+    gaps = {7: "n/a", 19: "", 23: "?", 41: "null"}
     rows = []
-    for i in range(60):
-        income = {1: "", 2: "?", 3: "None"}.get(i, str(2500 + 37 * i))
-        claims = f"{1.5 + ((i * 7) % 11 - 5) * 0.06:.2f}"
-        region = "NA" if i == 0 else (" North" if i % 2 else "SOUTH ")
-        camp = {5: "unknown", 6: ""}.get(i, "promo" if i % 3 else "control")
-        mostly = "42" if i == 59 else None
-        text_num = ["2.0", "2.5", "3.0", "3.5"][i % 4]
-        rows.append((i + 1, income, claims, 1 if i % 4 == 0 else 0, region, camp, mostly, text_num))
-    schema = ("`Customer ID` long, `Income ` string, pastclaims string, HAS_POLICY int, `Region Label` string, "
-              "campaign_label string, mostly_missing string, `text_numeric ` string")
+    for k in range(60):
+        rows.append((500 + k, gaps.get(k, f"{90 + (k * k) % 41}"), f"{0.8 + (k % 9) * 0.05:.2f}", int(k % 5 == 2),
+                     {11: "unknown", 30: "NA"}.get(k, (" Harbour", "MILL ", "Quay")[k % 3]),
+                     {3: "", 13: "nan", 52: "None"}.get(k, "flat" if k % 4 else "night"),
+                     "leak" if k == 31 else None, ("1.25", "4", "7.5")[k % 3]))
+    schema = ("`Meter No` long, `Reading ` string, pressure string, FAULT int, `Site Label` string, "
+              "plan_label string, remark string, `grade ` string")
     return spark.createDataFrame(rows, schema)

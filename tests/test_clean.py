@@ -7,19 +7,19 @@ from tessera.operators import clean as C
 def test_clean_drops_sparse_and_coerces(dirty):
     model = C.Cleaner(C.CleanConfig(drop_na_thresh=0.95, outlier_z=None, numeric_like_ratio=0.6)).fit(dirty)
     out = model.transform(dirty)
-    assert "mostly_missing" not in out.columns
-    assert "mostly_missing" in model.report["dropped_columns"]
-    assert dict(out.dtypes)["income"] == "double"
-    assert out.filter(F.col("income").isNull()).count() == 3
-    assert out.filter(F.col("region_label").isNull()).count() == 1
-    assert out.filter(F.col("campaign_label").isNull()).count() == 2
-    assert {"income", "pastclaims", "text_numeric"} <= set(model.report["numeric_columns"])
-    assert set(out.select("region_label").distinct().toPandas()["region_label"].dropna()) == {"North", "SOUTH"}
+    assert "remark" not in out.columns
+    assert "remark" in model.report["dropped_columns"]
+    assert dict(out.dtypes)["reading"] == "double"
+    assert out.filter(F.col("reading").isNull()).count() == 4
+    assert out.filter(F.col("site_label").isNull()).count() == 2
+    assert out.filter(F.col("plan_label").isNull()).count() == 3
+    assert {"reading", "pressure", "grade"} <= set(model.report["numeric_columns"])
+    assert set(out.select("site_label").distinct().toPandas()["site_label"].dropna()) == {"Harbour", "MILL", "Quay"}
 
 
 def test_clean_keeps_at_higher_threshold(dirty):
     model = C.Cleaner(C.CleanConfig(drop_na_thresh=0.99, outlier_z=4.0, numeric_like_ratio=0.5)).fit(dirty)
-    assert "mostly_missing" in model.transform(dirty).columns
+    assert "remark" in model.transform(dirty).columns
     assert model.report["dropped_columns"] == []
 
 
@@ -52,8 +52,8 @@ def test_interval_rules_first_failure(spark):
 def test_dtype_report_and_dropna(dirty):
     t = C.tokens_to_null(C.rename_columns(dirty))
     rep = {r.col: r for r in C.dtype_report(t).collect()}
-    assert rep["income"].nulls == 3 and rep["mostly_missing"].uniques == 1
-    assert C.dropna_any(t, ["income", "region_label"]).count() == 60 - 4
+    assert rep["reading"].nulls == 4 and rep["remark"].uniques == 1
+    assert C.dropna_any(t, ["reading", "site_label"]).count() == 60 - 6
 
 
 def test_align_and_prepare(spark):

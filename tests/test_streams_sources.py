@@ -76,3 +76,10 @@ def test_reloading_stream_and_estimator(spark):
     raw = spark.createDataFrame([(" 1 ", "x"), ("?", "y"), ("3", "z")], "`A b` string, c string")
     model = Pipeline(stages=[CleanerEstimator(CleanConfig(outlier_z=None, drop_na_thresh=1.0))]).fit(raw)
     assert model.transform(raw).columns == ["a_b", "c"] and dict(model.transform(raw).dtypes)["a_b"] == "double"
+
+
+def test_dictionary_over_two_files(spark, tmp_path):
+    from tessera.sources.files import parse_dictionary
+    (tmp_path / "a.txt").write_text("intro\n1 ALPHA first\n2 BETA second\n")
+    (tmp_path / "b.txt").write_text("3 GAMMA third, in the longer file of the two, read first by size\n4 DELTA fourth\n\n9 OMEGA behind the end\n")
+    assert [tuple(r) for r in parse_dictionary(spark, str(tmp_path)).collect()] == [(1, "ALPHA"), (2, "BETA"), (3, "GAMMA"), (4, "DELTA")]
