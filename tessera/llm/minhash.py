@@ -6,7 +6,8 @@ A text's set is its distinct ``width``-word shingles.  Method:
    cut into ``bands * rows`` equal ranges and the least hash of each range is kept;
 2. optimal densification: an empty bin takes the value of the first filled bin in a random
    order of its own (one fixed random permutation of all bins per bin);
-3. banding: each run of ``rows`` bins is hashed to a bucket key;
+3. banding: each run of ``rows`` bins (the low 16 bits of each are kept) is hashed to a bucket
+   key;
 4. star-shaped candidate edges: each bucket ties its members to its least member (the hub);
 5. every candidate is confirmed on the full shingle sets; confirmed links and exact copies
    give components;
@@ -47,7 +48,7 @@ from tessera.session import cut_lineage
 BANDS, ROWS = 40, 5
 FINE_KEYS, FINE_ROWS, FEW = 160, 20, 16
 
-SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>, bins binary"
+SIGNED = "doc_id long, n_shingles long, digest binary, bins binary"
 
 
 def _bin_orders(bins: int) -> np.ndarray:
@@ -68,27 +69,31 @@ def signature(shingles: np.ndarray, edges: np.ndarray, orders: np.ndarray) -> np
     return out
 
 
-def _sign(width: int, bands: int, rows: int):
-    bins = bands * rows
-
+def _sign(width: int, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(bins, dtype=np.float64) * (2.0 ** 64 / bins)).astype(np.uint64)
         orders = _bin_orders(bins)
-        place, band = salts(rows, 31), salts(bands, 32)
         for piece in chunks(batches):
             sets = shingle_sets(*utf8(piece.column(1)), width)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            keys, short = [None] * len(sets), [None] * len(sets)
-            if some:
-                table = np.stack([signature(sets[i], edges, orders) for i in some])
-                hashed = mix64((table.reshape(len(some), bands, rows) * place).sum(axis=2, dtype=np.uint64) + band).view(np.int64)
-                for i, row, low in zip(some, hashed, table.astype("<u2")):
-                    keys[i], short[i] = row, low.tobytes()
+            short = [signature(s, edges, orders).astype("<u2").tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 piece.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys", "bins"])
+                pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "digest", "bins"])
+    return run
+
+
+def _band(bands: int, rows: int):
+    """(rep, size, keys): a hash of each run of ``rows`` bins (low 16 bits each)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, band = salts(rows, 31), salts(bands, 32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([np.frombuffer(b, "<u2") for b in batch.column(2).to_pylist()]).astype(np.uint64)
+            keys = mix64((table.reshape(len(table), bands, rows) * place).sum(axis=2, dtype=np.uint64) + band).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))],
+                                             names=["rep", "size", "keys"])
     return run
 
 
@@ -138,17 +143,16 @@ def _confirm(width: int, share: tuple[int, int]):
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least share[0] / share[1] in common.
 
-    The text of a hub that stands in very many pairs is dealt to as many tasks as its pairs
-    are: pairs carry a salt from b, and the hub's text is joined once per (a, salt)."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Pairs carry a salt from b, so the pairs of a hub are dealt to as many tasks as there are
+    shuffle partitions.  Texts are asked for by (doc_id, a, salt): a hub's once per salt, a
+    member's once per pair; a text moves to its requests and from there to its pair, and
+    texts nobody asks for do not move where the requests are small enough to broadcast."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut_lineage(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(n))), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut_lineage(docs.join(ids, "doc_id", "left_semi"), "texts")
-    hubs = pairs.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(hubs, ["a", "salt"]).select("a", "b", "text_a", "text_b"))
-    return both.mapInArrow(_confirm(width, share), "a long, b long")
+    hubs = cut_lineage(pairs.select(F.col("a").alias("doc_id"), "a", "salt").distinct(), "hubs")
+    left = docs.join(hubs, "doc_id").select("a", "salt", F.col("text").alias("text_a"))
+    right = docs.join(pairs.withColumn("doc_id", F.col("b")), "doc_id").select("a", "salt", "b", F.col("text").alias("text_b"))
+    return left.join(right, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, share), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
@@ -158,20 +162,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     Texts are linked when share[1] * |A and B| >= share[0] * |A or B|.  component_id is the
     least doc_id reachable over links, kept whether that is the row's own doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut_lineage(docs.mapInArrow(_sign(width, bands, rows), SIGNED), "signed")
+    signed = cut_lineage(docs.mapInArrow(_sign(width, bands * rows), SIGNED), "signed")
     known = signed.filter("doc_id is not null and digest is not null")
     groups = cut_lineage(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"),
-                                         F.min(F.struct("doc_id", "n_shingles", "keys", "bins")).alias("first")), "groups")
-    reps = groups.select("rep", F.col("first.n_shingles").alias("size"), F.col("first.keys").alias("keys"),
-                         F.col("first.bins").alias("bins"))
+                                         F.min(F.struct("doc_id", "n_shingles", "bins")).alias("first")), "groups")
+    reps = groups.select("rep", F.col("first.n_shingles").alias("size"), F.col("first.bins").alias("bins"))
 
     def alike(x: str, y: str):
         return (F.col(x) * share[1] >= F.col(y) * share[0]) & (F.col(y) * share[1] >= F.col(x) * share[0])
 
     def bucketed(rows: DataFrame) -> DataFrame:
         # rows (bucket, rep, size) of buckets of two members or more, with hub and n
-        shared = rows.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("hub"), F.count(F.lit(1)).alias("n")) \
-            .filter("n > 1").select("bucket", "n", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size"))
+        shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.min_by("size", "rep").alias("hub_size"),
+                                            F.count(F.lit(1)).alias("n")).filter("n > 1")
         return cut_lineage(rows.join(shared, "bucket"), "members")
 
     def stars(rows: DataFrame) -> DataFrame:
@@ -189,7 +192,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q")
         return cut_lineage(placed.join(apart.select("bucket"), "bucket"), "torn")
 
-    members = bucketed(reps.select("rep", "size", F.posexplode("keys").alias("band", "key"))
+    members = bucketed(reps.select("rep", "size", "bins").mapInArrow(_band(bands, rows), "rep long, size long, keys array<long>")
+                       .select("rep", "size", F.posexplode("keys").alias("band", "key"))
                        .select(F.xxhash64("band", "key").alias("bucket"), "rep", "size"))
     first = stars(members).distinct()
     copies = known.join(groups.filter("n > 1").select("digest", "rep"), "digest").filter("doc_id <> rep") \
