@@ -47,6 +47,7 @@ from tessera.session import cut_lineage
 
 BANDS, ROWS = 40, 5
 FINE_KEYS, FINE_ROWS, FEW = 160, 20, 16
+SLOTS, SLOT_BITS = 1024, 32768           # SLOT_BITS is the size of Spark's bitmaps
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bins binary"
 
@@ -140,13 +141,34 @@ def _confirm(width: int, share: tuple[int, int]):
     return run
 
 
+def _slot(key: str):
+    """(slot, bit) of an id in a bitmap of SLOTS rows of SLOT_BITS bits."""
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SLOTS * SLOT_BITS))
+    return F.floor(place / SLOT_BITS).cast("int").alias("slot"), (place % SLOT_BITS).cast("int").alias("bit")
+
+
+def id_bitmap(ids: DataFrame, key: str) -> DataFrame:
+    """(slot, bits): a hashed bitmap of the ids, 4 MB whatever their number."""
+    return cut_lineage(ids.select(*_slot(key)).repartition("slot").groupBy("slot")
+                       .agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap")
+
+
+def among(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in the bitmap, and without moving
+    any: the bitmap is broadcast.  Others may stay by chance (all of them when there are far
+    more ids than bits), so an exact join must follow; no row in the bitmap is lost."""
+    slot, bit = _slot(key)
+    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return rows.select("*", slot, bit).join(F.broadcast(bitmap), "slot") \
+        .filter(F.getbit(byte, F.col("bit") % 8) == 1).select(rows.columns)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least share[0] / share[1] in common.
 
     Pairs carry a salt from b, so the pairs of a hub are dealt to as many tasks as there are
     shuffle partitions.  Texts are asked for by (doc_id, a, salt): a hub's once per salt, a
-    member's once per pair; a text moves to its requests and from there to its pair, and
-    texts nobody asks for do not move where the requests are small enough to broadcast."""
+    member's once per pair; a text moves to its requests and from there to its pair."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut_lineage(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(n))), "pairs")
     hubs = cut_lineage(pairs.select(F.col("a").alias("doc_id"), "a", "salt").distinct(), "hubs")
@@ -195,24 +217,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     members = bucketed(reps.select("rep", "size", "bins").mapInArrow(_band(bands, rows), "rep long, size long, keys array<long>")
                        .select("rep", "size", F.posexplode("keys").alias("band", "key"))
                        .select(F.xxhash64("band", "key").alias("bucket"), "rep", "size"))
+    asked = id_bitmap(members, "rep")        # every pair below is of members
+    texts = cut_lineage(among(docs, "doc_id", asked), "texts")
     first = stars(members).distinct()
     copies = known.join(groups.filter("n > 1").select("digest", "rep"), "digest").filter("doc_id <> rep") \
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    edges = cut_lineage(confirm(first, docs, width, share).unionByName(copies), "links")
+    edges = cut_lineage(confirm(first, texts, width, share).unionByName(copies), "links")
     found = cut_lineage(components(edges), "components")
 
     left = torn(members, found)
     ids = left.filter(F.col("n") > FEW).select("rep").distinct()
-    fine = reps.select("rep", "size", "bins").join(ids, "rep")
+    fine = among(reps, "rep", asked).select("rep", "size", "bins").join(ids, "rep")
     fine = fine.select("rep", "bins").mapInArrow(_fine, "rep long, keys array<long>").join(fine.select("rep", "size"), "rep") \
         .select(F.explode("keys").alias("bucket"), "rep", "size")
     fine = torn(bucketed(fine), found)
     rest = (few(left).unionByName(few(fine)).unionByName(stars(fine.filter(F.col("n") > FEW))).distinct()
             .join(first, ["a", "b"], "left_anti"))
-    a, b = (reps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
+    a, b = (among(reps, "rep", asked).select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
     rest = rest.join(a, "a").join(b, "b").select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b") \
         .mapInArrow(_likely(share), "a long, b long")
-    more = cut_lineage(confirm(rest, docs, width, share), "links")
+    more = cut_lineage(confirm(rest, texts, width, share), "links")
     if not more.isEmpty():
         joined = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
         found = cut_lineage(components(joined), "components")

@@ -359,3 +359,12 @@ def test_op9_likeness(spark, docs, odd, none):
     assert fingerprint.edited_fingerprints(none).count() == 0
     plan = fingerprint.edited_fingerprints(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_id_bitmap_keeps_every_asked_row(spark):
+    rows = spark.range(-500, 20000).selectExpr("id AS doc_id", "'x' AS text")
+    ids = spark.range(-500, 20000, 7).selectExpr("id AS doc_id")
+    got = {r.doc_id for r in minhash.among(rows, "doc_id", minhash.id_bitmap(ids, "doc_id")).collect()}
+    want = set(range(-500, 20000, 7))
+    assert want <= got and len(got - want) < 20
+    assert minhash.among(rows, "doc_id", minhash.id_bitmap(ids.limit(0), "doc_id")).count() == 0
