@@ -12,18 +12,21 @@ A text's set is its distinct ``width``-word shingles.  Method:
 5. every candidate is confirmed on the full shingle sets; confirmed links and exact copies
    give components;
 6. a star loses a link when two members resemble each other and not the hub.  So buckets
-   whose members are in different components after step 5 are looked at again: in buckets
-   of at most ``FEW`` members all members of different components are compared (no more
-   than FEW pairs per member); members of larger ones get ``FINE_KEYS`` further keys of
-   ``FINE_ROWS`` bins each, whose buckets hold only what is much alike, and these are
-   treated in the same way, large ones by stars again.
+   whose members are in different components after step 5 are looked at again.  In buckets
+   of at most ``FEW`` members all members of different components are compared.  Larger ones
+   get up to ``HUBS`` further hubs, first the member that shares most buckets with others
+   (of many copies of one text: that text), as long as new links are found;
+7. the members of larger buckets that are still apart are compared all with all: buckets
+   that share members make a cluster, a cluster's members are dealt to blocks, and each pair
+   of blocks is one cell.  A cell finds the members that are likely linked to one of another
+   component by their bins, then compares these on the full shingle sets, and gives only the
+   links that join components.
 
 Equal sets meet by their digest before step 3, so a group of exact copies enters the
-buckets as one member, and copies are never paired.  Candidates grow in proportion to
-members and keys, not with the square of a group.  Two texts at the threshold of 0.85 share
-no bucket with probability 6e-11 (0.8: 1e-7); in a bucket of over FEW texts, hardly two of
-which are linked, the further keys bring such a pair together with probability 0.998 (0.8:
-0.84; 0.9: over 0.999999), and it is linked anyway when both are linked to a common text.
+buckets as one member, and copies are never paired.  Up to step 6 candidates grow in
+proportion to members and keys; the rows of step 7 grow with (members / ``BLOCK``) * members of a
+cluster that no hub joins.  Two texts at the threshold of 0.85 share no bucket with
+probability 6e-11 (0.8: 1e-7); a pair is left out by its bins with 3e-7.
 
 Rows that share a doc_id are one node (linked if any of their texts is).  NULL and empty
 texts and texts without words have an empty set: linked with nothing.  Rows with a NULL
@@ -46,7 +49,8 @@ from tessera.llm.text import SPACE, chunks, mix64, salts, shingle_sets, utf8
 from tessera.session import cut_lineage
 
 BANDS, ROWS = 40, 5
-FINE_KEYS, FINE_ROWS, FEW = 160, 20, 16
+FEW, HUBS = 16, 4
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20     # members and shingles of a block on average
 SLOTS, SLOT_BITS = 1024, 32768           # SLOT_BITS is the size of Spark's bitmaps
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bins binary"
@@ -98,20 +102,6 @@ def _band(bands: int, rows: int):
     return run
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, keys): hashes of FINE_KEYS random choices of FINE_ROWS bins (low 16 bits each)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = np.stack([np.frombuffer(b, "<u2") for b in batch.column(1).to_pylist()]).astype(np.uint64)
-        rng, place = np.random.default_rng(606), salts(FINE_ROWS, 33)
-        keys = np.empty((len(table), FINE_KEYS), dtype=np.int64)
-        for k in range(FINE_KEYS):
-            chosen = rng.choice(table.shape[1], FINE_ROWS, replace=False)
-            keys[:, k] = mix64((table[:, chosen] * place).sum(axis=1, dtype=np.uint64) + np.uint64(k)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "keys"])
-
-
 def _likely(share: tuple[int, int]):
     """Pairs whose share of equal bins is not more than five standard deviations below what
     the threshold would give (a set of n shingles fills n bins of its own at most)."""
@@ -141,6 +131,90 @@ def _confirm(width: int, share: tuple[int, int]):
     return run
 
 
+CELL = "cluster long, i int, j int, rep long, component long, block int"
+
+
+def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a cell's two blocks (the same twice in a block's cell with itself)."""
+    block = cell.column("block").to_numpy()
+    return np.flatnonzero(block == cell.column("i")[0].as_py()), np.flatnonzero(block == cell.column("j")[0].as_py())
+
+
+def _cell_likely(share: tuple[int, int]):
+    """The members of a cell with a likely partner (as in ``_likely``) of another component."""
+    t = share[0] / share[1]
+
+    def run(cell: pa.Table) -> pa.Table:
+        left, right = _sides(cell)
+        table = np.stack([np.frombuffer(b, "<u2") for b in cell.column("bins").to_pylist()])
+        size, component = cell.column("size").to_numpy(), cell.column("component").to_numpy()
+        hit = np.zeros(len(table), dtype=bool)
+        for x in left:
+            other = right[(component[right] != component[x]) & (size[right] * share[1] >= size[x] * share[0])
+                          & (size[x] * share[1] >= size[right] * share[0])]
+            least = np.minimum(np.minimum(size[other], size[x]), table.shape[1])
+            likely = other[(table[other] == table[x]).mean(axis=1) >= t - 5 * np.sqrt(t * (1 - t) / least)]
+            hit[likely] = True
+            hit[x] |= len(likely) > 0
+        return cell.filter(pa.array(hit)).select([c.split(" ")[0] for c in CELL.split(", ")])
+    return run
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each of ``right``."""
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for at in range(0, len(known), 4096):
+        some = known[at:at + 4096]
+        out += _holds(left, some) @ _holds(right, some).T
+    return out
+
+
+def _holds(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(known)), dtype=np.float32)
+    for row, s in zip(out, sets):
+        s = s[np.searchsorted(s, known[0]):np.searchsorted(s, known[-1], side="right")]
+        at = np.searchsorted(known, s)
+        row[at[known[at] == s]] = 1
+    return out
+
+
+def _cell_links(width: int, share: tuple[int, int]):
+    """(a, b): links of a cell that join components, confirmed on the full shingle sets."""
+    def run(cell: pa.Table) -> pa.Table:
+        left, right = _sides(cell)
+        pairs = []
+        if len(left) and len(right):
+            sets = shingle_sets(*utf8(cell.column("text")), width)
+            rep, label = cell.column("rep").to_numpy(), cell.column("component").to_numpy().copy()
+            size = np.array([len(s) for s in sets])
+            both = _common([sets[x] for x in left], [sets[x] for x in right])
+            for x, common in zip(left, both):
+                linked = right[(common > 0) & (share[1] * common >= share[0] * (size[x] + size[right] - common))]
+                for other in np.unique(label[linked]):
+                    if other != label[x]:
+                        pairs.append((rep[x], rep[linked[label[linked] == other][0]]))
+                        label[label == other] = label[x]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    return run
+
+
+def compare_all(over: DataFrame, reps: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b): links between members (bucket, rep, size, component) of different components
+    whose buckets are the same or tied by common members: all pairs, in cells of two blocks."""
+    ties = over.join(over.groupBy("bucket").agg(F.min("rep").alias("a")), "bucket").select("a", F.col("rep").alias("b"))
+    cluster = components(ties).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
+    placed = cut_lineage(over.select("rep", "size", "component").distinct().join(cluster, "rep"), "clusters")
+    blocks = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+                                           .cast("int").alias("blocks"))
+    cells = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
+        .join(reps.select("rep", "bins"), "rep").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
+        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "block", "size", "bins")
+    likely = cut_lineage(cells.groupBy("cluster", "i", "j").applyInArrow(_cell_likely(share), CELL), "likely")
+    return likely.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("cluster", "i", "j") \
+        .applyInArrow(_cell_links(width, share), "a long, b long")
+
+
 def _slot(key: str):
     """(slot, bit) of an id in a bitmap of SLOTS rows of SLOT_BITS bits."""
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SLOTS * SLOT_BITS))
@@ -225,21 +299,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     edges = cut_lineage(confirm(first, texts, width, share).unionByName(copies), "links")
     found = cut_lineage(components(edges), "components")
 
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        return cut_lineage(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
+
+    known_reps = among(reps, "rep", asked)
+    a, b = (known_reps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
+    ties = members.groupBy("rep").agg(F.sum("n").alias("ties"))
     left = torn(members, found)
-    ids = left.filter(F.col("n") > FEW).select("rep").distinct()
-    fine = among(reps, "rep", asked).select("rep", "size", "bins").join(ids, "rep")
-    fine = fine.select("rep", "bins").mapInArrow(_fine, "rep long, keys array<long>").join(fine.select("rep", "size"), "rep") \
-        .select(F.explode("keys").alias("bucket"), "rep", "size")
-    fine = torn(bucketed(fine), found)
-    rest = (few(left).unionByName(few(fine)).unionByName(stars(fine.filter(F.col("n") > FEW))).distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    a, b = (among(reps, "rep", asked).select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
-    rest = rest.join(a, "a").join(b, "b").select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b") \
-        .mapInArrow(_likely(share), "a long, b long")
-    more = cut_lineage(confirm(rest, texts, width, share), "links")
-    if not more.isEmpty():
-        joined = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
-        found = cut_lineage(components(joined), "components")
+    tried = left.select("bucket", F.col("hub").alias("rep")).distinct()
+    for round_ in range(HUBS):
+        over = left.filter(F.col("n") > FEW)
+        central = over.join(tried, ["bucket", "rep"], "left_anti").join(ties, "rep").groupBy("bucket") \
+            .agg(F.max(F.struct("ties", "rep", "size", "component")).alias("top")).select("bucket", "top.*")
+        central = cut_lineage(central.toDF("bucket", "ties", "top", "top_size", "top_component"), "hubs")
+        rest = over.join(central, "bucket").filter("component <> top_component").filter(alike("size", "top_size")) \
+            .select(F.least("top", "rep").alias("a"), F.greatest("top", "rep").alias("b"))
+        rest = (rest if round_ else rest.unionByName(few(left))).distinct().join(first, ["a", "b"], "left_anti")
+        rest = rest.join(a, "a").join(b, "b").select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b") \
+            .mapInArrow(_likely(share), "a long, b long")
+        more = cut_lineage(confirm(rest, texts, width, share), "links")
+        if more.isEmpty():
+            break
+        found = joined(found, more)
+        left = torn(left.drop("component"), found)
+        tried = tried.unionByName(central.select("bucket", F.col("top").alias("rep")))
+    over = left.filter(F.col("n") > FEW)
+    if not over.isEmpty():
+        more = cut_lineage(compare_all(over, known_reps, texts, width, share), "links")
+        if not more.isEmpty():
+            found = joined(found, more)
 
     out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

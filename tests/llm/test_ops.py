@@ -99,6 +99,45 @@ def test_op1_large_torn_group(spark):
     assert got == brute_components(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("place", [500, 1000])
+def test_op1_many_copies_of_a_later_text(spark, place):
+    """1000 copies alike to one text (0.89) and not to each other (0.79); that text's doc_id is
+    in the middle or the last."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(1000):
+        t = list(base)
+        for p in rng.sample(range(0, 400, 4), 8):
+            t[p] = f"u{i}_{p}"
+        rows.append((i if i < place else i + 1, " ".join(t)))
+    rows.append((place, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in minhash.near_duplicates(df, 3, (85, 100)).collect()} == {0}
+
+
+def test_op1_many_pairs_without_a_middle(spark, monkeypatch):
+    """Pairs in a group alike below the threshold, whose members no hub links: found in cells,
+    also with the group dealt to several blocks."""
+    rng = random.Random(10)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for p in rng.sample(range(0, 200, 4), 6):
+            t[p] = f"u{i}_{p}"
+        rows.append((i, " ".join(t)))
+        for p in rng.sample(range(2, 200, 4), 4):
+            t[p] = f"v{i}_{p}"
+        rows.append((1000 + i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows, 3, 88, 100)
+    assert 100 < len(set(want.values())) < 300
+    for block in (1024, 50):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, (88, 100)).collect()} == want
+
+
 def test_op1_odd(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and minhash.near_duplicates(none).count() == 0
