@@ -4,9 +4,13 @@ A document holds an item when some stretch of its words is within an edit distan
 ``floor(edits * words of the item)`` from the item (words put in, left out or changed).  Words
 are runs of letters and digits (and all that is not ASCII), lower-cased A-Z.
 
+Items of fewer than ``SHORT`` words are found without loss: an item with at most k edits, cut
+into k + 1 pieces, has one piece that no edit touches, so every run of words of a document that
+equals a piece is a candidate (for step 5).  Longer items go by steps 1 to 4.
+
 1. Windows begin at anchors: word pairs whose hash is the least of some ``NEAR`` neighbouring
    pairs, so that a copied passage has the same anchors inside as the item.  Window sizes
-   are 8, 16, 32, ... words, for each item up to its own size (4 for items under 16).
+   are 8, 16, 32, ... words, for each item up to its own size.
 2. A window is embedded by the random walk of Chakraborty, Goldenberg and Koucky: 2 * size
    steps; each step puts out the word under the pointer, and a random bit of (step, word)
    says whether the pointer moves on.  Few edits become few differing steps.
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import NOT_ALNUM, chunks, mix64, salts, utf8, word_hashes
+from tessera.llm.text import NOT_ALNUM, chunks, combine, mix64, salts, utf8, word_hashes
 from tessera.session import cut_lineage
 
 NEAR = 4
-LEAST, SMALLEST = 6, 8
+LEAST, SHORT, SMALLEST = 6, 40, 8
 REPEATS, SAMPLES = 6, 6
 EDITS = 0.2
 FILTER_BITS = 22
@@ -92,33 +96,53 @@ def walk_keys(words: np.ndarray, at: np.ndarray, end: np.ndarray, sizes: list[in
 
 def sizes_of(n: int) -> list[int]:
     """Window sizes of an item of n words."""
-    out = [SMALLEST if n >= 2 * SMALLEST else SMALLEST // 2]
+    out = [SMALLEST]
     while 2 * out[-1] + NEAR <= n:
         out.append(2 * out[-1])
     return out
 
 
-_KEYS = "item_id long, n_words long, place long, pair long, size long, key long"
+_KEYS = "item_id long, place long, pair long, size long, key long"      # of pieces: pair NULL, size less than 0
+
+
+def _rows(item_id, place, pair, size, key) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (item_id, place, pair, size, key)],
+                                      names=[c.split(" ")[0] for c in _KEYS.split(", ")])
+
+
+def run_keys(words: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the runs of ``length`` words that begin at each word."""
+    return combine(words, length, 5000 + length)
 
 
-def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in chunks(batches):
-        words, bounds, _ = word_hashes(*utf8(piece.column(1)), NOT_ALNUM)
-        at, pair = anchors(words, bounds)
-        item = np.searchsorted(bounds, at, side="right") - 1
-        n = np.diff(bounds)
-        own = n[item] >= LEAST
-        at, pair, item = at[own], pair[own], item[own]
-        if not len(at):
-            continue
-        ids = piece.column(0).to_numpy(zero_copy_only=False)
-        sizes = [{*sizes_of(k)} for k in n.tolist()]
-        for size, keys, fits in walk_keys(words, at, bounds[item + 1], sorted(set().union(*sizes))):
-            fits &= np.array([size in own for own in sizes])[item]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[item[fits]].astype(np.int64)), pa.array(n[item[fits]]), pa.array((at - bounds[item])[fits]),
-                pa.array(pair[fits].view(np.int64)), pa.array(np.full(int(fits.sum()), size)), pa.array(keys[fits].view(np.int64))],
-                names=[c.split(" ")[0] for c in _KEYS.split(", ")])
+def cuts(n: int, edits: float) -> np.ndarray:
+    """Where the pieces of an item of n words begin, and n: one piece more than edits."""
+    pieces = int(np.floor(edits * n)) + 1
+    return np.arange(pieces + 1) * n // pieces
+
+
+def _item_keys(edits: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in chunks(batches):
+            words, bounds, _ = word_hashes(*utf8(piece.column(1)), NOT_ALNUM)
+            n = np.diff(bounds)
+            ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in np.flatnonzero((n >= LEAST) & (n < SHORT)):
+                ends = cuts(int(n[i]), edits)
+                keys = [run_keys(words[bounds[i] + a:bounds[i] + b], int(b - a))[0] for a, b in zip(ends[:-1], ends[1:])]
+                yield _rows(np.full(len(keys), ids[i]), ends[:-1], [None] * len(keys), -np.diff(ends), np.array(keys).view(np.int64))
+            at, pair = anchors(words, bounds)
+            item = np.searchsorted(bounds, at, side="right") - 1
+            own = n[item] >= SHORT
+            at, pair, item = at[own], pair[own], item[own]
+            if not len(at):
+                continue
+            sizes = [{*sizes_of(k)} for k in n.tolist()]
+            for size, keys, fits in walk_keys(words, at, bounds[item + 1], sorted(set().union(*sizes))):
+                fits &= np.array([size in own for own in sizes])[item]
+                yield _rows(ids[item[fits]], (at - bounds[item])[fits], pair[fits].view(np.int64),
+                            np.full(int(fits.sum()), size), keys[fits].view(np.int64))
+    return run
 
 
 def bit_filter(values: DataFrame, column: str) -> np.ndarray:
@@ -132,22 +156,33 @@ def bit_filter(values: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _window_keys(pair_filter, key_filter, sizes: list[int]):
+def _window_keys(pair_filter, key_filter, sizes: list[int], lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs_known, keys_known = pair_filter.value, key_filter.value
         for piece in chunks(batches):
             words, bounds, _ = word_hashes(*utf8(piece.column(1)), NOT_ALNUM)
+            ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+            def found(at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+                doc = np.searchsorted(bounds, at, side="right") - 1
+                return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(at - bounds[doc]), pa.array(keys.view(np.int64))],
+                                                  names=["doc_id", "at", "key"])
+
+            for length in lengths:
+                keys = run_keys(words, length)
+                at = np.flatnonzero(keys_known[(keys & _FILTER_MASK).astype(np.int64)])
+                at = at[at + length <= bounds[np.searchsorted(bounds, at, side="right")]]      # in one text
+                yield found(at, keys[at])
+            if not sizes:
+                continue
             at, pair = anchors(words, bounds)
             at = at[pairs_known[(pair & _FILTER_MASK).astype(np.int64)]]
             if not len(at):
                 continue
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for _, keys, whole in walk_keys(words, at, bounds[doc + 1], sizes):
+            end = bounds[np.searchsorted(bounds, at, side="right")]
+            for _, keys, whole in walk_keys(words, at, end, sizes):
                 hit = whole & keys_known[(keys & _FILTER_MASK).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[doc[hit]]), pa.array((at - bounds[doc])[hit]), pa.array(keys[hit].view(np.int64))],
-                    names=["doc_id", "at", "key"])
+                yield found(at[hit], keys[hit])
     return run
 
 
@@ -188,12 +223,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
-    keys = cut_lineage(items.mapInArrow(_item_keys, _KEYS), "item_keys")
-    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())       # powers of two
-    if not sizes:
+    keys = cut_lineage(items.mapInArrow(_item_keys(edits), _KEYS), "item_keys")
+    every = sorted(r[0] for r in keys.select("size").distinct().collect())       # powers of two, and lengths of pieces
+    sizes, lengths = [s for s in every if s > 0], [-s for s in every if s < 0]
+    if not every:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long, n_words long, similarity double")
-    known = [spark.sparkContext.broadcast(bit_filter(keys, c)) for c in ("pair", "key")]
-    windows = docs.mapInArrow(_window_keys(*known, sizes), "doc_id long, at long, key long")
+    known = [spark.sparkContext.broadcast(bit_filter(keys.filter(f"{c} is not null"), c)) for c in ("pair", "key")]
+    windows = docs.mapInArrow(_window_keys(*known, sizes, lengths), "doc_id long, at long, key long")
     start = F.col("at") - F.col("place")
     near = (windows.join(keys.select("key", "item_id", "place"), "key")
             .groupBy("doc_id", "item_id", F.floor(start / 8).alias("region")).agg(F.min(start).alias("start")))

@@ -195,6 +195,26 @@ def brute_licence(text):
             ",".join(sorted({x for _, x in places})))
 
 
+def test_op2_edit_limit_by_length(spark):
+    """Items with as many edits as the limit allows: all found under 40 words, 0.97 above."""
+    rng = random.Random(14)
+    vocab = [f"v{i}" for i in range(3000)]
+    sizes = (6, 7, 8, 12, 16, 19, 20, 24, 32, 39, 40, 48, 64, 100)
+    items, rows = [], []
+    for n in sizes:
+        for _ in range(60):
+            w = rng.choices(vocab, k=n)
+            items.append((len(items), " ".join(w)))
+            for p in rng.sample(range(n), n // 5):
+                w[p] = f"edited{p}"
+            rows.append((len(rows), " ".join(rng.choices(vocab, k=30) + w + rng.choices(vocab, k=30))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect() if r.doc_id == r.item_id}
+    recall = {n: sum(60 * k + i in got for i in range(60)) / 60 for k, n in enumerate(sizes)}
+    print(recall)
+    assert all(r == 1 if n < 40 else r >= 0.97 for n, r in recall.items()), recall
+
+
 def test_op3_brute_force(spark, docs, odd, none):
     extra = ["CC BY cc-by CC BY", "All rights reserved. all RIGHTS\nreserved", "gnu general public license version 3", "xcc by",
              "SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0\nrest", "SPDX-License-Identifier: MIT OR", "é cc by é"]
