@@ -21,7 +21,8 @@ equals a piece is a candidate (for step 5).  Longer items go by steps 1 to 4.
 5. Every candidate is verified by the exact edit distance on the whole words.
 
 An anchor begins a window only if its word pair is one of some item's anchors.  Items of
-fewer than ``LEAST`` words are no passage and match nothing, as do NULL and empty texts;
+fewer than 5 words allow no edit and match exactly; NULL items and items without words match
+nothing, nor do NULL and empty texts;
 documents without a doc_id are not searched; repeated doc_ids count as one document.
 Extra columns are ignored; empty tables give no rows.
 """
@@ -39,7 +40,7 @@ from tessera.llm.text import NOT_ALNUM, chunks, combine, mix64, salts, utf8, wor
 from tessera.session import cut_lineage
 
 NEAR = 4
-LEAST, SHORT, SMALLEST = 6, 40, 8
+SHORT, SMALLEST = 40, 8
 REPEATS, SAMPLES = 6, 6
 EDITS = 0.2
 FILTER_BITS = 22
@@ -127,7 +128,7 @@ def _item_keys(edits: float):
             words, bounds, _ = word_hashes(*utf8(piece.column(1)), NOT_ALNUM)
             n = np.diff(bounds)
             ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in np.flatnonzero((n >= LEAST) & (n < SHORT)):
+            for i in np.flatnonzero((n > 0) & (n < SHORT)):
                 ends = cuts(int(n[i]), edits)
                 keys = [run_keys(words[bounds[i] + a:bounds[i] + b], int(b - a))[0] for a, b in zip(ends[:-1], ends[1:])]
                 yield _rows(np.full(len(keys), ids[i]), ends[:-1], [None] * len(keys), -np.diff(ends), np.array(keys).view(np.int64))

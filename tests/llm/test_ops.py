@@ -195,6 +195,16 @@ def brute_licence(text):
             ",".join(sorted({x for _, x in places})))
 
 
+def test_op2_very_short_items(spark):
+    """Items of fewer than six words: exact under five, one edit at five."""
+    bench = spark.createDataFrame([(1, "Zebra"), (2, "red fox"), (3, "what is it? Paris"), (4, "one two three four five"), (5, "..."), (6, None)],
+                                  "item_id long, text string")
+    rows = [(10, "a zebra, a fox"), (11, "the red  fox ran"), (12, "red hot fox"), (13, "so what is it Paris"), (14, "what is it London"),
+            (15, "one two 3 four five"), (16, "one two 3 4 five"), (17, "four five"), (18, ""), (19, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(10, 1, 0), (11, 2, 0), (13, 3, 0), (15, 4, 1)}
+
+
 def test_op2_edit_limit_by_length(spark):
     """Items with as many edits as the limit allows: all found under 40 words, 0.97 above."""
     rng = random.Random(14)
