@@ -4,7 +4,7 @@ shunting-yard parser for licence expressions.
 A text is taken as its words (lower-cased A-Z; runs of 0-9, a-z and everything that is not
 ASCII) with one blank between them; one automaton finds all phrases there, each with a blank
 on both sides, so a phrase stands for consecutive whole words.  The phrase of the identifier
-tag sends the line behind each tag to the expression parser: ``and`` binds tighter than
+tag sends what begins the line behind each tag, up to the next tag, to the expression parser: ``and`` binds tighter than
 ``or``, ``with`` tighter than both, parentheses group.  An expression that does not parse
 gives the label ``unparsed``.
 
@@ -43,7 +43,8 @@ NOTICES = {
 }
 BASE_WEIGHT = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.7}
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx[^\w\n]license[^\w\n]identifier[ \t]*:?[ \t]*([^\n]*)", re.I)
+TAG_TEXT = r"spdx[^\w\n]license[^\w\n]identifier"
+TAG_LINE = re.compile(TAG_TEXT + rf"[ \t]*:?[ \t]*((?:(?!{TAG_TEXT})[^\n])*)", re.I)
 
 #: identifiers (lower case) that ask for no more than notices
 PERMISSIVE = {"mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "zlib", "unlicense", "cc0-1.0",
@@ -106,6 +107,33 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool]:
     return stack[0]
 
 
+def leading(line: str) -> str:
+    """The expression that ``line`` begins with: it ends where no operator follows a complete
+    operand.  A full stop or hyphens behind an operand (a comment's end) end it as well."""
+    depth, end, operand_next = 0, len(line), True
+    for token in _TOKEN.finditer(line):
+        word = token[0].lower()
+        if operand_next:
+            if word in _BINDS or word == ")":
+                return line
+            if word == "(":
+                depth += 1
+                continue
+            name = word.rstrip(".:-")
+            if not name:
+                return line
+            operand_next, end = False, token.start() + len(name)
+            if name != word:
+                return line[:end]
+        elif word in _BINDS:
+            operand_next, end = True, len(line)
+        elif word == ")" and depth:
+            depth, end = depth - 1, token.end()
+        else:
+            return line[:end]
+    return line[:end]
+
+
 #: words of a text: lower-cased, other characters become blanks
 _CLEAN = bytes(0x20 if NOT_ALNUM[b] else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 
@@ -136,7 +164,7 @@ def scan(text: str, automaton) -> tuple[int, int, int | None, int | None, str, s
     if tagged:
         for line in TAG_LINE.findall(text):
             try:
-                named, free = evaluate(line)
+                named, free = evaluate(leading(line))
                 labels |= named
                 permissive = free if permissive is None else permissive and free
                 score = 1.0

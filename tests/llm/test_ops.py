@@ -247,6 +247,18 @@ def test_op3_expressions(text, named, free):
     assert license.evaluate(text) == (named, free)
 
 
+@pytest.mark.parametrize("text, labels, permissive", [
+    ("<!-- SPDX-License-Identifier: MIT -->", "mit", True), ("<!--SPDX-License-Identifier: MIT-->", "mit", True),
+    ("/* SPDX-License-Identifier: MIT OR GPL-2.0-only */", "gpl-2.0-only,mit", True),
+    ("SPDX-License-Identifier: MIT. See the file", "mit", True),
+    ("x SPDX-License-Identifier: (MIT OR ISC) AND Zlib this text has no line end", "isc,mit,zlib", True),
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0-only,mit", False),
+    ("SPDX-License-Identifier: MIT OR", "unparsed", None), ("SPDX-License-Identifier: (MIT foo", "unparsed", None)])
+def test_op3_tag_ends(text, labels, permissive):
+    got = license.scan(text, license._automaton())
+    assert (got[5], got[7]) == (labels, permissive)
+
+
 @pytest.mark.parametrize("text", ["", "and", "MIT MIT", "(MIT", "MIT)", "MIT or", "()"])
 def test_op3_bad_expressions(text):
     with pytest.raises(license.BadExpression):
