@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, fingerprint, license, minhash, quality, tokenfile, toxicity, warc
+from tessera.llm import bpe, chat, decontaminate, divergence, fingerprint, license, minhash, quality, sharding, tokenfile, toxicity, warc, whitening
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -156,3 +156,46 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _judged(toxicity.score(docs, toxicity_machine(docs, _table(spark, sf_dir, "labels"))), 5, 0, toxicity.THRESHOLD)
+
+
+_OP11_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+numbered AS (SELECT row_number() OVER () AS k, * FROM d),
+places AS (SELECT k, lang, source, unnest(w) AS term FROM numbered),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM places GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(lang_n) AS HUGEINT) AS n FROM kept GROUP BY lang),
+cells AS (SELECT p.lang, p.source, p.term, count(*) AS n FROM places p JOIN kept USING (lang, term) GROUP BY ALL),
+sources AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT s.lang, s.source, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS n FROM sources s LEFT JOIN cells c
+          ON c.lang = s.lang AND c.source = s.source GROUP BY ALL),
+prices AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (s.n + 5 * l.v) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (k.lang_n + 5)) // (l.n + 5 * l.v) AS q
+           FROM sizes s JOIN langs l ON l.lang = s.lang JOIN kept k ON k.lang = s.lang
+           LEFT JOIN cells c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f.v, 0) AS BIGINT) AS value
+          FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS v FROM prices x JOIN prices y
+                     ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+          ON f.lang = a.lang AND f.s = a.source AND f.t = b.source),
+items AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+          SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM prices WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM items)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@_register("op11_source_divergence", _OP11_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+@_register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
