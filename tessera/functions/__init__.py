@@ -6,4 +6,4 @@ from tessera.functions.values import (  # noqa: F401
     DEFAULT_MISSING_TOKENS, INVALID_PATTERN, NUMERIC_PATTERN, missing_tokens, trim_ws,
     null_if_token, null_if_invalid, strict_double, to_double, binarize, uniform01, md5_key,
 )
-from tessera.functions.stats import sample_skew, sample_kurt, safe_corr, t_pvalue, betainc  # noqa: F401
+from tessera.functions.stats import sample_skew, sample_kurt, safe_corr, t_pvalue  # noqa: F401

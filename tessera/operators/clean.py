@@ -10,15 +10,17 @@ rules replay on new data (a later batch or a stream) without re-profiling.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark import StorageLevel
+from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.names import normalized_names, q
 from tessera.functions.values import missing_tokens, null_if_token, strict_double, trim_ws
+from tessera.operators.stored import Stored
+from tessera.session import cut_lineage
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -188,15 +190,15 @@ class Cleaner:
         self.config = config or CleanConfig()
 
     def fit(self, df: DataFrame, keep_tokens: bool = False) -> CleanerModel:
-        """Two aggregate passes.  ``keep_tokens`` leaves the persisted tokenised frame on
-        the model (``model.tokens``) for ``fit_transform``, which releases it."""
+        """Two aggregate passes over the tokenised table, which is written once to the shared
+        folder.  ``keep_tokens`` leaves it on the model (``model.tokens``) for ``fit_transform``."""
         cfg = self.config
         renamed = normalized_names(df.columns)
         work = df.toDF(*renamed)
         str_cols = string_columns(work)
-        # both fit passes read the tokenised frame: keep it (memory, spilling to disk)
-        # instead of re-deriving every string transform; released at the end of fit
-        work = tokens_to_null(work, cfg.tokens, str_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        # both passes, and the clean table of fit_transform, read the tokens back column by
+        # column instead of deriving every string again
+        work = cut_lineage(tokens_to_null(work, cfg.tokens, str_cols), "tokens")
         tokens = work
 
         fields = dict((f.name, f.dataType) for f in work.schema.fields)
@@ -261,21 +263,14 @@ class Cleaner:
         model = CleanerModel(cfg, renamed, str_cols, promoted, numeric_all, z_stats, masked, dropped, report)
         if keep_tokens:
             model.tokens = tokens
-        else:
-            tokens.unpersist()
         return model
 
     def fit_transform(self, df: DataFrame, name: str = "clean") -> tuple[DataFrame, CleanerModel]:
-        """Fit, apply the rules to the fit's persisted tokenised frame (no second
-        derivation from the raw input), write the clean table to the shared folder and
-        read it back; the cache is released once the table is written."""
-        from tessera.session import cut_lineage
+        """Fit, apply the rules to the fit's tokenised table (no second derivation from the raw
+        input), write the clean table to the shared folder and read it back."""
         model = self.fit(df, keep_tokens=True)
-        try:
-            out = cut_lineage(model.transform_tokens(model.tokens), name)
-        finally:
-            model.tokens.unpersist()
-            model.tokens = None
+        out = cut_lineage(model.transform_tokens(model.tokens), name)
+        model.tokens = None
         return out, model
 
 
@@ -389,9 +384,6 @@ def normalize_binary_target(df: DataFrame, target: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ pyspark.ml wrappers
-from pyspark.ml import Estimator, Model  # noqa: E402
-
-
 class CleanerEstimator(Estimator):
     """``Cleaner`` as a pyspark.ml Estimator, so it can be the first stage of a Pipeline."""
 
@@ -399,18 +391,27 @@ class CleanerEstimator(Estimator):
         super().__init__()
         self.config = config or CleanConfig()
 
-    def _fit(self, dataset: DataFrame) -> "CleanerTransformer":
+    def _fit(self, dataset: DataFrame) -> CleanerTransformer:
         return CleanerTransformer(Cleaner(self.config).fit(dataset))
 
 
-class CleanerTransformer(Model):
-    def __init__(self, fitted: CleanerModel):
+class CleanerTransformer(Stored, Model):
+    """The fitted rules as a stage that can be saved; a loaded one cleans equally."""
+
+    def __init__(self, fitted: CleanerModel | dict):
         super().__init__()
+        if isinstance(fitted, dict):
+            config = dict(fitted["config"])
+            config = CleanConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in config.items()})
+            fitted = CleanerModel(**{**fitted, "config": config})
         self.fitted = fitted
 
     @property
     def report(self) -> dict:
         return self.fitted.report
 
+    def state(self) -> dict:
+        return {"fitted": asdict(replace(self.fitted, tokens=None))}
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.fitted.transform(dataset)

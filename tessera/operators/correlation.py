@@ -1,25 +1,33 @@
 """Correlation family: Spearman matrix / vs target, Pearson pairs, VIF.
 
-* All pairwise coefficients are fused into ONE aggregate (C(p,2) covar/std states).
-* Spearman = Pearson on average ranks (``rank.py``: no single-task window).  Columns
-  without NULLs share one ranking; a pair that involves a column with NULLs is
-  re-ranked on its complete rows (pairwise-complete semantics).
-* VIF = diag(R^-1) of the correlation matrix R: one Spark pass builds R (p x p,
-  bounded by the schema width); the p x p inverse runs on the driver.
+* Pearson coefficients and VIF come from one masked Gram pass (``gram.py``), whatever the number
+  of columns.
+* Spearman = Pearson on average ranks over the rows where both columns have values.  Columns with
+  the same NULL pattern (known from the Gram masks) share one ranking; for two patterns the
+  ranks are taken over the rows that have both.  All columns of all such contexts are
+  ranked in one long-form job (``rank.py``: no single-task order), and one regroup by
+  row gives the rank vectors of a context, which another Gram-like pass adds up.  So the number of
+  jobs does not depend on the number of columns.
+* VIF = diag(R^-1) of the correlation matrix R; the p x p inverse runs on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
 from tessera.functions.stats import safe_corr, t_pvalue
+from tessera.operators.gram import TINY, gram
 from tessera.operators.rank import rank_table
-from tessera.session import keep
+from tessera.session import cut_lineage
 
 
 def _long(df: DataFrame, structs, schema: str) -> DataFrame:
@@ -28,60 +36,89 @@ def _long(df: DataFrame, structs, schema: str) -> DataFrame:
     return df.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
 
 
-def null_counts(df: DataFrame, cols) -> dict:
-    row = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(cols)}
-
-
-def attach_ranks(df: DataFrame, cols, suffix: str = "__rank", max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Add ``<c>__rank`` for every column.  Rank tables for all columns are built in
-    one long-form job (unpivot -> distinct (col, value) counts -> ordered prefix by col)."""
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"),
-                                                      F.col(q(c)).cast("double").alias("_v"))
-                                             for c in cols])).alias("_s")).select("_s.*")
-    rt = keep(rank_table(stacked, "_v", by=["_col"], out="_r"))
-    # one count bounds every per-column piece: broadcast them all, or shuffle-join them all
-    small = rt.count() <= max_broadcast_rows
-    out = df
-    for c in cols:
-        one = rt.filter(F.col("_col") == c).select(F.col("_v").alias(f"{c}__key"), F.col("_r").alias(f"{c}{suffix}"))
-        out = out.withColumn(f"{c}__key", F.col(q(c)).cast("double"))
-        out = out.join(F.broadcast(one) if small else one, f"{c}__key", "left").drop(f"{c}__key")
+def _contexts(masks: np.ndarray, pairs) -> list[tuple[int, int, list[int]]]:
+    """(a, b, columns): rows that have a value in both a and b, and the columns ranked over them.
+    One context per pair of NULL patterns that some wanted pair of columns has."""
+    first = [int(np.flatnonzero(masks[i])[0]) for i in range(len(masks))]
+    out: dict[tuple[int, int], set[int]] = {}
+    for i, j in pairs:
+        a, b = sorted((first[i], first[j]))
+        out.setdefault((a, b), set()).update((i, j))
+    return [(a, b, sorted(c)) for (a, b), c in sorted(out.items())]
+
+
+def _rank_sums(width: dict[int, list[int]]):
+    """Sums over rows of products of ranks (off their mean) of a context's columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            ctx = batch.column(0).to_numpy()
+            ranks = batch.column(1)
+            cell = ranks.flatten()
+            col, value = cell.field(0).to_numpy(), cell.field(1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ranks.offsets.to_numpy()))
+            for c in np.unique(ctx):
+                cols = width[int(c)]
+                here = np.flatnonzero(ctx == c)
+                place = np.full(max(cols) + 1, -1)
+                place[cols] = np.arange(len(cols))
+                mine = np.isin(row, here)
+                x = np.zeros((len(here), len(cols)))
+                x[np.searchsorted(here, row[mine]), place[col[mine]]] = value[mine]
+                part = x.T @ x
+                sums[int(c)] = part if int(c) not in sums else sums[int(c)] + part
+        for c, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.reshape(-1)], pa.list_(pa.float64()))],
+                                             names=["ctx", "part"])
+    return run
+
+
+def rank_correlations(df: DataFrame, cols, pairs) -> list[tuple[int, int, float | None, int]]:
+    """(i, j, r, n) of each wanted pair of column positions."""
+    cols = list(cols)
+    known = gram(df, cols)
+    contexts = _contexts(known.same_mask(), pairs)
+    contexts = [(a, b, c) for a, b, c in contexts if known.n[a, b] > 0]
+    found: dict[tuple[int, int], float | None] = {}
+    if contexts:
+        spark = df.sparkSession
+        values = F.array(*[F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")) for c in cols])
+        rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), values.alias("v")), "rank_rows")
+        plan = F.array(*[F.struct(F.lit(k).alias("ctx"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(known.n[a, b])).alias("n"),
+                                  F.array(*[F.lit(i) for i in c]).alias("cols")) for k, (a, b, c) in enumerate(contexts)])
+        stacked = rows.select("row", "v", F.explode(plan).alias("c")) \
+            .filter(F.get("v", F.col("c.a")).isNotNull() & F.get("v", F.col("c.b")).isNotNull()) \
+            .select("row", "v", "c.ctx", "c.n", F.explode("c.cols").alias("col")) \
+            .select("row", "ctx", "col", ((F.col("n") + 1) / 2).alias("middle"), F.get("v", F.col("col")).alias("value"))
+        ranks = cut_lineage(rank_table(stacked.select("ctx", "col", "value"), "value", ["ctx", "col"], "rank"), "ranks")
+        vectors = stacked.join(ranks, ["ctx", "col", "value"]).groupBy("ctx", "row") \
+            .agg(F.collect_list(F.struct("col", (F.col("rank") - F.col("middle")).alias("r"))).alias("ranks"))
+        sums = vectors.select("ctx", "ranks").mapInArrow(_rank_sums({k: c for k, (_, _, c) in enumerate(contexts)}),
+                                                         "ctx int, part array<double>") \
+            .groupBy("ctx").agg(Summarizer.sum(array_to_vector("part")).alias("part")).collect()
+        for s in sums:
+            a, b, c = contexts[s["ctx"]]
+            xx = s["part"].toArray().reshape(len(c), len(c))
+            own = np.diag(xx)
+            for i, j in combinations(range(len(c)), 2):
+                varies = min(own[i], own[j]) > TINY * known.n[a, b] ** 3
+                found[a, b, c[i], c[j]] = float(np.clip(xx[i, j] / np.sqrt(own[i] * own[j]), -1, 1)) if varies else None
+    first = [int(np.flatnonzero(m)[0]) for m in known.same_mask()]
+    out = []
+    for i, j in pairs:
+        a, b = sorted((first[i], first[j]))
+        lo, hi = sorted((i, j))
+        out.append((i, j, found.get((a, b, lo, hi)), int(known.n[i, j])))
     return out
 
 
-def _pair_ranked(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Ranks of a and b re-computed on rows where both are non-NULL."""
-    both = df.select(F.col(q(a)).cast("double").alias("a"), F.col(q(b)).cast("double").alias("b")) \
-             .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return attach_ranks(both, ["a", "b"])
-
-
 def spearman_pairs(df: DataFrame, cols, min_abs: float | None = None) -> DataFrame:
-    """Long Spearman matrix, upper triangle: (a, b, r, n)."""
-    nulls = null_counts(df, cols)
-    clean_cols = [c for c in cols if nulls[c] == 0]
-    pairs = list(combinations(cols, 2))
-    parts = []
-    shared = [(a, b) for a, b in pairs if a in clean_cols and b in clean_cols]
-    if shared:
-        ranked = attach_ranks(df.select(*[F.col(q(c)) for c in clean_cols]), clean_cols)
-        s = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      safe_corr(F.col(q(a + "__rank")), F.col(q(b + "__rank"))).alias("r"),
-                      F.count(F.lit(1)).alias("n")) for a, b in shared]
-        parts.append(_long(ranked, s, "a string, b string, r double, n bigint"))
-    for a, b in pairs:
-        if (a, b) in shared:
-            continue
-        rk = _pair_ranked(df, a, b)
-        parts.append(rk.agg(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                            safe_corr("a__rank", "b__rank").alias("r"), F.count(F.lit(1)).alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Long Spearman matrix, upper triangle: (a, b, r, n), NULLs left out pairwise."""
+    cols = list(cols)
+    rows = [(cols[i], cols[j], r, n) for i, j, r, n in rank_correlations(df, cols, list(combinations(range(len(cols)), 2)))]
     if min_abs is not None:
-        out = out.filter(F.abs("r") >= min_abs)
-    return out
+        rows = [x for x in rows if x[2] is not None and abs(x[2]) >= min_abs]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n bigint")
 
 
 def strong_pairs(pairs: DataFrame, threshold: float = 0.7, top: int = 5) -> DataFrame:
@@ -93,41 +130,27 @@ def strong_pairs(pairs: DataFrame, threshold: float = 0.7, top: int = 5) -> Data
 def spearman_target(df: DataFrame, features, target: str, with_pvalue: bool = False) -> DataFrame:
     """(feature, r, n, t_stat[, p_value]) of each feature against the target, NULLs
     omitted pairwise; t = r * sqrt((n-2)/(1-r^2))."""
-    cols = list(features) + [target]
-    nulls = null_counts(df, cols)
-    parts = []
-    clean = [c for c in features if nulls[c] == 0] if nulls[target] == 0 else []
-    if clean:
-        ranked = attach_ranks(df.select(*[F.col(q(c)) for c in clean + [target]]), clean + [target])
-        s = [F.struct(F.lit(c).alias("feature"), safe_corr(F.col(q(c + "__rank")), F.col(q(target + "__rank"))).alias("r"),
-                      F.count(F.lit(1)).alias("n")) for c in clean]
-        parts.append(_long(ranked, s, "feature string, r double, n bigint"))
-    for c in features:
-        if c in clean:
-            continue
-        rk = _pair_ranked(df, c, target)
-        parts.append(rk.agg(F.lit(c).alias("feature"), safe_corr("a__rank", "b__rank").alias("r"),
-                            F.count(F.lit(1)).alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    n = F.col("n").cast("double")
-    out = out.withColumn("t_stat", F.try_divide(F.col("r") * F.sqrt(n - 2), F.sqrt(1 - F.col("r") * F.col("r"))))
+    cols = [*features, target]
+    last = len(cols) - 1
+    rows = [(cols[i], r, n) for i, _, r, n in rank_correlations(df, cols, [(i, last) for i in range(last)])]
+    schema = "feature string, r double, n bigint"
     if with_pvalue:
-        # p-values on the per-feature result (one row per feature): scalar maths, driver side
-        rows = out.collect()
-        data = [(r["feature"], r["r"], r["n"], r["t_stat"], t_pvalue(r["r"], r["n"])) for r in rows]
-        out = df.sparkSession.createDataFrame(data, "feature string, r double, n bigint, t_stat double, p_value double")
-    return out
+        rows, schema = [(*x, t_pvalue(x[1], x[2])) for x in rows], schema + ", p_value double"
+    n = F.col("n").cast("double")
+    t = F.try_divide(F.col("r") * F.sqrt(n - 2), F.sqrt(1 - F.col("r") * F.col("r")))
+    out = df.sparkSession.createDataFrame(rows, schema).withColumn("t_stat", F.when(n > 2, t))
+    return out.select("feature", "r", "n", "t_stat", *(["p_value"] if with_pvalue else []))
 
 
 def pearson_pairs(df: DataFrame, cols, min_abs: float | None = None) -> DataFrame:
-    """Upper-triangle Pearson r (pairwise-complete) for all pairs in one aggregate."""
-    s = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                  safe_corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias("r"))
-         for a, b in combinations(cols, 2)]
-    out = _long(df, s, "a string, b string, r double")
-    return out.filter(F.abs("r") >= min_abs) if min_abs is not None else out
+    """(a, b, r): upper-triangle Pearson r over pairwise complete rows; NULL where a column does
+    not vary."""
+    cols = list(cols)
+    r = gram(df, cols).pearson()
+    rows = [(cols[i], cols[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in combinations(range(len(cols)), 2)]
+    if min_abs is not None:
+        rows = [x for x in rows if x[2] is not None and abs(x[2]) >= min_abs]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def corr_with_target(df: DataFrame, features, target: str, min_abs: float | None = 0.1) -> DataFrame:
@@ -138,63 +161,23 @@ def corr_with_target(df: DataFrame, features, target: str, min_abs: float | None
     return out.filter(F.abs("r") > min_abs) if min_abs is not None else out
 
 
-def correlation_matrix(df: DataFrame, cols) -> tuple[np.ndarray, dict]:
-    """R (p x p) over rows complete in all cols, plus per-column std (ddof 0), exact-duplicate
-    pairs and non-finite counts - one aggregate job returning O(p^2) numbers."""
-    v = {c: F.col(q(c)).cast("double") for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.stddev_pop(v[c]).alias(f"s{i}"))
-    for i, j in combinations(range(len(cols)), 2):
-        a, b = v[cols[i]], v[cols[j]]
-        aggs.append(safe_corr(a, b, pairwise=False).alias(f"r{i}_{j}"))
-        aggs.append(F.min((a == b).cast("int")).alias(f"d{i}_{j}"))
-    row = df.agg(*aggs).first() if aggs else None
-    p = len(cols)
-    R = np.eye(p)
-    dup = set()
-    for i, j in combinations(range(p), 2):
-        r = row[f"r{i}_{j}"]
-        R[i, j] = R[j, i] = np.nan if r is None else r
-        if row[f"d{i}_{j}"] == 1:
-            dup.add((i, j))
-    std = {cols[i]: row[f"s{i}"] for i in range(p)}
-    return R, {"std": std, "dup": dup}
-
-
 def vif(df: DataFrame, cols, corr_threshold: float = 0.999) -> DataFrame:
-    """Robust VIF: rows complete and finite in all cols; drop constant columns, exact
-    duplicates (keep first) and one of each pair with |r| >= threshold; <= 1 left -> empty."""
-    spark = df.sparkSession
+    """Robust VIF: rows complete and finite in all cols; constant columns go, then the later of
+    each pair with |r| >= threshold (exact duplicates are pairs with r = 1); <= 1 left -> empty."""
+    cols = list(cols)
     finite = F.lit(True)
     for c in cols:
         x = F.col(q(c)).cast("double")
         finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    base = df.filter(finite).select(*[F.col(q(c)).cast("double").alias(c) for c in cols])
-    R, info = correlation_matrix(base, cols)
-    keep = [i for i, c in enumerate(cols) if info["std"][c] not in (None, 0.0)]
-    # exact duplicates: keep the first of each duplicate group
-    dropped = set()
-    for i, j in sorted(info["dup"]):
-        if i in keep and j in keep and i not in dropped:
-            dropped.add(j)
-    keep = [i for i in keep if i not in dropped]
-    # one of each highly correlated pair (the later column)
-    hi = set()
-    for a_pos, i in enumerate(keep):
-        for j in keep[a_pos + 1:]:
-            if abs(R[i, j]) >= corr_threshold:
-                hi.add(j)
-    keep = [i for i in keep if i not in hi]
-    schema = "variable string, vif double"
-    if len(keep) <= 1:
-        return spark.createDataFrame([], schema)
-    sub = R[np.ix_(keep, keep)]
-    try:
-        inv = np.linalg.inv(sub)
-        vals = np.diag(inv)
-    except np.linalg.LinAlgError:
-        vals = np.full(len(keep), np.inf)
-    rows = [(cols[i], float(v)) for i, v in zip(keep, vals) if np.isfinite(v)]
-    rows.sort(key=lambda t: -t[1])
-    return spark.createDataFrame(rows, schema)
+    r = gram(df.filter(finite), cols).pearson()
+    left = [i for i in range(len(cols)) if not np.isnan(r[i, i])]
+    gone = {j for i, j in combinations(left, 2) if abs(r[i, j]) >= corr_threshold}
+    left = [i for i in left if i not in gone]
+    rows = []
+    if len(left) > 1:
+        try:
+            values = np.diag(np.linalg.inv(r[np.ix_(left, left)]))
+        except np.linalg.LinAlgError:
+            values = np.full(len(left), np.inf)
+        rows = sorted(((cols[i], float(v)) for i, v in zip(left, values) if np.isfinite(v)), key=lambda t: -t[1])
+    return df.sparkSession.createDataFrame(rows, "variable string, vif double")

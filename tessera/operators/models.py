@@ -1,15 +1,22 @@
 """Binary classifiers on Spark ML and their evaluation.
 
-* ``build_pipeline``: VectorAssembler -> [StandardScaler] -> estimator, by name:
-  ``logreg`` (L2/L1, sklearn-style C -> regParam = 1 / (C * sum of weights)),
-  ``rf`` (random forest), ``gb`` (gradient-boosted trees), ``svc`` (RBF kernel
-  approximated by random Fourier features - Rahimi & Recht 2007 - then LinearSVC,
-  with Platt scaling on the training margins for probabilities).
+* ``fit`` by name: ``logreg`` (L2/L1, C -> regParam = 1 / (C * sum of weights)), ``rf`` (random
+  forest), ``gb`` (gradient-boosted trees), ``svc`` (RBF kernel approximated by random Fourier
+  features - Rahimi & Recht 2007 - or a linear kernel, then LinearSVC), ``knn`` (``knn.py``).
+  ``class_weight="balanced"`` weighs rows by n / (classes * class size).
+* The SVC's probabilities are Platt-scaled on out-of-fold margins: the rows are dealt to folds by
+  a hash of their features, each fold's margins come from a machine that never saw it.
 * ``fit_evaluate``: fit on a train frame, exact metrics on the test frame
   (``metrics.evaluate``: tie-aware AUC, not the 1000-bin evaluator).
 * ``param_grid``: cartesian product in sorted-key order.
-* ``grid_search``: trials on one persisted split, submitted from a thread pool so
-  Spark runs several fits at once; returns the run table sorted by score.
+* ``grid_search``: trials on one split written once, submitted from a thread pool so Spark
+  runs several fits at once; returns the run table sorted by score.  ``cross_validate``: the
+  same with folds.
+* Every fitted model can be saved and loaded again (``stored.py``).
+
+Where MLlib has no counterpart of a parameter: ``max_depth`` None is its greatest depth, 30 (more
+is refused); ``min_samples_split`` s becomes ceil(s / 2) rows per child, which keeps nodes of
+fewer than s rows whole; ``solver`` does not change the optimum.
 """
 
 from __future__ import annotations
@@ -20,70 +27,89 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.names import q
+from tessera.operators.knn import KnnModel
 from tessera.operators.metrics import evaluate
 from tessera.operators.split import with_class_weights
-from tessera.session import keep
+from tessera.operators.stored import Stored
+from tessera.session import cut_lineage
 
+ALGORITHMS = ("logreg", "rf", "gb", "svc", "knn")
 SCALED = {"logreg", "svc", "knn"}
 
 
-class RandomFourierFeatures(Transformer):
-    """x (p columns, standardised) -> D columns sqrt(2/D) cos(w_j . x + b_j), w ~ N(0, 2 gamma I).
-    Pure column expressions (JVM-side)."""
+def standardised(features, mean, std):
+    """One array of doubles: (x - mean) / std per feature."""
+    return F.array(*[(F.col(q(c)).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(features, mean, std)])
 
-    def __init__(self, input_cols, n_components: int = 64, gamma: float | None = None, seed: int = 42,
-                 prefix: str = "rff_"):
+
+class RandomFourierFeatures(Stored):
+    """Standardised x to sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), in one matrix product per
+    Arrow batch.  ``n_components`` 0 leaves x as it is (the linear kernel)."""
+
+    def __init__(self, features=(), mean=(), std=(), n_components: int = 64, gamma=None, seed: int = 42, output: str = "features_rff"):
         super().__init__()
-        self.input_cols = list(input_cols)
-        self.n = n_components
-        p = len(self.input_cols)
-        self.gamma = gamma if gamma is not None else 1.0 / max(p, 1)   # "scale" on unit-variance inputs
-        rng = np.random.default_rng(seed)
-        self.W = rng.normal(0.0, math.sqrt(2.0 * self.gamma), size=(self.n, p))
-        self.b = rng.uniform(0.0, 2 * math.pi, size=self.n)
-        self.prefix = prefix
-
-    @property
-    def output_cols(self):
-        return [f"{self.prefix}{j}" for j in range(self.n)]
+        self.features, self.mean, self.std = list(features), list(mean), list(std)
+        self.n_components, self.gamma, self.seed, self.output = int(n_components), gamma, seed, output
+
+    def state(self) -> dict:
+        return {"features": self.features, "mean": self.mean, "std": self.std, "n_components": self.n_components,
+                "gamma": self.gamma, "seed": self.seed, "output": self.output}
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        p = len(self.features)
+        # "scale" and "auto" are both 1 / p on inputs of unit variance
+        gamma = 1.0 / max(p, 1) if self.gamma in (None, "scale", "auto") else float(self.gamma)
+        rng = np.random.default_rng(self.seed)
+        return rng.normal(0.0, math.sqrt(2.0 * gamma), (self.n_components, p)), rng.uniform(0.0, 2 * math.pi, self.n_components)
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        if not self.n_components:
+            return x
+        w, b = self.weights()
+        return np.cos(x @ w.T + b) * math.sqrt(2.0 / self.n_components)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        s = math.sqrt(2.0 / self.n)
-        cols = []
-        for j in range(self.n):
-            dot = F.lit(float(self.b[j]))
-            for i, c in enumerate(self.input_cols):
-                dot = dot + F.lit(float(self.W[j, i])) * F.col(c)
-            cols.append((F.lit(s) * F.cos(dot)).alias(self.output_cols[j]))
-        return df.select("*", *cols)
+        own = self
 
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            return pd.Series(list(own.projected(np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+        x = standardised(self.features, self.mean, self.std)
+        return df.withColumn(self.output, array_to_vector(project(x) if self.n_components else x))
 
-class PlattSVCModel(Transformer):
-    """Standardise -> RFF -> LinearSVC margin -> sigmoid(a * margin + b) as probability."""
 
-    def __init__(self, scaler_stats, rff, svc_model, a, b, features):
+class PlattSVCModel(Stored):
+    """Random features, margin, and sigmoid(a * margin + b) as probability, in one stage."""
+
+    def __init__(self, rff=None, coefficients=(), intercept: float = 0.0, a: float = 1.0, b: float = 0.0):
         super().__init__()
-        self.stats, self.rff, self.svc, self.a, self.b, self.features = scaler_stats, rff, svc_model, a, b, features
+        self.rff = RandomFourierFeatures(**rff) if isinstance(rff, dict) else rff
+        self.coefficients, self.intercept, self.a, self.b = list(coefficients), float(intercept), float(a), float(b)
+
+    def state(self) -> dict:
+        return {"rff": self.rff.state(), "coefficients": self.coefficients, "intercept": self.intercept, "a": self.a, "b": self.b}
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        z = df.select("*", *[((F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)).alias(f"_z_{c}")
-                             for c, (m, s) in zip(self.features, self.stats)])
-        r = self.rff.transform(z)
-        v = VectorAssembler(inputCols=self.rff.output_cols, outputCol="_rffv").transform(r)
-        out = self.svc.transform(v.withColumnRenamed("_rffv", "features_rff"))
-        margin = vector_to_array("rawPrediction")[1]
-        prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.a) * margin + F.lit(self.b))))
-        keep = [c for c in df.columns]
-        return out.select(*keep, prob.alias("prob")).withColumn(
-            "prediction", (F.col("prob") >= 0.5).cast("int"))
+        rff, w, c, a, b = self.rff, np.array(self.coefficients), self.intercept, self.a, self.b
+
+        @F.pandas_udf("double")
+        def probability(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="float64")
+            margin = rff.projected(np.stack(x.to_numpy())) @ w + c
+            return pd.Series(1.0 / (1.0 + np.exp(-np.clip(a * margin + b, -700, 700))))
+        return df.withColumn("prob", probability(standardised(rff.features, rff.mean, rff.std))) \
+            .withColumn("prediction", (F.col("prob") >= 0.5).cast("int"))
 
 
 def build_pipeline(algorithm: str, params: dict, features, label: str = "label", weight_col: str | None = None,
@@ -101,10 +127,12 @@ def build_pipeline(algorithm: str, params: dict, features, label: str = "label",
         est = LogisticRegression(regParam=reg, elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0,
                                  maxIter=int(params.get("max_iter", 500)), standardization=False, **kw)
     elif algorithm == "rf":
-        depth = params.get("max_depth")
-        est = RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
-                                     maxDepth=int(min(depth, 30)) if depth else 30,
-                                     minInstancesPerNode=int(params.get("min_samples_leaf", 1)), seed=seed, **kw)
+        depth = params.get("max_depth") or 30
+        if depth > 30:
+            raise ValueError("trees deeper than 30 levels are beyond MLlib")
+        per_child = max(int(params.get("min_samples_leaf", 1)), math.ceil(int(params.get("min_samples_split", 2)) / 2))
+        est = RandomForestClassifier(numTrees=int(params.get("n_estimators", 300)), maxDepth=int(depth),
+                                     minInstancesPerNode=per_child, seed=seed, **kw)
     elif algorithm == "gb":
         est = GBTClassifier(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)),
                             maxDepth=int(params.get("max_depth", 3)), subsamplingRate=float(params.get("subsample", 1.0)),
@@ -117,36 +145,48 @@ def build_pipeline(algorithm: str, params: dict, features, label: str = "label",
     return Pipeline(stages=stages)
 
 
-def _fit_svc(train: DataFrame, features, label, params, seed, weight_col):
-    stats_row = train.agg(*[x for c in features for x in (F.avg(c).alias(f"m_{c}"),
-                                                           F.stddev_samp(c).alias(f"s_{c}"))]).first()
-    stats = [(stats_row[f"m_{c}"], stats_row[f"s_{c}"]) for c in features]
-    rff = RandomFourierFeatures([f"_z_{c}" for c in features], int(params.get("n_components", 64)),
-                                params.get("gamma"), seed)
-    z = train.select("*", *[((F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)).alias(f"_z_{c}")
-                            for c, (m, s) in zip(features, stats)])
-    v = VectorAssembler(inputCols=rff.output_cols, outputCol="features_rff").transform(rff.transform(z))
-    C = float(params.get("C", 1.0))
-    n = train.count()
-    svc = LinearSVC(featuresCol="features_rff", labelCol=label, regParam=1.0 / (C * max(n, 1)),
-                    maxIter=int(params.get("max_iter", 100)))
-    if weight_col:
-        svc.setWeightCol(weight_col)
-    svc_model = svc.fit(v)
-    margins = svc_model.transform(v).select(vector_to_array("rawPrediction")[1].alias("m"), F.col(label))
-    platt = LogisticRegression(featuresCol="_mv", labelCol=label, regParam=0.0, maxIter=100).fit(
-        VectorAssembler(inputCols=["m"], outputCol="_mv").transform(margins))
-    return PlattSVCModel(stats, rff, svc_model, float(platt.coefficients[0]), float(platt.intercept), list(features))
+def _fit_svc(train: DataFrame, features, label, params, seed, weight_col, folds: int = 5) -> PlattSVCModel:
+    row = train.agg(F.count(F.lit(1)), *[f(F.col(q(c)).cast("double")) for c in features for f in (F.avg, F.stddev_samp)]).first()
+    n, mean, std = row[0], [float(v or 0.0) for v in row[1::2]], [float(v or 0.0) or 1.0 for v in row[2::2]]
+    linear = params.get("kernel", "rbf") == "linear"
+    rff = RandomFourierFeatures(list(features), mean, std, 0 if linear else int(params.get("n_components", 64)), params.get("gamma"), seed)
+    fold = F.pmod(F.xxhash64(*[F.col(q(c)) for c in features], F.lit(seed)), F.lit(folds)).cast("int")
+    extra = [F.col(weight_col).alias("_w")] if weight_col else []
+    rows = cut_lineage(rff.transform(train).select("features_rff", F.col(q(label)).cast("double").alias("_y"), fold.alias("_fold"), *extra),
+                       "svc_rows")
+
+    def machine(part: DataFrame, share: float):
+        svc = LinearSVC(featuresCol="features_rff", labelCol="_y", regParam=1.0 / (float(params.get("C", 1.0)) * max(n * share, 1)),
+                        maxIter=int(params.get("max_iter", 100)))
+        return (svc.setWeightCol("_w") if weight_col else svc).fit(part)
+
+    margins = None
+    for f in range(folds):
+        unseen = rows.filter(F.col("_fold") == f)
+        if rows.filter(F.col("_fold") != f).select("_y").distinct().count() < 2:
+            continue
+        out = machine(rows.filter(F.col("_fold") != f), 1 - 1 / folds).transform(unseen) \
+            .select(vector_to_array("rawPrediction")[1].alias("m"), "_y")
+        margins = out if margins is None else margins.unionByName(out)
+    whole = machine(rows, 1.0)
+    a, b = 1.0, 0.0
+    if margins is not None:
+        platt = LogisticRegression(featuresCol="_m", labelCol="_y", maxIter=100).fit(
+            VectorAssembler(inputCols=["m"], outputCol="_m").transform(margins))
+        a, b = float(platt.coefficients[0]), float(platt.intercept)
+    return PlattSVCModel(rff, [float(v) for v in whole.coefficients.toArray()], float(whole.intercept), a, b)
 
 
 def fit(train: DataFrame, features, algorithm: str, params: dict, label: str = "label", balanced: bool = False,
         seed: int = 42, scale: bool = True):
     weight_col = None
-    if balanced:
+    if balanced or params.get("class_weight") == "balanced":
         train = with_class_weights(train, label, "_w")
         weight_col = "_w"
     if algorithm == "svc":
         return _fit_svc(train, features, label, params, seed, weight_col)
+    if algorithm == "knn":
+        return KnnModel.fit(train, features, label, int(params.get("n_neighbors", 5)), params.get("weights", "distance"), scale)
     n_weight = train.count() if algorithm == "logreg" else None   # sum of weights = n when balanced
     pipe = build_pipeline(algorithm, params, features, label, weight_col, scale, seed, n_weight)
     return pipe.fit(train)
@@ -173,36 +213,65 @@ def param_grid(grid: dict) -> list[dict]:
     return [dict(zip(keys, combo)) for combo in itertools.product(*vals)]
 
 
+RUNS = ("trial_no int, algorithm string, params string, accuracy double, precision double, recall double, f1_score double, "
+        "roc_auc double, log_loss double, scoring string, score double")
+
+
+def _trials(grids: dict) -> list[tuple[str, dict]]:
+    return [(algo, p) for algo in grids for p in param_grid(grids[algo])]
+
+
 def grid_search(train: DataFrame, test: DataFrame, features, grids: dict, label: str = "label",
                 scoring: str = "roc_auc", balanced: bool = False, parallelism: int = 4, seed: int = 42):
-    """Run every (algorithm, params) trial on one persisted split; returns (run table, models)."""
-    train, test = keep(train), keep(test)
-    trials = [(algo, p) for algo in grids for p in param_grid(grids[algo])]
+    """Run every (algorithm, params) trial on one split written once; returns (run table, models)."""
+    train, test = cut_lineage(train, "train"), cut_lineage(test, "test")
 
-    def run(i_t):
-        i, (algo, p) = i_t
-        model, m = fit_evaluate(train, test, features, algo, p, label, balanced, seed)
-        row = m.first().asDict()
-        return i, algo, p, row, model
+    def run(trial):
+        model, m = fit_evaluate(train, test, features, *trial, label, balanced, seed)
+        return model, m.first().asDict()
 
+    trials = _trials(grids)
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        results = list(ex.map(run, enumerate(trials)))
-    spark = train.sparkSession
+        results = list(ex.map(run, trials))
     rows = []
-    for i, algo, p, r, _ in results:
+    for i, ((algo, p), (_, r)) in enumerate(zip(trials, results)):
         score = r.get(scoring)
         score = float("-inf") if score is None or (isinstance(score, float) and math.isnan(score)) else float(score)
         rows.append((i, algo, json.dumps(p, sort_keys=True), r["accuracy"], r["precision"], r["recall"],
                      r["f1_score"], r["roc_auc"], r["log_loss"], scoring, score))
-    table = spark.createDataFrame(rows, "trial_no int, algorithm string, params string, accuracy double, "
-                                        "precision double, recall double, f1_score double, roc_auc double, "
-                                        "log_loss double, scoring string, score double")
-    models = {i: mdl for i, _, _, _, mdl in results}
-    return table.orderBy(F.desc("score"), "trial_no"), models
+    table = train.sparkSession.createDataFrame(rows, RUNS)
+    return table.orderBy(F.desc("score"), "trial_no"), {i: model for i, (model, _) in enumerate(results)}
+
+
+def cross_validate(folds: DataFrame, features, grids: dict, label: str = "label", k: int = 5, parallelism: int = 4,
+                   seed: int = 42) -> DataFrame:
+    """(trial_no, algorithm, params, mean_accuracy, min_accuracy, max_accuracy): every trial fitted on
+    each k - 1 of the folds (column ``fold``) and scored by accuracy on the one left out."""
+    folds = cut_lineage(folds, "folds")
+
+    def run(job):
+        (algo, p), f = job
+        model = fit(folds.filter(F.col("fold") != f), features, algo, p, label, False, seed)
+        scored = predict(model, folds.filter(F.col("fold") == f))
+        return scored.agg(F.avg((F.col(q(label)) == F.col("prediction")).cast("double"))).first()[0]
+
+    trials = _trials(grids)
+    jobs = [(t, f) for t in trials for f in range(k)]
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        found = list(ex.map(run, jobs))
+    rows = []
+    for i, (algo, p) in enumerate(trials):
+        own = [x for x in found[i * k:(i + 1) * k] if x is not None]
+        rows.append((i, algo, json.dumps(p, sort_keys=True), sum(own) / len(own), min(own), max(own)))
+    return folds.sparkSession.createDataFrame(rows, "trial_no int, algorithm string, params string, mean_accuracy double, "
+                                                    "min_accuracy double, max_accuracy double")
 
 
 def feature_importance(model, features, top: int | None = 15) -> list[tuple[str, float]]:
     """(feature, importance) from tree importances or |coefficients| of the final stage."""
+    if isinstance(model, PlattSVCModel) and not model.rff.n_components:
+        pairs = sorted(zip(features, map(abs, model.coefficients)), key=lambda t: (-t[1], t[0]))
+        return pairs[:top] if top else pairs
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
     if hasattr(last, "featureImportances"):
         vals = last.featureImportances.toArray()

@@ -25,21 +25,16 @@ def iqr_bounds(df: DataFrame, cols, k: float = 1.5, exact: bool = True) -> DataF
     """(col, q1, q3, iqr, lower, upper, extrem_min, extrem_max); extrem_* = round(min/q1, 2)
     and round(max/q3, 2) (half-even, like pandas) with a zero quartile giving NULL."""
     mm = df.agg(F.array(*[F.struct(F.lit(c).alias("col"), F.min(F.col(q(c)).cast("double")).alias("mn"),
-                                   F.max(F.col(q(c)).cast("double")).alias("mx"),
-                                   F.approx_count_distinct(F.col(q(c)), 0.05).alias("_nd"))
+                                   F.max(F.col(q(c)).cast("double")).alias("mx"))
                           for c in cols]).alias("_a")).select(F.inline("_a"))
     if exact:
-        # min/max and distinct counts in one eager pass (one row per column), then quartiles
-        rows = mm.collect()
-        mm = df.sparkSession.createDataFrame([(r["col"], r["mn"], r["mx"]) for r in rows],
-                                             "col string, mn double, mx double")
-        qt = quantile_columns(df, cols, (0.25, 0.75), ("q1", "q3"), distinct={r["col"]: r["_nd"] for r in rows})
+        qt = quantile_columns(df, cols, (0.25, 0.75), ("q1", "q3"))
     else:
         qt = df.agg(F.array(*[F.struct(F.lit(c).alias("col"),
                                        *[x.alias(n) for x, n in zip(
                                            [_quant(F.col(q(c)).cast("double"), (0.25, 0.75), False)[i] for i in (0, 1)],
                                            ("q1", "q3"))]) for c in cols]).alias("_a")).select(F.inline("_a"))
-    raw = mm.drop("_nd").join(qt, "col", "left")          # one row per column on both sides
+    raw = mm.join(qt, "col", "left")          # one row per column on both sides
     iqr = F.col("q3") - F.col("q1")
     return raw.select(
         "col", "q1", "q3", iqr.alias("iqr"),

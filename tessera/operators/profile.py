@@ -13,6 +13,8 @@ task ever holds a column's distinct values); ``exact=False`` uses
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +62,15 @@ def describe(df: DataFrame, cols=None, exact: bool = True, accuracy: int = 10000
         s.append(F.struct(F.lit(c).alias("col"), F.count(v).alias("count"), F.avg(v).alias("mean"),
                           F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
                           *([qs[0][0].alias("p25"), qs[0][1].alias("p50"), qs[0][2].alias("p75")] if qs else []),
-                          F.max(v).alias("max"),
-                          *([F.approx_count_distinct(v, 0.05).alias("_nd")] if exact else [])))
+                          F.max(v).alias("max")))
     schema = "col string, count bigint, mean double, std double, min double, max double"
     out_cols = ["col", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     if not cols:
         return df.sparkSession.createDataFrame([], schema + ", p25 double, p50 double, p75 double").select(*out_cols)
     if not exact:                                   # approximate quartiles inside the one aggregate
         return _long(df, s, schema).select(*out_cols)
-    # moments and distinct counts in one eager pass (one row per column), then quartiles
-    rows = _long(df, s, schema + ", _nd bigint").collect()
-    base = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], schema)
-    qt = quantile_columns(df, cols, (0.25, 0.5, 0.75), ("p25", "p50", "p75"),
-                          distinct={r["col"]: r["_nd"] for r in rows})
-    return base.join(qt, "col", "left").select(*out_cols)
+    qt = quantile_columns(df, cols, (0.25, 0.5, 0.75), ("p25", "p50", "p75"))
+    return _long(df, s, schema).join(qt, "col", "left").select(*out_cols)
 
 
 def skew_kurtosis(df: DataFrame, cols=None) -> DataFrame:
@@ -97,14 +94,32 @@ _PROFILE_SCHEMA = ("col string, dtype string, missing_ratio double, count bigint
                    "pct_zeros double")
 
 
+def _decimal_means(df: DataFrame, cols) -> dict[str, Column]:
+    """Mean per column as a sum of decimals over a count.  The decimals keep 17 digits of the
+    column's largest magnitude, so sums of up to 10 ** 21 values fit; columns that reach beyond
+    10 ** 17, or hold infinities, keep the plain mean."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.max(F.abs(F.nanvl(_col(c).cast("double"), F.lit(None).cast("double")))) for c in cols]).first()
+    out = {}
+    for c, most in zip(cols, row):
+        if most is None or not most < 1e17:
+            continue
+        digits = 17 - max(0, math.ceil(math.log10(most))) if most > 0 else 17
+        v = F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
+        out[c] = F.try_divide(F.sum(v.cast(f"decimal(38,{digits})")).cast("double"), F.count(v).cast("double"))
+    return out
+
+
 def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: dtype, missing ratio and (numeric) describe + skew/kurt/zeros.
 
     exact=False: one lazy aggregate (``percentile_approx`` inside it).
-    exact=True: one eager aggregate for the moments that also measures each numeric
-    column's distinct count (collected: one row per column), then the exact quartiles
-    (``quantile_columns``, strategy chosen from those counts) joined by column name."""
+    exact=True: a pass for the columns' magnitudes, one aggregate for the moments with means by
+    decimal sums (the same in any order of the rows), and the exact quartiles
+    (``quantile_columns``) joined by column name."""
     num = set(numeric_columns(df))
+    means = _decimal_means(df, sorted(num)) if exact else {}
     s = []
     for f in df.schema.fields:
         c = f.name
@@ -116,22 +131,18 @@ def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
             F.lit(c).alias("col"), F.lit(f.dataType.simpleString()).alias("dtype"),
             F.avg(_col(c).isNull().cast("double")).alias("missing_ratio"),
             F.count(_col(c)).alias("count"),
-            F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            means.get(c, F.avg(v)).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
             qs[0].alias("p25"), qs[1].alias("p50"), qs[2].alias("p75"), F.max(v).alias("max"),
             (sample_skew(v) if isn else F.lit(None).cast("double")).alias("skew"),
             (sample_kurt(v) if isn else F.lit(None).cast("double")).alias("kurt"),
             (F.avg(F.coalesce((v == 0).cast("double"), F.lit(0.0))) if isn
              else F.lit(None).cast("double")).alias("pct_zeros"),
-            (F.approx_count_distinct(v, 0.05) if (isn and exact) else F.lit(0).cast("long")).alias("_nd"),
         ))
     ncols = [f.name for f in df.schema.fields if f.name in num]
     if not exact or not ncols:
-        return _long(df, s, _PROFILE_SCHEMA + ", _nd bigint").drop("_nd")
-    rows = _long(df, s, _PROFILE_SCHEMA + ", _nd bigint").collect()      # one row per column
-    distinct = {r["col"]: r["_nd"] for r in rows}
-    base = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], _PROFILE_SCHEMA)
-    qt = quantile_columns(df, ncols, (0.25, 0.5, 0.75), ("q25", "q50", "q75"), distinct=distinct)
-    out = (base.join(qt, "col", "left")
+        return _long(df, s, _PROFILE_SCHEMA)
+    qt = quantile_columns(df, ncols, (0.25, 0.5, 0.75), ("q25", "q50", "q75"))
+    out = (_long(df, s, _PROFILE_SCHEMA).join(qt, "col", "left")
            .withColumn("p25", F.col("q25")).withColumn("p50", F.col("q50")).withColumn("p75", F.col("q75"))
            .drop("q25", "q50", "q75"))
     return out.select("col", "dtype", "missing_ratio", "count", "mean", "std", "min", "p25", "p50", "p75",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import q
 from tessera.operators.clean import align_features
+from tessera.operators.stored import Stored
 
 # --- fixed values: interpretation templates --------------------------------------
 HIGH_WITH_CONF = "High probability of the positive class (confidence %.1f%%)."
@@ -25,10 +26,13 @@ LOW = "Low probability of the positive class."
 # -----------------------------------------------------------------------------------
 
 
-class LinearLogit(Transformer):
+class LinearLogit(Stored):
     """Logistic model with fixed coefficients: prob = 1 / (1 + exp(-(b0 + sum w_i x_i))).
     Produces ``prob`` (double) and ``prediction`` (int) as column expressions."""
 
+    def state(self) -> dict:
+        return {"weights": self.weights, "intercept": self.intercept, "threshold": self.threshold}
+
     def __init__(self, weights: dict, intercept: float = 0.0, threshold: float = 0.5):
         super().__init__()
         self.weights = dict(weights)

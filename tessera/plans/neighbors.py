@@ -1,7 +1,6 @@
 """k-NN queries (M8): embeddings split 80/20 per label (exact stratified split);
-every test vector is classified by its 5 nearest training vectors (exact search; the
-plan - blocked all-pairs or k-means cells pruned by the triangle inequality - is
-chosen by the number of query x reference pairs)."""
+every test vector is classified by its 5 nearest training vectors (exact search in
+cells, pruned by the triangle inequality)."""
 
 from __future__ import annotations
 

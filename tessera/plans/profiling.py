@@ -182,7 +182,8 @@ def _sql_clean_profile():
             skew, kurt, zeros = _sql_num_stats(s)
             parts.append(
                 f"SELECT '{s}' AS col, 'double' AS dtype, {mr} AS missing_ratio, count({s}) AS count, "
-                f"round(avg({s}), 6) AS mean, round(stddev_samp({s}), 6) AS std, round(min({s}), 6) AS min, "
+                f"round(CAST(sum(CAST({s} AS DECIMAL(38, 6))) AS DOUBLE) / count({s}), 6) AS mean, "
+                f"round(stddev_samp({s}), 6) AS std, round(min({s}), 6) AS min, "
                 f"round(quantile_cont({s}, 0.25), 6) AS p25, round(quantile_cont({s}, 0.5), 6) AS p50, "
                 f"round(quantile_cont({s}, 0.75), 6) AS p75, round(max({s}), 6) AS max, "
                 f"{skew} AS skew, {kurt} AS kurt, {zeros} AS pct_zeros FROM msk")

@@ -82,20 +82,6 @@ def test_skew_kurt_match_pandas(spark):
     assert r["k"].skew == 0.0 and r["k"].kurt == 0.0
 
 
-@pytest.mark.parametrize("limit", [1, 10**9])
-def test_exact_quantiles_both_paths(spark, limit):
-    from tessera.operators.quantiles import quantile_columns
-    rng = np.random.default_rng(5)
-    pdf = pd.DataFrame({"a": rng.integers(0, 30, 1001).astype(float), "b": rng.normal(size=1001),
-                        "g": rng.integers(0, 2, 1001)})
-    got = quantile_columns(spark.createDataFrame(pdf), ["a", "b"], (0.25, 0.5, 0.9), ("q1", "q2", "q9"),
-                           by=["g"], map_limit=limit).toPandas()
-    for _, r in got.iterrows():
-        s = pdf[pdf.g == r.g][r.col]
-        assert r.q1 == pytest.approx(s.quantile(0.25)) and r.q2 == pytest.approx(s.quantile(0.5))
-        assert r.q9 == pytest.approx(s.quantile(0.9))
-
-
 @pytest.mark.parametrize("parts", [1, 4, 13])
 def test_hot_value_third_of_rows(spark, parts):
     """One value holds a third of all rows: ranks, AUC and the split stay exact."""

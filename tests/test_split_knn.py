@@ -36,7 +36,7 @@ def test_knn_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     q = df.filter(F.col("vec_id") < 60)
     t = df.filter(F.col("vec_id") >= 6)
-    nb = K.knn_neighbors(q, t, k=4, block_rows=50).toPandas()   # several blocks on both sides
+    nb = K.knn_search(q, t, k=4, block_rows=50).toPandas()   # several blocks on both sides
     Q, T = X[:60].astype(np.float64), X[6:].astype(np.float64)
     D = np.sqrt(((Q[:, None, :] - T[None, :, :]) ** 2).sum(-1))
     for qi in range(60):
@@ -48,7 +48,7 @@ def test_knn_matches_brute_force(spark):
     assert pred[5] == int(lab[6])              # the zero-distance neighbour takes all the weight
 
 
-def test_pruned_knn_equals_blocked(spark):
+def test_knn_same_for_any_cells_and_blocks(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(scale=6.0, size=(6, 8))
     X = (centers[rng.integers(0, 6, 600)] + rng.normal(size=(600, 8))).astype(np.float32)
@@ -56,7 +56,7 @@ def test_pruned_knn_equals_blocked(spark):
     df = spark.createDataFrame([(i, X[i].tolist(), int(lab[i])) for i in range(600)],
                                "vec_id long, embedding array<float>, label int")
     q, t = df.filter(F.col("vec_id") % 5 == 0), df.filter(F.col("vec_id") % 5 != 0)
-    a = K.knn_neighbors(q, t, k=5, block_rows=100).select("qid", "vec_id", "rank").toPandas()
-    b = K.knn_neighbors_pruned(q, t, k=5, n_cells=8, block_rows=40).select("qid", "vec_id", "rank").toPandas()
+    a = K.knn_search(q, t, k=5).select("qid", "vec_id", "rank").toPandas()
+    b = K.knn_search(q, t, k=5, cell_rows=60, block_rows=40).select("qid", "vec_id", "rank").toPandas()
     key = ["qid", "rank"]
     assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
