@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import SPACE, chunks, utf8, word_hashes
+from tessera.llm.text import SPACE, chunks, filter_rows, small_batches, utf8, word_hashes
 
 SAMPLE = 3000
 THRESHOLD = 0.7
@@ -269,11 +269,11 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def accept(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the field takes for good, columns as they are."""
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
-            yield piece.filter(pa.array(scores(field, *utf8(piece.column(at))) >= threshold))
-    return docs.mapInArrow(run, schema)
+    """The rows of ``docs`` that the field takes for good, columns as they are.  Only
+    the texts go to the workers; the rows stay where they are."""
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def accepted(text: pa.Array) -> pa.Array:
+        return filter_rows(text, lambda raw, offs: scores(field, raw, offs) >= threshold)
+    return docs.filter(accepted("text"))

@@ -77,6 +77,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]], offs - offs[0]
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows from here on in this session: what a task and
+    its worker hold of long texts at a time.  A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def filter_rows(text: pa.Array, keep) -> pa.Array:
+    """``keep(bytes, offsets)`` of an array of texts, piece by piece."""
+    parts = [keep(*utf8(piece.column(0))) for piece in chunks([pa.RecordBatch.from_arrays([text], names=["text"])])]
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of at most ``limit`` bytes of ``text`` (one row at least)."""
     for batch in batches:

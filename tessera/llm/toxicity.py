@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.quality import labelled
-from tessera.llm.text import LOWER, NOT_ALNUM, chunks, mix64, utf8, word_hashes
+from tessera.llm.text import LOWER, NOT_ALNUM, chunks, filter_rows, mix64, small_batches, utf8, word_hashes
 
 SAMPLE = 8000
 HASH_BITS, HEAD = 26, 5
@@ -184,10 +184,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def accept(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the machine does not take for toxic, columns as they are."""
-    at, schema = docs.columns.index("text"), docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
-            yield piece.filter(pa.array(scores(machine, *utf8(piece.column(at))) < threshold))
-    return docs.mapInArrow(run, schema)
+    """The rows of ``docs`` that the machine does not take for toxic, columns as they are.  Only
+    the texts go to the workers; the rows stay where they are."""
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def accepted(text: pa.Array) -> pa.Array:
+        return filter_rows(text, lambda raw, offs: scores(machine, raw, offs) < threshold)
+    return docs.filter(accepted("text"))
