@@ -28,7 +28,7 @@ proportion to members and keys; the rows of step 7 grow with (members / ``BLOCK`
 cluster that no hub joins.  Two texts at the threshold of 0.85 share no bucket with
 probability 6e-11 (0.8: 1e-7); a pair is left out by its bins with 3e-7.
 
-Rows that share a doc_id are one node (linked if any of their texts is).  NULL and empty
+In ``near_duplicates`` rows that share a doc_id are one node (linked if any of their texts is).  NULL and empty
 texts and texts without words have an empty set: linked with nothing.  Rows with a NULL
 doc_id are returned with a NULL component and stay.  An empty table gives an empty result.
 Columns other than doc_id and text are ignored, whatever their names.
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.text import SPACE, chunks, mix64, salts, shingle_sets, utf8
+from tessera.llm.text import SPACE, chunks, mix64, salts, shingle_sets, small_batches, utf8
 from tessera.session import cut_lineage
 
 BANDS, ROWS = 40, 5
@@ -257,6 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
     Texts are linked when share[1] * |A and B| >= share[0] * |A or B|.  component_id is the
     least doc_id reachable over links, kept whether that is the row's own doc_id."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut_lineage(docs.mapInArrow(_sign(width, bands * rows), SIGNED), "signed")
     known = signed.filter("doc_id is not null and digest is not null")
@@ -335,9 +336,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone`` (key).  Rows that a broadcast bitmap of ``gone`` (4 MB
+    at any size) does not know stay where they are; the others are joined exactly."""
+    slot, bit = _slot(key)
+    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
+    known = rows.select("*", slot, bit).join(F.broadcast(id_bitmap(gone, key)), "slot", "left")
+    maybe = F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False))
+    sure = known.filter(~maybe).select(rows.columns)
+    return sure.unionByName(known.filter(maybe).select(rows.columns).join(gone, key, "left_anti").select(rows.columns))
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least doc_id (one of
-    them where rows repeat a doc_id).  Rows without words or without a doc_id stay."""
-    chosen = near_duplicates(docs, **how).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each group of near duplicates: that of the least doc_id (rows
+    without one come last; of equal ones any).  Rows are linked by their own texts only: rows
+    that share a doc_id and differ in text stay, and rows without a doc_id are compared like all
+    others.  Rows without words stay."""
+    own = "row"
+    while own in docs.columns:
+        own += "_"
+    rows = cut_lineage(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col(own).alias("doc_id"), F.col("doc_id").alias("name"))
+    groups = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), **how).select("doc_id", "component_id")
+    first = groups.join(ids, "doc_id").groupBy("component_id") \
+        .agg(F.min(F.struct(F.col("name").isNull().alias("last"), "name", "doc_id")).alias("first"))
+    gone = groups.join(first.select("first.doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias(own))
+    return without(rows, own, cut_lineage(gone, "gone")).drop(own)

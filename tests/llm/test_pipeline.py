@@ -41,4 +41,20 @@ def test_registered():
     import __spark_entry__ as E
     names = E.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(names) and set(E.oracle_sql()) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_near_dedup_keeps_different_texts(spark):
+    """Repeated and missing doc_ids: only rows whose texts are near copies go."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    a, b, c = (" ".join(rng.choices(vocab, k=80)) for _ in range(3))
+    rows = [(1, a), (1, b), (None, c), (None, c), (None, c + " end"), (7, b + " end"), (7, "x y"), (7, "x y"), (8, None), (8, None), (9, ""), (None, " \n ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "r") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row string").repartition(4)
+    kept = P.near_dedup_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert sum(t in (c, c + " end") for _, t in got) == 1
+    assert sorted((x for x in got if x[1] not in (c, c + " end")), key=str) == \
+        sorted([(1, a), (1, b), (7, "x y"), (8, None), (8, None), (9, ""), (None, " \n ")], key=str)
