@@ -8,9 +8,12 @@ first ``HEAD`` bytes of longer words, hashed to ``2 ** HASH_BITS`` numbers.  The
 through the logistic function: the factors v let two terms weigh together what neither does
 alone.  The pair sum is ((sum of v) ** 2 - sum of v ** 2) / 2, one pass over the terms.
 
-Learning: at most ``SAMPLE`` labelled documents by a hash of doc_id, fitted on the driver.
-Terms seen in fewer than ``LEAST`` of them are left out, of the others the ``TERMS`` that part
-the labels best are kept (the model's size); rare terms of long texts then weigh nothing.
+Learning: at most ``SAMPLE`` labelled documents by a hash of doc_id, fitted on the driver.  No term
+is left out: the table of ``2 ** HASH_BITS`` rows bounds the model's size, and a penalty per term
+keeps noise small.  A weight is penalised unless the term's documents stray from the share of
+label 1 by several standard deviations; factors are penalised unless the term strays or is
+frequent, for two frequent terms that are neutral alone can decide a label together.  Terms that no
+learnt document has weigh nothing.
 
 NULL and empty texts have no terms and the score of w0.  A document of several label rows
 takes the largest label; NULL labels are left out.  Without labels, or with one class only,
@@ -32,8 +35,12 @@ from tessera.llm.quality import labelled
 from tessera.llm.text import LOWER, NOT_ALNUM, chunks, filter_rows, mix64, small_batches, utf8, word_hashes
 
 SAMPLE = 8000
-HASH_BITS, HEAD = 26, 5
-LEAST, TERMS, FACTORS = 5, 4000, 4
+HASH_BITS, HEAD = 18, 5
+FACTORS, EPOCHS = 4, 25
+#: penalties: of a term that strays and is frequent, and added for one that does neither
+PENALTY, DOUBT = (1e-5, 1e-3), 1.0
+#: documents a term needs to be judged by its stray, share of documents that makes it frequent
+LEAST, FREQUENT = 5, 0.05
 THRESHOLD = 0.5
 
 
@@ -58,103 +65,79 @@ def terms(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """``known``: sorted term numbers; their weights and factors."""
-    known: np.ndarray
+    """Weights and factors of the term numbers (2 ** HASH_BITS rows)."""
     w0: float
     w: np.ndarray
     v: np.ndarray
 
+    def __post_init__(self):
+        self.live = (self.w != 0) | (self.v != 0).any(axis=1)
+
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _value(machine: Machine, owner: np.ndarray, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _value(w0: float, w: np.ndarray, v: np.ndarray, owner: np.ndarray, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(score before the logistic, sum of factors) of n texts; one row per text and term."""
-    linear = np.bincount(owner, machine.w[column], n)
-    sums = np.stack([np.bincount(owner, machine.v[column, f], n) for f in range(machine.v.shape[1])], axis=1)
-    squares = np.bincount(owner, (machine.v[column] ** 2).sum(axis=1), n)
-    return machine.w0 + linear + 0.5 * ((sums ** 2).sum(axis=1) - squares), sums
+    linear = np.bincount(owner, w[column], n)
+    own = v[column]
+    sums = np.stack([np.bincount(owner, own[:, f], n) for f in range(v.shape[1])], axis=1)
+    squares = np.bincount(owner, (own ** 2).sum(axis=1), n)
+    return w0 + linear + 0.5 * ((sums ** 2).sum(axis=1) - squares), sums
 
 
 def scores(machine: Machine, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     owner, term = terms(raw, offs)
-    if len(machine.known):
-        maybe = _filter(machine)[term & _LOW]
-        owner, term = owner[maybe], term[maybe]
-        column = np.searchsorted(machine.known, term)
-        column[column == len(machine.known)] = 0
-        hit = machine.known[column] == term
-        both = np.unique(owner[hit] * len(machine.known) + column[hit])
-        owner, column = both // len(machine.known), both % len(machine.known)
-    else:
-        owner = column = np.zeros(0, np.int64)
-    return _logistic(_value(machine, owner, column, n)[0])
-
-
-_LOW = (1 << 20) - 1
-_FILTERS: dict[int, np.ndarray] = {}
-
-
-def _filter(machine: Machine) -> np.ndarray:
-    """Which low parts of term numbers the machine knows: most terms end here."""
-    key = hash(machine.known.tobytes())
-    if key not in _FILTERS:
-        _FILTERS.clear()
-        table = np.zeros(_LOW + 1, dtype=bool)
-        table[machine.known & _LOW] = True
-        _FILTERS[key] = table
-    return _FILTERS[key]
-
-
-def fit(sets: list[np.ndarray], labels: np.ndarray, epochs: int = 60, seed: int = 5) -> Machine:
+    known = machine.live[term]
+    both = np.unique(owner[known] << HASH_BITS | term[known])
+    return _logistic(_value(machine.w0, machine.w, machine.v, both >> HASH_BITS, both & ((1 << HASH_BITS) - 1), n)[0])
+
+
+def fit(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Machine:
     """Logistic loss by Adagrad over mini-batches, with a pull to 0 on weights and factors.
     ``sets``: the distinct terms of each document."""
-    n = len(sets)
-    none = Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+    n, rows = len(sets), 1 << HASH_BITS
+    out = Machine(0.0, np.zeros(rows, np.float32), np.zeros((rows, FACTORS), np.float32))
     if n == 0:
-        return none
+        return out
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-    none.w0 = float(np.log(share / (1 - share)))
-    if labels.min() == labels.max():
-        return none
-    term, first, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    positive = np.bincount(first, labels[owner], len(term))
+    w0 = out.w0 = float(np.log(share / (1 - share)))
+    if labels.min() == labels.max() or not sum(map(len, sets)):
+        return out
+    term, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     expected = counts * share
     # how far a term's documents stray from the share of label 1, in standard deviations
-    stray = np.abs(positive - expected) / np.sqrt(counts * share * (1 - share))
-    stray[(counts < LEAST) | (stray < 3)] = 0
-    chosen = np.sort(np.argsort(-stray, kind="stable")[:min(TERMS, int((stray > 0).sum()))])
-    if not len(chosen):
-        return none
-    place = np.full(len(term), -1)
-    place[chosen] = np.arange(len(chosen))
-    column = place[first]
-    owner, column = owner[column >= 0], column[column >= 0]
-    begin = np.searchsorted(owner, np.arange(n + 1))
+    stray = np.bincount(column, labels[np.repeat(np.arange(n), np.diff(begin))], len(term)) - expected
+    stray = np.maximum(np.abs(stray) - 0.5, 0) / np.sqrt(expected * (1 - share) + 0.5) * (counts >= LEAST)
+    weak = np.exp(-stray ** 2 / 2)
+    idle = np.minimum(weak, np.exp(-counts / (FREQUENT * n)))
+    pull_w, pull_v = PENALTY[0] + DOUBT * weak, (PENALTY[1] + DOUBT * idle)[:, None]
     rng = np.random.default_rng(seed)
-    m = Machine(term[chosen], none.w0, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
-    gw, gv, g0 = np.full(len(chosen), 1e-2), np.full((len(chosen), FACTORS), 1e-2), 1e-2
+    w, v = np.zeros(len(term)), rng.normal(0, 0.1, (len(term), FACTORS)) * (1 - idle)[:, None]
+    gw, gv, g0 = np.full(len(term), 1e-2), np.full((len(term), FACTORS), 1e-2), 1e-2
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(epochs):
-        deal = rng.permutation(n)
-        for part in np.array_split(deal, max(1, n // 256)):
-            rows = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in part])
-            size = begin[part + 1] - begin[part]
-            own, col = np.repeat(np.arange(len(part)), size), column[rows]
-            z, sums = _value(m, own, col, len(part))
+        for part in np.array_split(rng.permutation(n), max(1, n // 128)):
+            at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in part])
+            own = np.repeat(np.arange(len(part)), begin[part + 1] - begin[part])
+            some, col = np.unique(column[at], return_inverse=True)
+            z, sums = _value(w0, w[some], v[some], own, col, len(part))
             error = (_logistic(z) - labels[part]) * weight[part] / len(part)
             # a machine's slope in w is the sign itself, in v the other terms' factors
-            dw = np.bincount(col, error[own], len(chosen)) + 1e-5 * m.w
-            other = sums[own] - m.v[col]
-            dv = np.stack([np.bincount(col, error[own] * other[:, f], len(chosen)) for f in range(FACTORS)], axis=1) + 1e-4 * m.v
-            gw, gv, g0 = gw + dw ** 2, gv + dv ** 2, g0 + error.sum() ** 2
-            m.w -= 0.3 * dw / np.sqrt(gw)
-            m.v -= 0.05 * dv / np.sqrt(gv)
-            m.w0 -= 0.3 * error.sum() / np.sqrt(g0)
-    return m
+            dw = np.bincount(col, error[own], len(some)) + pull_w[some] * w[some]
+            other = sums[own] - v[some][col]
+            dv = np.stack([np.bincount(col, error[own] * other[:, f], len(some)) for f in range(FACTORS)], axis=1) + pull_v[some] * v[some]
+            gw[some] += dw ** 2
+            gv[some] += dv ** 2
+            g0 += error.sum() ** 2
+            w[some] -= 0.3 * dw / np.sqrt(gw[some])
+            v[some] -= 0.1 * dv / np.sqrt(gv[some])
+            w0 -= 0.3 * error.sum() / np.sqrt(g0)
+    out.w[term], out.v[term] = w, v
+    return Machine(float(w0), out.w, out.v)
 
 
 def learn_machine(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = SAMPLE) -> Machine:
