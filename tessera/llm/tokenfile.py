@@ -20,12 +20,12 @@ doc_ids stand first.  Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,15 +44,18 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 
 
 class Encoder:
-    """Texts to ids by the library, piece by piece.
+    """Texts to ids by the library, each distinct word once.
 
     The splitter of a byte-level vocabulary ties one blank to the word after it and has no
     other context, so a text whose only white space is single blanks and single line ends
-    may be cut into words, and every word encoded once per cache life; new words of a chunk
-    go through the library in one call, divided by line ends.  Other texts, and those that
-    may hold a special token, go through the library whole."""
+    may be cut into words.  Arrow cuts and numbers the words of a chunk; only its distinct words
+    are looked up (new ones go through the library in one call, divided by line ends), and
+    numpy gathers the ids of all places.  Other texts, and those that may hold a special token, go
+    through the library whole."""
 
-    _ODD = re.compile(r"[^\S \n]")
+    #: white space other than single blanks and line ends between words, or the start of a special token
+    _ODD = (r"  |\n\n| \n|\n |<\||^[ \n]|[ \n]$|^$|"
+            r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,43 +64,60 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.line_end = self._whole("\n")[0]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of distinct words: "x" is that word after a blank, "\\nx" after a line end."""
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
-        new = []
-        for p in pieces:
-            if p not in self.young:
-                known = self.old.get(p)
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                known = old.get(w)
                 if known is None:
-                    new.append(p)
+                    new.append(w)
                 else:
-                    self.young[p] = known
+                    young[w] = known
         for at in range(0, len(new), 5000):
             part = new[at:at + 5000]
-            ids = np.asarray(self._whole("".join(p if p[:1] == "\n" else "\n " + p for p in part)), dtype="<u4")
+            ids = np.asarray(self._whole("".join(w if w[:1] == "\n" else "\n " + w for w in part)), dtype="<u4")
             cuts = np.flatnonzero(ids == self.line_end)
-            ends = np.append(cuts[1:], len(ids))
-            for p, a, b in zip(part, cuts.tolist(), ends.tolist()):
-                self.young[p] = ids[a if p[:1] == "\n" else a + 1:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            plain = not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or "<|" in t or t[:1] in ("", " ", "\n")
-                         or t[-1] in " \n" or self._ODD.search(t))
-            cut.append(("\n" + t).replace("\n", " \n")[1:].split(" ") if plain else None)
-        self._learn({p for c in cut if c for p in c})
-        get, out = self.young.__getitem__, []
-        for t, c in zip(texts, cut):
-            # the first word stands for itself: without the line end that was set before it
-            out.append(b"".join(map(get, c))[4:] if c else np.asarray(self._whole(t), dtype="<u4").tobytes())
+            for w, a, b in zip(part, cuts.tolist(), np.append(cuts[1:], len(ids)).tolist()):
+                young[w] = ids[a if w[:1] == "\n" else a + 1:b]
+        return [young[w] for w in words]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), the texts free of ``_ODD``."""
+        # the first word stands after a line end too, which is taken off again
+        cut = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        words = pc.split_pattern(cut, " ")
+        coded = pc.list_flatten(words).dictionary_encode()
+        known = self._words(coded.dictionary.to_pylist())
+        size = np.array([len(i) for i in known], dtype=np.int64)
+        begin, word = np.cumsum(size) - size, coded.indices.to_numpy().astype(np.int64)
+        first = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))[:-1]
+        n, start = size[word], begin[word]
+        start[first] += 1
+        n[first] -= 1
+        ends = np.cumsum(n)
+        ids = np.concatenate(known)[np.arange(ends[-1]) + np.repeat(start - (ends - n), n)]
+        return ids, np.add.reduceat(n, first)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit integers; NULL is the empty text."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self._ODD).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(texts)
+        if not odd.all():
+            ids, n = self._plain(texts.filter(pa.array(~odd)))
+            for i, part in zip(np.flatnonzero(~odd).tolist(), np.split(ids, np.cumsum(n)[:-1])):
+                out[i] = part
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.asarray(self._whole(texts[i].as_py()), dtype="<u4")
         return out
 
 
@@ -134,20 +154,20 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_file(out, doc_ids: list[int | None], ids: list[bytes], block: int = 1 << 18) -> None:
-    every = np.frombuffer(b"".join(ids), dtype="<u4")
-    distinct, counts = np.unique(every, return_counts=True)
-    by_rank = distinct[np.lexsort((distinct, -counts))]
-    rank = np.empty(len(distinct), dtype="<u4")
-    rank[np.searchsorted(distinct, by_rank)] = np.arange(len(by_rank), dtype="<u4")
+def write_file(out, doc_ids: list[int | None], ids: list[np.ndarray], block: int = 1 << 18) -> None:
+    every = np.concatenate(ids)
+    counts = np.bincount(every)                     # as long as the vocabulary
+    by_rank = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
+    rank = np.empty(len(counts), dtype="<u4")
+    rank[by_rank] = np.arange(len(by_rank), dtype="<u4")
     out.write(MAGIC + np.uint32(len(by_rank)).tobytes() + by_rank.astype("<u4").tobytes())
-    lengths = np.array([len(i) // 4 for i in ids], dtype="<i8")
+    lengths = np.array([len(i) for i in ids], dtype="<i8")
     ends = np.cumsum(lengths)
     at = 0
     while at < len(ids):
         before = int(ends[at] - lengths[at])
         to = max(at + 1, int(np.searchsorted(ends, before + block, side="right")))
-        values = rank[np.searchsorted(distinct, every[before:int(ends[to - 1])])]
+        values = rank[every[before:int(ends[to - 1])]]
         control, data = pack(values)
         out.write(np.array([to - at, len(values), len(control), len(data)], dtype="<i8").tobytes())
         out.write(np.array([NO_ID if d is None else d for d in doc_ids[at:to]], dtype="<i8").tobytes())
@@ -177,11 +197,11 @@ def read_file(stream) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame:
     """Writes the files of ``docs`` (doc_id, text) into ``folder`` when it is run: one row
     (part, file, docs, ids) per file.  Files are in order of (part, file)."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), encoder(path)
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         n, held = 0, 0
 
@@ -191,14 +211,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame
             return pa.RecordBatch.from_pydict({"part": [part], "file": [n], "docs": [len(ids)], "ids": [held]})
 
         for piece in chunks(batches):
-            texts = [t or "" for t in piece.column(1).to_pylist()]
-            for d, i in zip(piece.column(0).to_pylist(), own.encode(texts)):
-                if ids and held + len(i) // 4 + 1 > FILE_IDS:
+            for d, i in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
+                if ids and held + len(i) + 1 > FILE_IDS:
                     yield close()
                     ids, doc_ids, n, held = [], [], n + 1, 0
-                ids.append(i + end)
+                ids.append(np.concatenate([i, end]))
                 doc_ids.append(d)
-                held += len(i) // 4 + 1
+                held += len(i) + 1
         if ids:
             yield close()
 

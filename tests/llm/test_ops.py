@@ -312,10 +312,8 @@ def test_op10_pairs(spark, odd, none):
         sets.append(np.array([1] * a + [2] * b + sorted(rng.sample(range(10, 60), 5))))
         labels.append(float(a and b))
     machine = toxicity.fit(sets, np.array(labels))
-    column = {t: i for i, t in enumerate(machine.known.tolist())}
-    owner, both = np.array([0, 1, 2, 2]), np.array([column[1], column[2], column[1], column[2]])
-    z, _ = toxicity._value(machine, owner, both, 3)
-    assert z[0] < 0 and z[1] < 0 and z[2] > 0 and machine.v[column[1]] @ machine.v[column[2]] > 0
+    z, _ = toxicity._value(machine.w0, machine.w, machine.v, np.array([0, 1, 2, 2]), np.array([1, 2, 1, 2]), 3)
+    assert z[0] < 0 and z[1] < 0 and z[2] > 0 and machine.v[1] @ machine.v[2] > 0
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 9)], "doc_id long, quality int, toxic int")
     machine = toxicity.learn_machine(odd, labels, F.lit(True))
     got = toxicity.score(odd, machine).collect()
@@ -323,13 +321,28 @@ def test_op10_pairs(spark, odd, none):
     assert toxicity.score(none, machine).count() == 0 and toxicity.accept(odd, machine).columns == odd.columns
 
 
+@pytest.mark.parametrize("noise,vocabulary", [(10, 100), (60, 2000)])
+def test_op10_pair_neutral_alone(noise, vocabulary):
+    """Label 1 if both words or neither: each is neutral alone, and no term is left out for it."""
+    rng = random.Random(noise)
+    sets, labels = [], []
+    for _ in range(5000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        sets.append(np.array([1] * a + [2] * b + sorted(rng.sample(range(10, 10 + vocabulary), noise))))
+        labels.append(float(a == b))
+    machine = toxicity.fit(sets[:4000], np.array(labels[:4000]))
+    held = sets[4000:]
+    z, _ = toxicity._value(machine.w0, machine.w, machine.v, np.repeat(np.arange(1000), [len(x) for x in held]), np.concatenate(held), 1000)
+    assert ((z > 0) == np.array(labels[4000:])).mean() > 0.95
+
+
 def test_op10_value():
     rng = np.random.default_rng(4)
-    m = toxicity.Machine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
+    m = toxicity.Machine(0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
     sets = [[0, 2, 5], [], [1]]
     owner, column = np.array([0, 0, 0, 2]), np.array([0, 2, 5, 1])
     want = [0.3 + sum(m.w[i] for i in s) + sum(m.v[i] @ m.v[j] for i, j in itertools.combinations(s, 2)) for s in sets]
-    assert np.allclose(toxicity._value(m, owner, column, 3)[0], want)
+    assert np.allclose(toxicity._value(m.w0, m.w, m.v, owner, column, 3)[0], want)
 
 
 def test_op5_brute_force(spark):
