@@ -4,21 +4,27 @@ A document holds an item when some stretch of its words is within an edit distan
 ``floor(edits * words of the item)`` from the item (words put in, left out or changed).  Words
 are runs of letters and digits (and all that is not ASCII), lower-cased A-Z.
 
-Items of fewer than ``SHORT`` words are found without loss: an item with at most k edits, cut
-into k + 1 pieces, has one piece that no edit touches, so every run of words of a document that
-equals a piece is a candidate (for step 5).  Longer items go by steps 1 to 4.
-
 1. Windows begin at anchors: word pairs whose hash is the least of some ``NEAR`` neighbouring
-   pairs, so that a copied passage has the same anchors inside as the item.  Window sizes
-   are 8, 16, 32, ... words, for each item up to its own size.
+   pairs, so that a copied passage has the same anchors inside as the item.  Windows are
+   item-sized: of the size classes (each about 1.4 times the one before) an item has its own,
+   the largest that fits, and the ``SHORTER`` below it, for windows that begin at its later words.
 2. A window is embedded by the random walk of Chakraborty, Goldenberg and Koucky: 2 * size
    steps; each step puts out the word under the pointer, and a random bit of (step, word)
    says whether the pointer moves on.  Few edits become few differing steps.
-3. Bit-sampling LSH: ``SAMPLES`` steps, one from each part of the walk, make a key; ``REPEATS`` walks per size.
+3. Bit-sampling LSH: ``SAMPLES`` steps, one from each part of the walk, make a key; ``REPEATS`` walks
+   per size, chosen so that items with all the edits allowed are found with 0.9 or more
+   at every length from ``SHORT`` words on (0.95 and more from 12 words on, measured).
 4. Documents' keys are joined to the items' keys.  Two filters of fixed size (``FILTER_BITS``
    bits each, made by Spark from the anchors and keys of all items) drop nearly all
    windows before the join; what passes by chance finds no partner there.
-5. Every candidate is verified by the exact edit distance on the whole words.
+5. Every candidate is verified by the exact edit distance on the whole words.  Candidates are
+   gathered by document, so a text moves once at most (texts without any do not move: a
+   broadcast bitmap of the document ids knows them), and only the words about each candidate go
+   on to its item.
+
+Items of fewer than ``SHORT`` words are too short to embed: an item with at most k edits, cut into
+k + 1 pieces, has one piece that no edit touches, so every run of words that equals a piece is a
+candidate for step 5.
 
 An anchor begins a window only if its word pair is one of some item's anchors.  Items of
 fewer than 5 words allow no edit and match exactly; NULL items and items without words match
@@ -33,15 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import NOT_ALNUM, chunks, combine, mix64, salts, utf8, word_hashes
+from tessera.llm.minhash import among, id_bitmap
+from tessera.llm.text import NOT_ALNUM, chunks, combine, mix64, salts, small_batches, utf8, word_hashes
 from tessera.session import cut_lineage
 
 NEAR = 4
-SHORT, SMALLEST = 40, 8
-REPEATS, SAMPLES = 6, 6
+SHORT, SHORTER = 8, 3
+REPEATS, SAMPLES = 12, 4
 EDITS = 0.2
 FILTER_BITS = 22
 _FILTER_MASK = np.uint64((1 << FILTER_BITS) - 1)
@@ -96,18 +104,19 @@ def walk_keys(words: np.ndarray, at: np.ndarray, end: np.ndarray, sizes: list[in
 
 
 def sizes_of(n: int) -> list[int]:
-    """Window sizes of an item of n words."""
-    out = [SMALLEST]
-    while 2 * out[-1] + NEAR <= n:
-        out.append(2 * out[-1])
-    return out
+    """Window sizes of an item of n words: the largest classes that fit."""
+    classes, exact = [6], 6 * 2 ** 0.5
+    while round(exact) <= n:
+        classes.append(round(exact))
+        exact *= 2 ** 0.5
+    return classes[-1 - SHORTER:]
 
 
-_KEYS = "item_id long, place long, pair long, size long, key long"      # of pieces: pair NULL, size less than 0
+_KEYS = "item_id long, place long, words long, pair long, size long, key long"      # of pieces: pair NULL, size less than 0
 
 
-def _rows(item_id, place, pair, size, key) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (item_id, place, pair, size, key)],
+def _rows(item_id, place, words, pair, size, key) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (item_id, place, words, pair, size, key)],
                                       names=[c.split(" ")[0] for c in _KEYS.split(", ")])
 
 
@@ -131,7 +140,7 @@ def _item_keys(edits: float):
             for i in np.flatnonzero((n > 0) & (n < SHORT)):
                 ends = cuts(int(n[i]), edits)
                 keys = [run_keys(words[bounds[i] + a:bounds[i] + b], int(b - a))[0] for a, b in zip(ends[:-1], ends[1:])]
-                yield _rows(np.full(len(keys), ids[i]), ends[:-1], [None] * len(keys), -np.diff(ends), np.array(keys).view(np.int64))
+                yield _rows(np.full(len(keys), ids[i]), ends[:-1], np.full(len(keys), n[i]), [None] * len(keys), -np.diff(ends), np.array(keys).view(np.int64))
             at, pair = anchors(words, bounds)
             item = np.searchsorted(bounds, at, side="right") - 1
             own = n[item] >= SHORT
@@ -141,7 +150,7 @@ def _item_keys(edits: float):
             sizes = [{*sizes_of(k)} for k in n.tolist()]
             for size, keys, fits in walk_keys(words, at, bounds[item + 1], sorted(set().union(*sizes))):
                 fits &= np.array([size in own for own in sizes])[item]
-                yield _rows(ids[item[fits]], (at - bounds[item])[fits], pair[fits].view(np.int64),
+                yield _rows(ids[item[fits]], (at - bounds[item])[fits], n[item[fits]], pair[fits].view(np.int64),
                             np.full(int(fits.sum()), size), keys[fits].view(np.int64))
     return run
 
@@ -199,21 +208,46 @@ def distance(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
-def _verify(edits: float):
+def _stretches(edits: float):
+    """(doc_id, item_id, exact, about): hashes of the words of each candidate's own place, and with as
+    many words before and after it as the edits allow and the region leaves open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
-            docs, doc_at, _ = word_hashes(*utf8(piece.column(3)), NOT_ALNUM)
-            items, item_at, _ = word_hashes(*utf8(piece.column(4)), NOT_ALNUM)
-            start, found = piece.column(2).to_pylist(), []
-            for i, s in enumerate(start):
-                item, doc = items[item_at[i]:item_at[i + 1]], docs[doc_at[i]:doc_at[i + 1]]
-                slack = int(edits * len(item)) + 8
-                stretch = doc[max(0, s - slack):max(0, s + len(item) + slack)]
-                exact = doc[max(0, s):max(0, s) + len(item)]
-                same = len(exact) == len(item) and bool((exact == item).all())
-                found.append((0 if same else distance(item, stretch), len(item)))
-            d, n = (np.array(c, dtype=np.int64) for c in zip(*found))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(d), pa.array(n)],
+            docs, doc_at, _ = word_hashes(*utf8(piece.column(1)), NOT_ALNUM)
+            asks = piece.column(2)
+            row = np.repeat(np.arange(piece.num_rows), pc.list_value_length(asks).to_numpy())
+            item, start, n = (c.to_numpy() for c in asks.flatten().flatten())
+            slack = np.floor(edits * n).astype(np.int64) + 8
+            begin, end = doc_at[row], doc_at[row + 1]
+            at = begin + start
+
+            def cut(a: np.ndarray, b: np.ndarray, some: slice) -> pa.Array:
+                return pa.array([docs[x:y].tobytes() for x, y in zip(np.clip(a, begin, end)[some], np.clip(b, begin, end)[some])], pa.binary())
+
+            for k in range(0, len(row), 1024):
+                some = slice(k, k + 1024)
+                yield pa.RecordBatch.from_arrays([
+                    piece.column(0).take(pa.array(row[some])), pa.array(item[some]), cut(at, at + n, some),
+                    cut(at - slack, at + n + slack, some)], names=["doc_id", "item_id", "exact", "about"])
+    return run
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in chunks(batches):
+        words, at, _ = word_hashes(*utf8(piece.column(1)), NOT_ALNUM)
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                                         names=["item_id", "item"])
+
+
+def _verify(edits: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for exact, about, item in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                item = np.frombuffer(item, np.uint64)
+                found.append((0 if exact == item.tobytes() else distance(item, np.frombuffer(about, np.uint64)), len(item)))
+            d, n = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(n)],
                                              names=["doc_id", "item_id", "distance", "n_words"]).filter(pa.array(d <= np.floor(edits * n)))
     return run
 
@@ -222,22 +256,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     """(doc_id, item_id, distance, n_words, similarity) of every document and item it holds:
     the least edit distance in words, and 1 - distance / n_words."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
     keys = cut_lineage(items.mapInArrow(_item_keys(edits), _KEYS), "item_keys")
-    every = sorted(r[0] for r in keys.select("size").distinct().collect())       # powers of two, and lengths of pieces
+    every = sorted(r[0] for r in keys.select("size").distinct().collect())       # size classes, and lengths of pieces
     sizes, lengths = [s for s in every if s > 0], [-s for s in every if s < 0]
     if not every:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long, n_words long, similarity double")
     known = [spark.sparkContext.broadcast(bit_filter(keys.filter(f"{c} is not null"), c)) for c in ("pair", "key")]
     windows = docs.mapInArrow(_window_keys(*known, sizes, lengths), "doc_id long, at long, key long")
     start = F.col("at") - F.col("place")
-    near = (windows.join(keys.select("key", "item_id", "place"), "key")
-            .groupBy("doc_id", "item_id", F.floor(start / 8).alias("region")).agg(F.min(start).alias("start")))
-    near = cut_lineage(near.drop("region"), "candidates")
-    pairs = (docs.withColumnRenamed("text", "doc_text").join(near, "doc_id")
-             .join(items.withColumnRenamed("text", "item_text"), "item_id")
-             .select("doc_id", "item_id", "start", F.col("doc_text").alias("text"), "item_text"))
+    near = (windows.join(keys.select("key", "item_id", "place", "words").distinct(), "key")
+            .groupBy("doc_id", "item_id", "words", F.floor(start / 8).alias("region")).agg(F.min(start).alias("start")))
+    asks = cut_lineage(near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "words")).alias("asks")), "candidates")
+    texts = among(docs, "doc_id", id_bitmap(asks, "doc_id")).join(asks, "doc_id").select("doc_id", "text", "asks")
+    places = texts.mapInArrow(_stretches(edits), "doc_id long, item_id long, exact binary, about binary")
+    pairs = places.join(items.mapInArrow(_item_words, "item_id long, item binary"), "item_id") \
+        .select("doc_id", "item_id", "exact", "about", "item")
     held = pairs.mapInArrow(_verify(edits), "doc_id long, item_id long, distance long, n_words long")
     return held.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("n_words").alias("n_words")) \
         .withColumn("similarity", 1 - F.col("distance") / F.col("n_words"))
