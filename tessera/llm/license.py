@@ -3,10 +3,12 @@ shunting-yard parser for licence expressions.
 
 A text is taken as its words (lower-cased A-Z; runs of 0-9, a-z and everything that is not
 ASCII) with one blank between them; one automaton finds all phrases there, each with a blank
-on both sides, so a phrase stands for consecutive whole words.  The phrase of the identifier
-tag sends what begins the line behind each tag, up to the next tag, to the expression parser: ``and`` binds tighter than
-``or``, ``with`` tighter than both, parentheses group.  An expression that does not parse
-gives the label ``unparsed``.
+on both sides, so a phrase stands for consecutive whole words.  Where the phrase of the
+identifier tag ends, the expression parser reads on: up to the line's end or the next tag, and as
+far as an operator follows each complete operand.  ``and`` binds tighter than ``or``, ``with``
+tighter than both, parentheses group.  Identifiers are looked up in the same automaton; an expression
+that does not parse, or names one that is unknown, gives the label ``unparsed`` when a colon
+stands before it, else nothing.
 
 An expression's value is (labels, permissive): the licences it names, and whether some
 choice of its ``or`` branches needs permissive licences only.  score is how sure the text
@@ -43,8 +45,20 @@ NOTICES = {
 }
 BASE_WEIGHT = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.7}
 TAG = "spdx license identifier"
-TAG_TEXT = r"spdx[^\w\n]license[^\w\n]identifier"
-TAG_LINE = re.compile(TAG_TEXT + rf"[ \t]*:?[ \t]*((?:(?!{TAG_TEXT})[^\n])*)", re.I)
+# fixed values: licence identifiers and exceptions of the public identifier list, in lower case
+IDENTIFIERS = set("""
+0bsd aal afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0
+artistic-1.0 artistic-2.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause
+bsl-1.0 busl-1.1 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0
+cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0
+curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.2-only gfdl-1.3-only gfdl-1.3-or-later gpl-1.0-only
+gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc
+json lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later
+libpng lppl-1.3c mit mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01
+postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 unicode-3.0 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 font-exception-2.0 gcc-exception-3.1 llvm-exception
+linux-syscall-note openssl-exception
+""".split())
 
 #: identifiers (lower case) that ask for no more than notices
 PERMISSIVE = {"mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "zlib", "unlicense", "cc0-1.0",
@@ -142,15 +156,42 @@ def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase in {*BASE, *NOTICES, TAG}:
         found.add_word(f" {phrase} ", phrase)
+    for name in IDENTIFIERS:                # looked up as a whole; cleaned texts hold no such byte
+        found.add_word(f"\x01{name}", name)
     found.make_automaton()
     return found
 
 
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def tagged(raw: bytes, ends: list[int]) -> Iterator[tuple[str, bool]]:
+    """(what follows, whether after a colon) of each tag whose last word is one of ``ends``
+    (numbers of words): up to the line's end or the next tag."""
+    last = {e: i for i, e in enumerate(sorted(ends))}
+    spans = {}
+    for k, word in enumerate(_WORD.finditer(raw)):
+        if k + len(TAG.split()) - 1 in last:
+            spans[last[k + len(TAG.split()) - 1]] = [word.start(), 0]
+        if k in last:
+            spans[last[k]][1] = word.end()
+    for i in range(len(spans)):
+        stop = raw.find(b"\n", spans[i][1])
+        stop = min(len(raw) if stop < 0 else stop, spans[i + 1][0] if i + 1 in spans else len(raw))
+        rest = raw[spans[i][1]:stop].decode("utf-8", "replace").lstrip(" \t")
+        yield rest.removeprefix(":").lstrip(" \t"), rest.startswith(":")
+
+
+def known(name: str, automaton) -> bool:
+    return name.startswith(("licenseref-", "documentref-")) or automaton.exists("\x01" + name) or automaton.exists("\x01" + name.rstrip("+"))
+
+
 def scan(text: str, automaton) -> tuple[int, int, int | None, int | None, str, str, float, bool | None]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, permissive)."""
-    words = text.encode("utf-8", "surrogatepass").translate(_CLEAN).split()
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.translate(_CLEAN).split()
     plain = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    places, base, labels, score, tagged = [], set(), set(), 0.0, False
+    places, base, labels, score, tags = [], set(), set(), 0.0, []
     for end, phrase in automaton.iter(plain):
         if phrase in BASE:
             places.append(end - len(phrase))
@@ -159,18 +200,27 @@ def scan(text: str, automaton) -> tuple[int, int, int | None, int | None, str, s
         if phrase in NOTICES:
             labels.add(NOTICES[phrase][0])
             score = max(score, NOTICES[phrase][1])
-        tagged |= phrase == TAG
+        if phrase == TAG:
+            tags.append(end)
     permissive = None
-    if tagged:
-        for line in TAG_LINE.findall(text):
+    if tags:
+        at, ends = 0, []
+        for k, end in enumerate(tags):              # number of the word that ends before ``end``
+            at += plain.count(" ", tags[k - 1] if k else 0, end)
+            ends.append(at - 1)
+        for line, colon in tagged(raw, ends):
+            expression = leading(line)
             try:
-                named, free = evaluate(leading(line))
+                named, free = evaluate(expression)
+                if not all(known(n, automaton) for n in named):
+                    raise BadExpression(expression)
                 labels |= named
                 permissive = free if permissive is None else permissive and free
                 score = 1.0
             except BadExpression:
-                labels.add("unparsed")
-                score = max(score, 0.6)
+                if colon:                            # a tag, and not a sentence about tags
+                    labels.add("unparsed")
+                    score = max(score, 0.6)
     first = last = None
     if places:
         # word index: blanks before the phrase, less the one at the front

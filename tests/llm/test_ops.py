@@ -265,7 +265,10 @@ def test_op3_expressions(text, named, free):
     ("SPDX-License-Identifier: MIT. See the file", "mit", True),
     ("x SPDX-License-Identifier: (MIT OR ISC) AND Zlib this text has no line end", "isc,mit,zlib", True),
     ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0-only,mit", False),
-    ("SPDX-License-Identifier: MIT OR", "unparsed", None), ("SPDX-License-Identifier: (MIT foo", "unparsed", None)])
+    ("SPDX_License_Identifier: MIT", "mit", True), ("é SPDX - License - Identifier: Zlib\nMIT", "zlib", True),
+    ("SPDX-License-Identifier MIT", "mit", True), ("SPDX-License-Identifier: LicenseRef-Own AND MIT", "licenseref-own,mit", False),
+    ("SPDX-License-Identifier: foo", "unparsed", None), ("An SPDX license identifier is a tag", "", None),
+    ("SPDX-License-Identifier", "", None), ("SPDX-License-Identifier: MIT OR", "unparsed", None), ("SPDX-License-Identifier: (MIT foo", "unparsed", None)])
 def test_op3_tag_ends(text, labels, permissive):
     got = license.scan(text, license._automaton())
     assert (got[5], got[7]) == (labels, permissive)
@@ -437,6 +440,18 @@ def test_op8_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_op8_small_pages_and_dictionary(spark):
+    """Empty and small pages have no partner; copies of a large page do, one without an id as well."""
+    big = "<p>" + "long page " * 30000
+    rows = [(i, "u", "" if i % 3 else None, 1) for i in range(60)] + [(100 + i, "u", "x" * 999, 1) for i in range(4)] + \
+        [(200 + i, "u", big, 1) for i in range(4)] + [(200, "u", big, 1), (None, "u", big, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    back = warc.round_trip(pages).collect()
+    assert len(back) == len(rows) and {(r.page_id, r.record_type) for r in back if r.payload_bytes > 1000} == \
+        {(203, "response"), (200, "revisit"), (201, "revisit"), (202, "revisit"), (None, "revisit")}
+    assert all(r.record_type == "response" and r.refers_to is None for r in back if r.payload_bytes < 1000)
+
+
 def test_op8_validation():
     good = warc.record(1, "http://a", b"x" * 2000, None, False)
     assert warc.parse(good)["payload_bytes"] == 2000
