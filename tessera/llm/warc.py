@@ -146,26 +146,31 @@ def read_archive(stream, step: int = 64 << 10) -> Iterator[bytes]:
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary from at most SAMPLE pages, chosen by a hash of their id."""
-    some = (pages.filter(F.length("html") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
-            .select(F.substring("html", 1, SAMPLE_BYTES)).collect())
+    """A dictionary from at most SAMPLE pages, chosen by a hash of their id: first the ids alone, then
+    the beginnings of their pages."""
+    ids = pages.filter(F.length("html") > 0).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    some = pages.join(F.broadcast(ids.distinct()), "page_id", "left_semi").filter(F.length("html") > 0) \
+        .select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [r[0].encode("utf-8") for r in some]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(r[0].encode("utf-8") for r in some)).as_bytes()
     except zstandard.ZstdError:         # too few or too short
         return b""
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, revisit, refers_to): which record each page becomes."""
+    """(page_id, url, html, revisit, refers_to): which record each page becomes.  Pages under
+    ``LEAST`` bytes have no partner and stay where they are."""
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         F.coalesce("html", F.lit("")).alias("html"))
     marked = full.select("*", F.sha1(F.col("html").cast("binary")).alias("digest"),
                          F.octet_length("html").alias("size"))
     groups = marked.select("digest", "size", "page_id").filter(f"size >= {LEAST}").groupBy("digest", "size") \
         .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    return marked.join(groups, ["digest", "size"], "left").select(
+    large = marked.filter(f"size >= {LEAST}").join(groups, ["digest", "size"], "left").select(
         "page_id", "url", "html", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"),
         F.col("first").alias("refers_to"))
+    small = full.filter(F.octet_length("html") < LEAST).select("*", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
+    return large.unionByName(small)
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
