@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.names import normalized_names, q
-from tessera.functions.values import missing_tokens, null_if_token, strict_double, trim_ws
+from tessera.functions.values import binarize, missing_tokens, null_if_token, strict_double, to_double, trim_ws
 from tessera.operators.stored import Stored
 from tessera.session import cut_lineage
 
@@ -320,24 +320,44 @@ def dropna_any(df: DataFrame, cols=None) -> DataFrame:
     return df.dropna(how="any", subset=list(cols))
 
 
-def dtype_report(df: DataFrame, categorical=()) -> DataFrame:
-    """C14: (col, dtype, nulls, uniques, is_categorical) - one fused aggregate.
-
-    ``uniques`` is exact ``count(DISTINCT)``; Spark plans all distinct counts of one
-    aggregate as a single Expand + two-level aggregation."""
-    aggs = []
-    for c in df.columns:
-        dt = df.schema[c].dataType.simpleString()
-        aggs.append(F.struct(F.lit(c).alias("col"), F.lit(dt).alias("dtype"),
-                             F.count_if(F.col(q(c)).isNull()).cast("long").alias("nulls"),
-                             F.countDistinct(F.col(q(c))).cast("long").alias("uniques"),
-                             F.lit(c in categorical or dt == "string").alias("is_categorical")))
-    return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+def cast_types(df: DataFrame, categorical) -> DataFrame:
+    """The listed columns as strings, all others as doubles (strict parse, unparsable -> NULL)."""
+    unknown = set(categorical) - set(df.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    out = []
+    for f in df.schema.fields:
+        c = F.col(q(f.name))
+        out.append((c.cast("string") if f.name in categorical else to_double(c, f.dataType.simpleString())).alias(f.name))
+    return df.select(*out)
+
+
+def dtype_report(df: DataFrame, categorical=(), spread: int = 64) -> DataFrame:
+    """C14: (col, dtype, nulls, uniques, is_categorical).
+
+    Rows become (column, value) pairs that are counted with partial sums, so a value held by a
+    third of all rows is one row per task; the distinct values of a column are then counted in
+    ``spread`` parts by their hash, and the parts added up."""
+    schema = "col string, dtype string, nulls bigint, uniques bigint, is_categorical boolean"
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], schema)
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(q(f.name))
+        plain = c + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c     # one zero
+        cells.append(F.struct(F.lit(i).alias("i"), plain.cast("string").alias("v")))
+    values = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    parts = values.groupBy("i", F.pmod(F.xxhash64("v"), F.lit(spread)).alias("part")) \
+        .agg(F.count("v").alias("uniques"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"))
+    total = parts.groupBy("i").agg(F.sum("uniques").alias("uniques"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"))
+    names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString(), f.name in categorical or isinstance(f.dataType, T.StringType))
+                                             for i, f in enumerate(df.schema.fields)], "i int, col string, dtype string, is_categorical boolean")
+    return names.join(total, "i", "left").select("col", "dtype", F.coalesce("nulls", F.lit(0)).cast("long").alias("nulls"),
+                                                 F.coalesce("uniques", F.lit(0)).cast("long").alias("uniques"), "is_categorical")
 
 
 def binarize_target(df: DataFrame, target: str, threshold: float = 0.0, out: str | None = None) -> DataFrame:
     """C17: label = 1 when numeric(target) > threshold (NULL/unparsable -> 0)."""
-    from tessera.functions.values import binarize
     dt = df.schema[target].dataType.simpleString()
     return df.withColumn(out or target, binarize(F.col(q(target)), threshold, dt))
 
@@ -347,7 +367,6 @@ def prepare_features(df: DataFrame, target: str, drop_suffixes=("_label",), drop
                      keep=()) -> tuple[DataFrame, list, list]:
     """features = all columns but target/suffix/drop list, coerced to double,
     NULL -> fill; label binarised.  Returns (frame, feature_names, dropped)."""
-    from tessera.functions.values import binarize, to_double
     dropped = [c for c in df.columns if c != target and
                (any(c.endswith(s) for s in drop_suffixes) or c in drop)]
     feats = [c for c in df.columns if c != target and c not in dropped and c not in keep]
@@ -362,7 +381,6 @@ def align_features(df: DataFrame, feature_names, fill_value: float | None = 0.0,
     """Reorder to ``feature_names``; absent -> fill (or NULL); extras dropped."""
     present = set(df.columns)
     dtypes = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    from tessera.functions.values import to_double
     cols = [F.col(q(k)) for k in keep]
     for c in feature_names:
         if c in present:

@@ -70,6 +70,42 @@ def log_loss(df: DataFrame, label: str, prob: str) -> DataFrame:
     return df.agg((-F.avg(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
+def score_bin(prob, bins: int) -> Column:
+    """Number of the equal-width bin of a probability, 0 to bins - 1."""
+    return F.least(F.greatest(F.floor(_c(prob).cast("double") * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def binned_counts(df: DataFrame, label: str, pred: str, prob: str, by, bins: int) -> DataFrame:
+    """(by..., bin, p, q, n, ...): sums that merge over any split of the rows, one row per score bin:
+    the state from which ``binned_metrics`` gets all six metrics."""
+    y, yh = _c(label).cast("int"), _c(pred).cast("int")
+    x = F.least(F.greatest(_c(prob).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
+    return df.groupBy(*[_c(b) if isinstance(b, str) else b for b in by], score_bin(prob, bins).alias("bin")).agg(
+        F.count_if(y == 1).alias("p"), F.count_if(y != 1).alias("q"), F.count(F.lit(1)).alias("n"), F.count_if(y == yh).alias("same"),
+        F.count_if((y == 1) & (yh == 1)).alias("tp"), F.count_if((y != 1) & (yh == 1)).alias("fp"), F.count_if((y == 1) & (yh != 1)).alias("fn"),
+        F.sum(-(y * F.log(x) + (1 - y) * F.log(1 - x))).alias("loss"), F.count(y).alias("labelled"), F.sum(y.cast("double")).alias("positive"),
+        F.sum(_c(prob).cast("double")).alias("prob"))
+
+
+def binned_metrics(counts: DataFrame, by) -> DataFrame:
+    """(by..., n, accuracy, precision, recall, f1_score, log_loss, roc_auc, pos_rate, mean_prob).  The AUC
+    takes scores of one bin as equal: it is off the exact one by at most half the share of
+    (positive, negative) pairs that meet in a bin.  A group's bins (a fixed number) meet in one row."""
+    hist = F.sort_array(F.collect_list(F.struct("bin", "p", "q")))
+    g = counts.groupBy(*by).agg(hist.alias("h"), *[F.sum(c).alias(c) for c in ("p", "q", "n", "same", "tp", "fp", "fn", "loss", "labelled",
+                                                                             "positive", "prob")])
+    start = F.struct(F.lit(0.0).alias("won"), F.lit(0.0).alias("below"))
+    won = F.aggregate("h", start, lambda a, b: F.struct((a["won"] + b["p"] * (a["below"] + b["q"] / 2.0)).alias("won"),
+                                                        (a["below"] + b["q"]).alias("below")))["won"]
+    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")), F.lit(0.0))
+    rows = F.col("labelled").cast("double")
+    return g.select(*by, "n", F.try_divide(F.col("same").cast("double"), rows).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
+                    _f1(prec, rec).alias("f1_score"), F.try_divide(F.col("loss"), rows).alias("log_loss"),
+                    F.try_divide(won, F.col("p").cast("double") * F.col("q").cast("double")).alias("roc_auc"),
+                    F.try_divide(F.col("positive"), rows).alias("pos_rate"), F.try_divide(F.col("prob"), F.col("n").cast("double")).alias("mean_prob"))
+
+
 def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", prob: str | None = "prob",
              by=()) -> DataFrame:
     """All six reference metrics per slice: count metrics joined with AUC (both tiny)."""
@@ -84,15 +120,13 @@ def evaluate(df: DataFrame, label: str = "label", pred: str = "prediction", prob
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Dense (actual, pred, n) over the union of labels seen in either column."""
+    """Dense (actual, pred, n) over the union of labels seen in either column; NULL is a label like
+    any other.  The grid is made by Spark from the labels that occur (labels x labels rows)."""
     pairs = df.groupBy(_c(label).alias("actual"), _c(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    labels = sorted({r[0] for r in df.select(_c(label).alias("l")).union(df.select(_c(pred))).distinct()
-                     .limit(10001).collect() if r[0] is not None})
-    if len(labels) > 10000:
-        raise ValueError("too many labels for a dense confusion matrix")
-    lab_t = df.schema[label].dataType.simpleString() if isinstance(label, str) else "int"
-    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], f"actual {lab_t}, pred {lab_t}")
-    return grid.join(pairs, ["actual", "pred"], "left").select(
+    labels = pairs.select(F.col("actual").alias("v")).union(pairs.select("pred")).distinct()
+    grid = labels.select(F.col("v").alias("actual"), F.lit(1).alias("k")) \
+        .join(labels.select(F.col("v").alias("pred"), F.lit(1).alias("k")), "k").drop("k")
+    return join_null_safe(grid, pairs, ["actual", "pred"], "left").select(
         "actual", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

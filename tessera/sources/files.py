@@ -98,6 +98,8 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if ext in (".csv", ".txt"):
         return read_csv_inferred(spark, path)
+    if ext in (".json", ".jsonl"):
+        return spark.read.json(path)
     raise ValueError(f"unsupported extension: {ext}")
 
 
@@ -107,6 +109,8 @@ def save_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> str:
         df.write.mode(mode).parquet(path)
     elif ext in (".csv", ".txt"):
         df.write.mode(mode).option("header", "true").csv(path)
+    elif ext in (".json", ".jsonl"):
+        df.write.mode(mode).option("ignoreNullFields", "false").json(path)
     else:
         raise ValueError(f"unsupported extension: {ext}")
     return path
@@ -117,7 +121,7 @@ __all__ = ["read_csv_strings", "read_csv_inferred", "read_headerless", "parse_di
 
 
 def append_runs(df: DataFrame, path: str) -> str:
-    """Run records / registry entries: append to a parquet table (one file set per
-    write, readers see whole appends).  ``latest`` is a query over it, never a file."""
+    """Append run records to a plain parquet table.  For several writers and retried jobs use
+    ``tessera.operators.registry``, which makes a run visible at once or not at all."""
     df.write.mode("append").parquet(path)
     return path

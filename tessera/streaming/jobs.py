@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.metrics import binned_counts, binned_metrics
 from tessera.operators.scoring import score_batch
 from tessera.session import scratch_path
 
@@ -56,6 +57,26 @@ def monitor_stream(scored: DataFrame, ts: str, window: str = "1 day", watermark:
                     "accuracy")
 
 
+def drift_windows(scored: DataFrame, baseline: DataFrame, ts: str, window: str = "1 day", watermark: str = "1 hour",
+                  label: str = "label", pred: str = "prediction", prob: str = "prob", bins: int = 4096, threshold: float = 0.05) -> DataFrame:
+    """All six metrics per event-time window, against a static baseline: (day, n, accuracy, precision,
+    recall, f1_score, log_loss, roc_auc, pos_rate, mean_prob, delta_roc_auc, alert).
+
+    The state is one row of sums per window and score bin; when the watermark closes a window, its bins
+    meet in a second aggregation, which gives the metrics, and the stream is joined to the
+    one-row ``baseline`` (roc_auc).  Rows later than the watermark count nowhere.  The same
+    function on a batch frame gives the same rows for all windows."""
+    rows = scored.withColumn("_ts", F.col(ts).cast("timestamp"))
+    if rows.isStreaming:
+        rows = rows.withWatermark("_ts", watermark)
+    counts = binned_counts(rows, label, pred, prob, [F.window("_ts", window).alias("w")], bins)
+    m = binned_metrics(counts, ["w"]).join(F.broadcast(baseline.select(F.col("roc_auc").alias("base_roc_auc"))))     # one row
+    delta = F.col("base_roc_auc") - F.col("roc_auc")
+    return m.select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm").alias("day"), "n", "accuracy", "precision", "recall", "f1_score",
+                    "log_loss", "roc_auc", "pos_rate", "mean_prob", delta.alias("delta_roc_auc"),
+                    F.coalesce(delta >= F.lit(threshold), F.lit(False)).alias("alert"))
+
+
 def score_stream_reloading(stream: DataFrame, load_champion, out_path: str, keys=(), threshold: float = 0.5,
                            checkpoint: str | None = None):
     """Continuous scoring that picks up a newly registered champion: ``load_champion()``
