@@ -269,6 +269,23 @@ def profile_flags(df: DataFrame, missing_flag=0.30, skew_flag=1.0, zero_flag=0.8
                     F.coalesce(F.col("pct_zeros") >= zero_flag, F.lit(False)).alias("flag_zeros"))
 
 
+#: finding -> advice
+ADVICE = {"missing": "Impute or drop", "skew": "Transform or use a model that ranks", "zeros": "Check whether zero means missing",
+          "vif": "Drop or combine collinear columns"}
+
+
+def findings(flags: DataFrame, vifs: DataFrame, vif_flag: float = 10.0) -> DataFrame:
+    """(finding, n, columns, advice): the flagged columns of ``profile_flags`` and of a VIF table by name,
+    one row per kind of finding, those without a column too."""
+    marks = flags.select("col", F.explode(F.array(*[F.struct(F.lit(k).alias("finding"), F.col(f"flag_{k}").alias("on"))
+                                                    for k in ("missing", "skew", "zeros")])).alias("x")).filter("x.on").select("x.finding", "col")
+    marks = marks.unionByName(vifs.filter(F.col("vif") > vif_flag).select(F.lit("vif").alias("finding"), F.col("variable").alias("col")))
+    kinds = flags.sparkSession.createDataFrame(list(ADVICE.items()), "finding string, advice string")
+    found = marks.groupBy("finding").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("col")).alias("columns"))   # column names
+    return kinds.join(found, "finding", "left").select("finding", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+                                                       F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), "advice")
+
+
 def profile_compare(raw: DataFrame, clean: DataFrame, name_map: dict | None = None) -> DataFrame:
     """Missing ratio before and after cleaning, matched by cleaned name.
 

@@ -94,3 +94,44 @@ def score_batch(df: DataFrame, model: Transformer, feature_names: list[str], key
         cols += [F.lit(str(meta.get("version"))).alias("model_version"),
                  F.lit(str(meta.get("algorithm"))).alias("algorithm")]
     return out.select(*cols)
+
+
+#: records stay JSON text until each is parsed by itself, so one bad record spoils no other
+_ENVELOPE = "records array<string>, return_probabilities boolean"
+
+
+def score_requests(requests: DataFrame, key: str, body: str, model: Transformer, feature_names: list[str],
+                   threshold: float = 0.5, fill_value: float = 0.0, meta: dict | None = None) -> DataFrame:
+    """One response per request: (key, n_records, predictions, probabilities, interpretations, bad_records,
+    error, model_version, algorithm).
+
+    ``body`` is the JSON envelope ``{"records": [{...}, ...], "return_probabilities": bool}`` (true
+    when absent).  Records are exploded with their positions, scored by ``score_batch`` and
+    gathered again by request in the order they came in; a record that is no object has NULLs in the
+    lists and its position in ``bad_records``.  Without probabilities asked for,
+    ``probabilities`` is NULL and the texts name no confidence.  A body that is not an envelope has
+    ``error`` and no lists.  ``key`` must be unique; a response is one row, as long as its request."""
+    if not feature_names:
+        raise ValueError("model metadata has no feature names")
+    parsed = requests.select(F.col(q(key)).alias("_key"), F.from_json(F.col(q(body)), _ENVELOPE).alias("e")) \
+        .select("_key", F.col("e.records").alias("records"), F.coalesce("e.return_probabilities", F.lit(True)).alias("asked"))
+    each = parsed.select("_key", "asked", F.posexplode("records").alias("_at", "text")) \
+        .withColumn("r", F.from_json("text", "map<string,string>"))
+    ready = each.select("_key", "_at", "asked", F.col("r").isNull().alias("_bad"), *[F.col("r")[c].alias(c) for c in feature_names])
+    scored = score_batch(ready, model, feature_names, ["_key", "_at", "asked", "_bad"], threshold, fill_value)
+    good = lambda c: F.when(~F.col("_bad"), c)
+    text = F.when(F.col("asked"), F.col("interpretation")).otherwise(interpretation(F.col("prediction"), None))
+    one = F.struct("_at", good(F.col("prediction")).alias("prediction"), good(F.col("probability")).alias("probability"),
+                   good(text).alias("interpretation"), "_bad")
+    lists = scored.groupBy("_key").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    out = parsed.join(lists, "_key", "left")
+    none = F.size("records") == 0
+    part = lambda name, kind: F.when(none, F.array().cast(f"array<{kind}>")).otherwise(F.col(f"all.{name}"))
+    bad = F.transform(F.filter("all", lambda r: r["_bad"]), lambda r: r["_at"])
+    meta = meta or {}
+    return out.select(
+        F.col("_key").alias(key), F.when(F.col("records").isNotNull(), F.size("records")).alias("n_records"), part("prediction", "int").alias("predictions"),
+        F.when(F.col("asked"), part("probability", "double")).alias("probabilities"), part("interpretation", "string").alias("interpretations"),
+        F.when(none, F.array().cast("array<int>")).otherwise(bad).alias("bad_records"),
+        F.when(F.col("records").isNull(), F.lit("the body is not an object with a list of records")).alias("error"),
+        F.lit(meta.get("version")).cast("string").alias("model_version"), F.lit(meta.get("algorithm")).cast("string").alias("algorithm"))

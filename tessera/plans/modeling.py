@@ -158,3 +158,27 @@ def score_json_records(spark, sf_dir):
     flat = rec.select("event_id", "value", F.col("r")["k"].alias("k"))
     out = S.score_batch(flat, _JSON_MODEL, _JSON_MODEL.feature_names, keys=["event_id"])
     return round_doubles(out.drop("interpretation"))
+
+
+@register("score_requests", """WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place,
+    coalesce(CASE WHEN regexp_matches(trim(json_extract_string(props, '$.k')), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$')
+      THEN TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE) END, 0.0) AS k, value FROM events),
+s AS (SELECT user_id, event_id, place, event_id % 50 = 0 AS bad, 1.0 / (1.0 + exp(-(-3.0 + 0.05 * k + 0.01 * value))) AS prob FROM r)
+SELECT user_id, CAST(count(*) AS INTEGER) AS n_records,
+  string_agg(CASE WHEN bad THEN 'null' WHEN prob >= 0.5 THEN '1' ELSE '0' END, ',' ORDER BY event_id) AS predictions,
+  CASE WHEN user_id % 2 = 0 THEN string_agg(CASE WHEN bad THEN 'null' ELSE printf('%.4f', prob) END, ',' ORDER BY event_id) END AS probabilities,
+  coalesce(string_agg(CASE WHEN bad THEN CAST(place AS VARCHAR) END, ',' ORDER BY event_id), '') AS bad_records
+FROM s GROUP BY user_id""")
+def score_requests(spark, sf_dir):
+    """One request per user with all its events as records (some are no objects), one response each."""
+    ev = load_table(spark, sf_dir, "events")
+    record = F.when(F.col("event_id") % 50 == 0, F.lit("17")) \
+        .otherwise(F.to_json(F.struct(F.col("value"), records_from_json_column("props")["k"].alias("k"))))
+    bodies = ev.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", record.alias("r")))).alias("all")).select(
+        "user_id", F.concat(F.lit('{"records": ['), F.array_join("all.r", ", "), F.lit('], "return_probabilities": '),
+                            (F.col("user_id") % 2 == 0).cast("string"), F.lit("}")).alias("body"))
+    out = S.score_requests(bodies, "user_id", "body", _JSON_MODEL, _JSON_MODEL.feature_names)
+    listed = lambda c, f: F.array_join(F.transform(c, f), ",", "null")
+    return out.select("user_id", "n_records", listed("predictions", lambda x: x.cast("string")).alias("predictions"),
+                      listed("probabilities", lambda x: F.when(x.isNotNull(), F.format_string("%.4f", x))).alias("probabilities"),
+                      listed("bad_records", lambda x: x.cast("string")).alias("bad_records"))

@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from tessera.operators import clean as C
 from tessera.operators import profile as P
+from tessera.operators.correlation import vif
 from tessera.plans.cleaning import DIRTY_SLUGS, DROPPED, PROMOTED, _sql_clean_ctes, cleaned_dirty
 from tessera.plans.common import register, sql_q, sql_token_null
-from tessera.plans.standins import DIRTY_HEADERS, dirty_cte, dirty_lineitem
+from tessera.plans.standins import DIRTY_HEADERS, ORDER_FEATURES_SQL, dirty_cte, dirty_lineitem, order_features
 from tessera.sources.tables import load_table
 
 
@@ -199,3 +200,29 @@ def clean_profile(spark, sf_dir):
     profile every column."""
     df, _ = cleaned_dirty(spark, sf_dir, materialize=True)
     return round_doubles(P.profile_table(df))
+
+
+_FOUND = ["n_lines", "sum_qty", "sum_price", "avg_disc", "o_totalprice"]
+
+
+def _sql_findings():
+    stats = _union([f"SELECT '{c}' AS col, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS mr, skewness({c}) AS sk, "
+                    f"avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END) AS z FROM order_features" for c in _FOUND])
+    advice = _union([f"SELECT '{k}' AS finding, '{v}' AS advice" for k, v in P.ADVICE.items()])
+    return f"""WITH {ORDER_FEATURES_SQL}, s AS ({stats}),
+c AS (SELECT corr(n_lines, sum_qty) AS r12, corr(n_lines, sum_price) AS r13, corr(sum_qty, sum_price) AS r23 FROM order_features),
+d AS (SELECT *, 1 - r12 * r12 - r13 * r13 - r23 * r23 + 2 * r12 * r13 * r23 AS det FROM c),
+m AS (SELECT 'missing' AS finding, col FROM s WHERE mr >= 0.3 UNION ALL SELECT 'skew', col FROM s WHERE abs(sk) > 1
+  UNION ALL SELECT 'zeros', col FROM s WHERE z >= 0.8 UNION ALL SELECT 'vif', 'n_lines' FROM d WHERE (1 - r23 * r23) / det > 3
+  UNION ALL SELECT 'vif', 'sum_qty' FROM d WHERE (1 - r13 * r13) / det > 3 UNION ALL SELECT 'vif', 'sum_price' FROM d WHERE (1 - r12 * r12) / det > 3),
+a AS ({advice})
+SELECT a.finding, count(m.col) AS n, coalesce(string_agg(m.col, ',' ORDER BY m.col), '') AS columns, a.advice
+FROM a LEFT JOIN m ON m.finding = a.finding GROUP BY a.finding, a.advice"""
+
+
+@register("profile_findings", _sql_findings())
+def profile_findings(spark, sf_dir):
+    """Findings over the order features: which columns are sparse, skewed, mostly zero or collinear (VIF above 3 here)."""
+    of = order_features(spark, sf_dir, materialize=True).select(*_FOUND)
+    found = P.findings(P.profile_flags(of), vif(of, ["n_lines", "sum_qty", "sum_price"]), vif_flag=3.0)
+    return found.withColumn("columns", F.array_join("columns", ","))

@@ -9,9 +9,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.values import to_datetime
+from tessera.operators import clean as C
 from tessera.plans.common import register
 from tessera.session import scratch_path
-from tessera.sources.files import parse_dictionary, read_headerless
+from tessera.plans.standins import DIRTY_HEADERS, DIRTY_SLUGS, dirty_cte, dirty_lineitem
+from tessera.sources.files import load_dataset, parse_dictionary, read_csv_strings, read_headerless, save_dataset
 from tessera.sources.tables import load_table
 
 
@@ -49,3 +51,35 @@ def parse_datetimes(spark, sf_dir):
            .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     t = to_datetime(raw)
     return ev.select("event_id", t.cast("long").alias("epoch_s"), t.isNotNull().alias("valid"))
+
+
+@register("scan_csv_strings", dirty_cte() + "\nSELECT " + ", ".join(f'"{h}" AS {s}' for h, s in zip(DIRTY_HEADERS, DIRTY_SLUGS)) + " FROM dirty")
+def scan_csv_strings(spark, sf_dir):
+    """The raw table saved as CSV and scanned as strings: blanks, tokens and empty cells as they were."""
+    path = save_dataset(dirty_lineitem(spark, sf_dir), scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}.csv"))
+    return read_csv_strings(spark, path).toDF(*DIRTY_SLUGS)
+
+
+@register("scan_csv_inferred", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+def scan_csv_inferred(spark, sf_dir):
+    """A typed table saved as CSV and loaded with inferred types, by extension."""
+    part = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    back = load_dataset(spark, save_dataset(part, scratch_path(spark, f"part-{uuid.uuid4().hex[:12]}.csv")))
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in part.schema.fields])
+
+
+@register("json_round_trip", "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS s_acctbal FROM supplier")
+def json_round_trip(spark, sf_dir):
+    """A table with NULLs through the JSON sink and back."""
+    table = load_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey",
+                                                         F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("s_acctbal"))
+    back = load_dataset(spark, save_dataset(table, scratch_path(spark, f"supplier-{uuid.uuid4().hex[:12]}.json")))
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields])
+
+
+@register("cast_types", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
+          "CAST(NULL AS DOUBLE) AS o_orderpriority, o_totalprice FROM orders")
+def cast_types(spark, sf_dir):
+    """Listed columns become categories, all others numbers (text that is none becomes NULL)."""
+    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    return C.cast_types(o, ["o_custkey"])

@@ -108,7 +108,8 @@ def save_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     if ext == ".parquet":
         df.write.mode(mode).parquet(path)
     elif ext in (".csv", ".txt"):
-        df.write.mode(mode).option("header", "true").csv(path)
+        # blanks around values are values
+        df.write.mode(mode).options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     elif ext in (".json", ".jsonl"):
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
     else:
