@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import q
 from tessera.functions.values import md5_key, uniform01
-from tessera.operators.rank import ordered_prefix
+from tessera.operators.rank import join_null_safe, ordered_prefix
+from tessera.session import cut_lineage
 
 
 def class_counts(df: DataFrame, label: str, max_classes: int = 10000) -> dict:
@@ -31,23 +32,23 @@ def class_counts(df: DataFrame, label: str, max_classes: int = 10000) -> dict:
 
 def stratified_split(df: DataFrame, label: str | None, key: str, test_frac: float = 0.2, seed: int = 42,
                      buckets: int | None = None, out: str = "split") -> DataFrame:
+    """``df`` with ``out``: "test" for the first ceil(n_c * frac) rows of each class in hash order of
+    ``key`` (a class of NULL is one too), else "train".  Only (class, hash, key) of the rows is
+    ordered, to find each class's cut; the rows themselves are compared with the cut where
+    they are.  Rows that share a key fall on the same side."""
     if not 0 < test_frac < 1:
         raise ValueError("test_frac must be in (0, 1)")
-    spark = df.sparkSession
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lab = F.col(q(label)) if label else F.lit(0)
-    tagged = df.withColumns({"_u": uniform01(F.col(q(key)), seed), "_h": md5_key(F.col(q(key)), seed),
-                             "_lab": lab, "_one": F.lit(1)})
-    tagged = tagged.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(F.col("_u") * buckets).cast("int")))
-    counts = class_counts(tagged, "_lab")                     # one number per class
-    quota = F.lit(math.ceil(counts.pop(None, 0) * test_frac))          # rows without a label are a class too
-    if counts:
-        by_class = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(math.ceil(n * test_frac)))])
-        quota = F.when(F.col("_lab").isNull(), quota).otherwise(by_class[F.col("_lab")])
-    pos = ordered_prefix(tagged, "_u", ["_one"], by=["_lab"], tiebreak=["_h", key], bucket_col="_b")
-    res = pos.withColumn(out, F.when(F.col("_one_before") < quota, F.lit("test"))
-                         .otherwise(F.lit("train")))
-    return res.drop("_u", "_h", "_lab", "_one", "_b", "_one_before")
+    tagged = df.withColumns({"_lab": lab, "_at": F.struct(uniform01(F.col(q(key)), seed).alias("u"), md5_key(F.col(q(key)), seed).alias("h"),
+                                                          F.col(q(key)).alias("k"))})
+    slim = tagged.select("_lab", "_at", F.col("_at.u").alias("_u"), F.lit(1).alias("_one"),
+                         F.least(F.lit(buckets - 1), F.floor(F.col("_at.u") * buckets).cast("int")).alias("_b"))
+    quota = slim.groupBy("_lab").agg(F.ceil(F.count(F.lit(1)) * F.lit(float(test_frac))).alias("_quota"))
+    pos = ordered_prefix(slim, "_u", ["_one"], by=["_lab"], tiebreak=["_at"], bucket_col="_b")
+    cut = join_null_safe(pos, quota, ["_lab"]).filter(F.col("_one_before") == F.col("_quota") - 1).select("_lab", F.col("_at").alias("_cut"))
+    split = join_null_safe(tagged, cut_lineage(cut, "split_cuts"), ["_lab"])                # one row per class
+    return split.withColumn(out, F.when(F.col("_at") <= F.col("_cut"), F.lit("test")).otherwise(F.lit("train"))).drop("_lab", "_at", "_cut")
 
 
 def hash_split(df: DataFrame, key: str, test_frac: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
@@ -71,9 +72,8 @@ def fold_ids(df: DataFrame, key: str, label: str | None, k: int = 5, seed: int =
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c): (class, n, weight)."""
     c = df.groupBy(F.col(q(label)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    counts = class_counts(df, label)
-    n, k = sum(counts.values()), len(counts)
-    return c.withColumn("weight", F.lit(float(n)) / (F.lit(float(k)) * F.col("n")))
+    total = c.agg(F.sum("n").cast("double").alias("_n"), F.count(F.lit(1)).cast("double").alias("_k"))
+    return c.crossJoin(F.broadcast(total)).select("class", "n", (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))      # one row
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

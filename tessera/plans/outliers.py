@@ -116,8 +116,8 @@ def pca_variance(spark, sf_dir):
 
 @register("pca_scores")
 def pca_scores(spark, sf_dir):
-    """PCA scores (3 components) of the standardised order features (rows-only check)."""
+    """PCA scores (all components) of the standardised order features (rows-only check)."""
     of = order_features(spark, sf_dir)
     z = O.standardize(of, ORDER_FEATURES, keys=["o_orderkey"])
-    scores, _ = O.pca(z, [f"z_{c}" for c in ORDER_FEATURES], 3, keys=["o_orderkey"])
+    scores, _ = O.pca(z, [f"z_{c}" for c in ORDER_FEATURES], len(ORDER_FEATURES), keys=["o_orderkey"])
     return scores
