@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two star steps until nothing changes.  Large star: every larger neighbour of
     u is tied to the least of u's neighbourhood; small star: u and its smaller neighbours
     are tied to the least of them.  The number of rounds grows with the logarithm of the
-    longest path; edges are written to the shared folder each round.  A hub's rows meet
+    longest path; edges are written to the shared folder each round (repeated ones go in the next
+    round's large star; the last round has none).  A hub's rows meet
     their minimum in an inner join that Spark may split when it is skewed."""
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     at = cut_lineage(both, "edges")
@@ -31,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u")
                  .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-                 .select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
+                 .select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v"))
         at = cut_lineage(small, "edges")
         now = tuple(at.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")),
                            F.bit_xor(F.xxhash64("u", "v"))).first())
