@@ -35,7 +35,7 @@ from tessera.llm.text import chunks
 from tessera.session import cut_lineage
 
 FILE_IDS = 4_000_000
-CACHE = 250_000
+CACHE, CHUNK_BYTES = 400_000, 4 << 20
 MAGIC = b"TOK1"
 NO_ID = np.iinfo(np.int64).min          # doc_id NULL in a file
 
@@ -49,7 +49,7 @@ class Encoder:
     The splitter of a byte-level vocabulary ties one blank to the word after it and has no
     other context, so a text whose only white space is single blanks and single line ends
     may be cut into words.  Arrow cuts and numbers the words of a chunk; only its distinct words
-    are looked up (new ones go through the library in one call, divided by line ends), and
+    are looked up (new ones go through the library in one call), and
     numpy gathers the ids of all places.  Other texts, and those that may hold a special token, go
     through the library whole."""
 
@@ -63,32 +63,56 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.line_end = self._whole("\n")[0]
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        names = self.library.get_vocab()
+        self.leads = np.zeros(max(names.values()) + 1, dtype=bool)         # tokens that begin with a blank or are a line end
+        self.leads[[i for name, i in names.items() if name[:1] == "\u0120"] + self._whole("\n")] = True
+        self.words = pa.array([], pa.string())       # known words; their ids are flat[begin:begin + size]
+        self.begin = self.size = self.used = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of distinct words: "x" is that word after a blank, "\\nx" after a line end."""
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                known = old.get(w)
-                if known is None:
-                    new.append(w)
-                else:
-                    young[w] = known
+    def _forget(self) -> None:
+        """Keeps the more used half of the words."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:CACHE // 2])
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[keep] - (ends - size), size)]
+        self.words, self.begin, self.size, self.used = self.words.take(pa.array(keep)), ends - size, size, self.used[keep] // 2
+
+    def _learn(self, new: pa.Array) -> None:
+        flat, begin, size, base = [self.flat], [self.begin], [self.size], len(self.flat)
         for at in range(0, len(new), 5000):
-            part = new[at:at + 5000]
-            ids = np.asarray(self._whole("".join(w if w[:1] == "\n" else "\n " + w for w in part)), dtype="<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
-            for w, a, b in zip(part, cuts.tolist(), np.append(cuts[1:], len(ids)).tolist()):
-                young[w] = ids[a if w[:1] == "\n" else a + 1:b]
-        return [young[w] for w in words]
+            part = new.slice(at, 5000)
+            lines = pc.if_else(pc.starts_with(part, "\n"), part, pc.binary_join_element_wise(" ", part, ""))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "")[0].as_py()
+            ids = np.asarray(self._whole(text), dtype="<u4")
+            # a word's blank or line end is in its first token and in no other
+            first = np.flatnonzero(self.leads[ids])
+            if len(first) != len(part):
+                each = [self._whole(w) for w in lines.to_pylist()]
+                ids, first = np.concatenate([np.asarray(e, dtype="<u4") for e in each]), np.cumsum([0, *map(len, each[:-1])])
+            begin.append(base + first)
+            size.append(np.diff(np.append(first, len(ids))))
+            flat.append(ids)
+            base += len(ids)
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat, self.begin, self.size = map(np.concatenate, (flat, begin, size))
+        self.used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
+
+    def _entries(self, words: pa.Array) -> np.ndarray:
+        """Places in the cache of distinct words: "x" is that word after a blank, "\\nx" after a line end."""
+        if len(self.words) >= CACHE:
+            self._forget()
+        found = pc.index_in(words, value_set=self.words)
+        unseen = found.is_null().to_numpy(zero_copy_only=False)
+        out = found.fill_null(0).to_numpy().astype(np.int64)
+        out[unseen] = len(self.words) + np.arange(int(unseen.sum()))
+        if unseen.any():
+            self._learn(words.filter(pa.array(unseen)))
+        self.used[out] += 1
+        return out
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), the texts free of ``_ODD``."""
@@ -96,16 +120,13 @@ class Encoder:
         cut = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         words = pc.split_pattern(cut, " ")
         coded = pc.list_flatten(words).dictionary_encode()
-        known = self._words(coded.dictionary.to_pylist())
-        size = np.array([len(i) for i in known], dtype=np.int64)
-        begin, word = np.cumsum(size) - size, coded.indices.to_numpy().astype(np.int64)
+        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()]
         first = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))[:-1]
-        n, start = size[word], begin[word]
+        n, start = self.size[entry], self.begin[entry]
         start[first] += 1
         n[first] -= 1
         ends = np.cumsum(n)
-        ids = np.concatenate(known)[np.arange(ends[-1]) + np.repeat(start - (ends - n), n)]
-        return ids, np.add.reduceat(n, first)
+        return self.flat[np.arange(ends[-1]) + np.repeat(start - (ends - n), n)], np.add.reduceat(n, first)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers; NULL is the empty text."""
@@ -210,7 +231,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame
                 write_file(out, doc_ids, ids)
             return pa.RecordBatch.from_pydict({"part": [part], "file": [n], "docs": [len(ids)], "ids": [held]})
 
-        for piece in chunks(batches):
+        for piece in chunks(batches, limit=CHUNK_BYTES):
             for d, i in zip(piece.column(0).to_pylist(), own.encode(piece.column(1))):
                 if ids and held + len(i) + 1 > FILE_IDS:
                     yield close()

@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -416,6 +417,28 @@ def test_op7_library(spark, docs, odd, none):
     assert tokenfile.round_trip(odd, path).count() == len(ODD) and tokenfile.round_trip(none, path).count() == 0
 
 
+def test_op7_cache_rolls_over(monkeypatch, docs):
+    """Ids do not depend on what the cache has kept: it holds 60 words here."""
+    monkeypatch.setattr(tokenfile, "CACHE", 60)
+    path = queries.vocabulary("byte_bpe_50k.json")
+    own, library = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [r.text for r in docs.limit(60).collect()] + [t for _, t in ODD] + ["don't can't\nwon't", "one\ntwo three", "1,000 x"]
+    for at in range(0, len(texts), 7):
+        got = own.encode(pa.array(texts[at:at + 7], pa.string()))
+        assert [i.tolist() for i in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[at:at + 7]]
+    assert len(own.words) < 5000
+
+
+def test_op7_several_files_in_a_partition(monkeypatch, spark, docs):
+    """A file holds 500 ids here, or one document: starts and ids are as in one file."""
+    path = queries.vocabulary("byte_bpe_50k.json")
+    whole = {r.doc_id: tuple(r) for r in tokenfile.round_trip(docs, path).collect()}
+    monkeypatch.setattr(tokenfile, "FILE_IDS", 500)
+    assert {r.doc_id: tuple(r) for r in tokenfile.round_trip(docs, path).collect()} == whole
+
+
 def test_op7_packing():
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 1001):
