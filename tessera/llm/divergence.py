@@ -41,6 +41,7 @@ SCALE, PRIOR = 1_000_000_000, 5
 LEAST_DOCS, RANKS = 30, 50
 LEVELS = 6
 SIDE, STRIP = 1 << LEVELS, 512
+PIECE = 2 << 20         # bytes of text whose terms are counted before they leave a task
 
 #: bytes of terms (A-Z lower-cased, a-z, 0x80 and above) as they are, all others a blank
 TERM = np.where((np.arange(256) >= 0x80) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
@@ -53,7 +54,7 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of each piece of (lang, source, text)."""
-    for piece in chunks(batches):
+    for piece in chunks(batches, limit=PIECE):
         raw, offs = utf8(piece.column(2))
         kind = pa.int64() if offs[-1] >= 1 << 31 else pa.int32()
         texts = pa.Array.from_buffers(pa.large_string() if kind == pa.int64() else pa.string(), piece.num_rows,

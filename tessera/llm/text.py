@@ -1,7 +1,7 @@
 """Vectorised text helpers that run inside Arrow tasks.
 
-A task never works on a whole Arrow batch at once: ``chunks`` hands out pieces of a few
-megabytes of text, so a worker's memory does not depend on how many rows or how long the
+A task never works on a whole Arrow batch at once: ``chunks`` hands out pieces of half a
+megabyte of text, so a worker's memory does not depend on how many rows or how long the
 texts of a batch are (one very long text is one chunk of its own).
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _U = np.uint64
 
