@@ -44,6 +44,8 @@ from tessera.operators.stored import Stored
 from tessera.session import cut_lineage
 
 ALGORITHMS = ("logreg", "rf", "gb", "svc", "knn")
+#: an iterative fit reads its rows in tasks of about so many, not in many near-empty ones
+TASK_ROWS = 50_000
 SCALED = {"logreg", "svc", "knn"}
 
 
@@ -183,13 +185,13 @@ def fit(train: DataFrame, features, algorithm: str, params: dict, label: str = "
     if balanced or params.get("class_weight") == "balanced":
         train = with_class_weights(train, label, "_w")
         weight_col = "_w"
-    if algorithm == "svc":
-        return _fit_svc(train, features, label, params, seed, weight_col)
     if algorithm == "knn":
         return KnnModel.fit(train, features, label, int(params.get("n_neighbors", 5)), params.get("weights", "distance"), scale)
-    n_weight = train.count() if algorithm == "logreg" else None   # sum of weights = n when balanced
-    pipe = build_pipeline(algorithm, params, features, label, weight_col, scale, seed, n_weight)
-    return pipe.fit(train)
+    n = train.count()                               # the sum of weights too, when balanced
+    train = train.coalesce(max(1, math.ceil(n / TASK_ROWS)))
+    if algorithm == "svc":
+        return _fit_svc(train, features, label, params, seed, weight_col)
+    return build_pipeline(algorithm, params, features, label, weight_col, scale, seed, n).fit(train)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
