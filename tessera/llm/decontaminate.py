@@ -13,7 +13,7 @@ are runs of letters and digits (and all that is not ASCII), lower-cased A-Z.
    says whether the pointer moves on.  Few edits become few differing steps.
 3. Bit-sampling LSH: ``SAMPLES`` steps, one from each part of the walk, make a key; ``REPEATS`` walks
    per size, chosen so that items with all the edits allowed are found with 0.9 or more
-   at every length from ``SHORT`` words on (0.95 and more from 12 words on, measured).
+   at every length from ``SHORT`` words on (measured: 0.92 and more, all from 16 words on).
 4. Documents' keys are joined to the items' keys.  Two filters of fixed size (``FILTER_BITS``
    bits each, made by Spark from the anchors and keys of all items) drop nearly all
    windows before the join; what passes by chance finds no partner there.
@@ -43,13 +43,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.minhash import among, id_bitmap
+from tessera.llm.minhash import among, id_bitmap, without
 from tessera.llm.text import NOT_ALNUM, chunks, combine, mix64, salts, small_batches, utf8, word_hashes
 from tessera.session import cut_lineage
 
 NEAR = 4
 SHORT, SHORTER = 8, 3
-REPEATS, SAMPLES = 12, 4
+REPEATS, SAMPLES = 16, 5
 EDITS = 0.2
 FILTER_BITS = 22
 _FILTER_MASK = np.uint64((1 << FILTER_BITS) - 1)
@@ -104,8 +104,9 @@ def walk_keys(words: np.ndarray, at: np.ndarray, end: np.ndarray, sizes: list[in
 
 
 def sizes_of(n: int) -> list[int]:
-    """Window sizes of an item of n words: the largest classes that fit."""
-    classes, exact = [6], 6 * 2 ** 0.5
+    """Window sizes of an item of n words: the largest classes that fit (6 words, which chance
+    finds in much text, for the shortest items only)."""
+    classes, exact = [6] if n < 12 else [], 6 * 2 ** 0.5
     while round(exact) <= n:
         classes.append(round(exact))
         exact *= 2 ** 0.5
@@ -280,6 +281,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns as they are."""
-    held = contaminated(docs, benchmark, edits).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no benchmark item, columns as they are; rows of other documents do
+    not move."""
+    held = cut_lineage(contaminated(docs, benchmark, edits).select("doc_id").distinct(), "held")
+    return without(docs, "doc_id", held)

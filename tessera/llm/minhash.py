@@ -339,12 +339,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``rows`` whose ``key`` is not in ``gone`` (key).  Rows that a broadcast bitmap of ``gone`` (4 MB
     at any size) does not know stay where they are; the others are joined exactly."""
-    slot, bit = _slot(key)
+    slot, bit = _slot("key")
     byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
-    known = rows.select("*", slot, bit).join(F.broadcast(id_bitmap(gone, key)), "slot", "left")
-    maybe = F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False))
-    sure = known.filter(~maybe).select(rows.columns)
-    return sure.unionByName(known.filter(maybe).select(rows.columns).join(gone, key, "left_anti").select(rows.columns))
+    known = rows.select(F.struct(*rows.columns).alias("row"), F.col(key).cast("long").alias("key")).select("row", "key", slot, bit) \
+        .join(F.broadcast(id_bitmap(gone, key)), "slot", "left").select("row", "key", F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False)).alias("maybe"))
+    sure = known.filter(~F.col("maybe"))
+    rest = known.filter("maybe").join(gone.select(F.col(key).cast("long").alias("key")), "key", "left_anti").select("row", "key", "maybe")
+    return sure.unionByName(rest).select("row.*")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
