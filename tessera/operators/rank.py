@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.names import q
-from tessera.session import keep
 
 DEFAULT_BUCKETS = 256
 
@@ -110,20 +109,7 @@ def rank_table(df: DataFrame, col: str, by: list[str] | None = None, out: str =
     return pref.select(*by, col, (F.col("_n_before") + (F.col("_n") + F.lit(1.0)) / F.lit(2.0)).alias(out))
 
 
-def size_checked_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                      max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast ``small`` only when a count proves it is bounded; else shuffle join
-    (AQE splits skewed partitions of the big side)."""
-    n = small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
-def with_rank(df: DataFrame, col: str, out: str | None = None, by: list[str] | None = None,
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def with_rank(df: DataFrame, col: str, out: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Attach the average rank of ``col`` (NULL stays NULL) to every row."""
-    out = out or f"{col}_rank"
-    by = list(by or [])
-    rt = keep(rank_table(df, col, by, out=out))
-    return size_checked_join(df, rt, [*by, col], "left", max_broadcast_rows)
+    out, by = out or f"{col}_rank", list(by or [])
+    return join_null_safe(df, rank_table(df, col, by, out=out), [*by, col], "left")

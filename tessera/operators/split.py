@@ -12,7 +12,6 @@ split does not depend on partitioning, task order or retries.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
