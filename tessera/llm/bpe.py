@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm.text import chunks
 
-CACHE = 250_000
+CACHE = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -99,6 +99,10 @@ class _Cache(dict):
         self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Codec:
     def __init__(self, path: str):
@@ -186,15 +190,19 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for piece in chunks(batches):
-            raw = [own.encode(t or "") for t in piece.column(1).to_pylist()]
-            ids = [np.frombuffer(r, dtype="<u4") for r in raw]
-            cols = [piece.column(0), pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(i.tolist()).encode("utf-8")).hexdigest() for i in ids], pa.string())]
-            if with_ids:
-                cols.append(pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for piece in chunks(batches):
+                raw = [own.encode(t or "") for t in piece.column(1).to_pylist()]
+                ids = [np.frombuffer(r, dtype="<u4") for r in raw]
+                cols = [piece.column(0), pa.array([len(i) for i in ids], pa.int64()),
+                        pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+                        pa.array([hashlib.sha256(own.decode(i.tolist()).encode("utf-8")).hexdigest() for i in ids], pa.string())]
+                if with_ids:
+                    cols.append(pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:            # a worker serves other stages too: what it has learnt goes with the task
+            own.words.forget()
+            own.pieces.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
