@@ -312,12 +312,15 @@ def interval_rejects(df: DataFrame, rules: dict) -> DataFrame:
 
 
 def dropna_any(df: DataFrame, cols=None) -> DataFrame:
-    """Blank strings count as missing; drop rows with any NULL."""
+    """Blank strings count as missing; drop rows with any NULL.
+
+    The cells leave as the one row of a generator: a filter on a plain projection is pushed below it
+    and below those that made ``df``, and then derives every cell again for each time it is named."""
     cols = cols if cols is not None else df.columns
     strs = set(string_columns(df))
-    df = df.select(*[F.when(trim_ws(F.col(q(c))) == "", F.lit(None)).otherwise(F.col(q(c))).alias(c)
-                     if c in strs else F.col(q(c)) for c in df.columns])
-    return df.dropna(how="any", subset=list(cols))
+    cells = [F.when(trim_ws(F.col(q(c))) == "", F.lit(None)).otherwise(F.col(q(c))).alias(c)
+             if c in strs else F.col(q(c)).alias(c) for c in df.columns]
+    return df.select(F.inline(F.array(F.struct(*cells)))).dropna(how="any", subset=list(cols))
 
 
 def cast_types(df: DataFrame, categorical) -> DataFrame:
