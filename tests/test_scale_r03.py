@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -92,3 +93,16 @@ def test_cross_validation_shares_fits(spark, noisy, monkeypatch):
         parts = [ML.predict(ML.fit(df.filter(F.col("fold") != f), ["a", "b", "c"], r.algorithm, p), df.filter(F.col("fold") == f))
                  .agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] for f in range(3)]
         assert (r.mean_accuracy, r.min_accuracy, r.max_accuracy) == pytest.approx((sum(parts) / 3, min(parts), max(parts)), abs=1e-12)
+
+
+def test_knn_requests_leave_in_pieces():
+    """Where no cell can be excluded, a piece of requests is bounded in numbers whatever the number of cells."""
+    rng = np.random.default_rng(2)
+    pivots, queries = rng.normal(size=(3000, 64)), rng.normal(size=(500, 64))
+    batch = pd.DataFrame({"qid": np.arange(500), "vec": list(queries), "cell": np.arange(500) % 3000, "r": np.inf})
+    seen = set()
+    for out in K._other_cells(pivots, np.full(3000, 1.0))([batch]):
+        assert len(out) * 64 <= K.PIECE
+        seen.update(zip(out["qid"], out["cell"]))
+        assert all(v is queries[i] or np.array_equal(v, queries[i]) for i, v in list(zip(out["qid"], out["vec"]))[:3])
+    assert seen == {(i, c) for i in range(500) for c in range(3000) if c != i % 3000}
