@@ -5,9 +5,10 @@
 * Spearman = Pearson on average ranks over the rows where both columns have values.  Columns with
   the same NULL pattern (known from the Gram masks) share one ranking; for two patterns the
   ranks are taken over the rows that have both.  All columns of all such contexts are
-  ranked in one long-form job (``rank.py``: no single-task order), and one regroup by
-  row gives the rank vectors of a context, which another Gram-like pass adds up.  So the number of
-  jobs does not depend on the number of columns.
+  ranked in one long-form job (``rank.py``: no single-task order).  Ranks of columns with few values
+  are looked up where the rows are (``LOOKUP``); the others are joined and regrouped by row.  A
+  Gram-like pass adds up the rank vectors of a context.  So the number of jobs does not depend on
+  the number of columns.
 * VIF = diag(R^-1) of the correlation matrix R; the p x p inverse runs on the driver.
 """
 
@@ -47,15 +48,23 @@ def _contexts(masks: np.ndarray, pairs) -> list[tuple[int, int, list[int]]]:
     return [(a, b, sorted(c)) for (a, b), c in sorted(out.items())]
 
 
-def _rank_sums(width: dict[int, list[int]]):
-    """Sums over rows of products of ranks (off their mean) of a context's columns."""
+#: (context, column) pairs of few values, up to so many in all, have their ranks looked up in the tasks
+LOOKUP = 100_000
+
+
+def _rank_sums(width: dict[int, list[int]], tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
+    """Sums over rows of products of ranks (off their mean) of a context's columns.  Rows bring the
+    ranks of the columns that have no table, and all their values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ctx = batch.column(0).to_numpy()
-            ranks = batch.column(1)
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            ranks = batch.column(2)
             cell = ranks.flatten()
-            col, value = cell.field(0).to_numpy(), cell.field(1).to_numpy(zero_copy_only=False)
+            col, value = cell.field(0).to_numpy(zero_copy_only=False), cell.field(1).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ranks.offsets.to_numpy()))
             for c in np.unique(ctx):
                 cols = width[int(c)]
@@ -65,6 +74,10 @@ def _rank_sums(width: dict[int, list[int]]):
                 mine = np.isin(row, here)
                 x = np.zeros((len(here), len(cols)))
                 x[np.searchsorted(here, row[mine]), place[col[mine]]] = value[mine]
+                for k, i in enumerate(cols):
+                    if (int(c), i) in tables:
+                        known, rank = tables[int(c), i]
+                        x[:, k] = rank[np.searchsorted(known, values[here, i])]
                 part = x.T @ x
                 sums[int(c)] = part if int(c) not in sums else sums[int(c)] + part
         for c, part in sums.items():
@@ -73,6 +86,50 @@ def _rank_sums(width: dict[int, list[int]]):
     return run
 
 
+def _rank_vectors(stacked: DataFrame, rows: DataFrame, ranks: DataFrame, contexts, tables, plan) -> DataFrame:
+    """(ctx, v, ranks) per context and row: the values, and the ranks of the columns without a table."""
+    wanted = {k: [i for i in c if (k, i) not in tables] for k, (_, _, c) in enumerate(contexts)}
+    one, many, none = ([k for k, c in wanted.items() if test(len(c))] for test in (lambda n: n == 1, lambda n: n > 1, lambda n: n == 0))
+    rank = F.struct("col", (F.col("rank") - F.col("middle")).alias("r"))
+    parts = []
+    for keys in (one, many):
+        if keys:
+            looked = F.array(*[F.struct(F.lit(k).alias("ctx"), F.lit(i).alias("col")) for k in keys for i in wanted[k]])
+            found = stacked.filter(F.array_contains(looked, F.struct("ctx", "col"))).join(ranks, ["ctx", "col", "value"])
+            parts.append(found.select("ctx", "v", F.array(rank).alias("ranks")) if keys is one else
+                         found.groupBy("ctx", "row").agg(F.any_value("v").alias("v"), F.collect_list(rank).alias("ranks")).drop("row"))
+    if none:
+        parts.append(rows.select("v", F.explode(plan).alias("c")).filter(F.col("c.ctx").isin(none))
+                     .filter(F.get("v", F.col("c.a")).isNotNull() & F.get("v", F.col("c.b")).isNotNull())
+                     .select("c.ctx", "v", F.array().cast("array<struct<col:int,r:double>>").alias("ranks")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _tables(ranks: DataFrame, contexts, known) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Values in order and their ranks off the mean, of the (context, column) pairs with the fewest values,
+    at most LOOKUP values in all.  A value that many rows hold is then no key of a join."""
+    sizes = {(r["ctx"], r["col"]): r["n"] for r in ranks.groupBy("ctx", "col").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, room = [], LOOKUP
+    for key, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        if n > room:
+            break
+        taken.append(key)
+        room -= n
+    if not taken:
+        return {}
+    few = F.array(*[F.struct(F.lit(k).alias("ctx"), F.lit(i).alias("col")) for k, i in taken])
+    got = ranks.filter(F.array_contains(few, F.struct("ctx", "col"))).toPandas()
+    out = {}
+    for (k, i), part in got.groupby(["ctx", "col"]):
+        a, b, _ = contexts[k]
+        part = part.sort_values("value")
+        out[int(k), int(i)] = part["value"].to_numpy(), part["rank"].to_numpy() - (known.n[a, b] + 1) / 2
+    return out
+
+
 def rank_correlations(df: DataFrame, cols, pairs) -> list[tuple[int, int, float | None, int]]:
     """(i, j, r, n) of each wanted pair of column positions."""
     cols = list(cols)
@@ -89,12 +146,12 @@ def rank_correlations(df: DataFrame, cols, pairs) -> list[tuple[int, int, float
         stacked = rows.select("row", "v", F.explode(plan).alias("c")) \
             .filter(F.get("v", F.col("c.a")).isNotNull() & F.get("v", F.col("c.b")).isNotNull()) \
             .select("row", "v", "c.ctx", "c.n", F.explode("c.cols").alias("col")) \
-            .select("row", "ctx", "col", ((F.col("n") + 1) / 2).alias("middle"), F.get("v", F.col("col")).alias("value"))
+            .select("row", "v", "ctx", "col", ((F.col("n") + 1) / 2).alias("middle"), F.get("v", F.col("col")).alias("value"))
         ranks = cut_lineage(rank_table(stacked.select("ctx", "col", "value"), "value", ["ctx", "col"], "rank"), "ranks")
-        vectors = stacked.join(ranks, ["ctx", "col", "value"]).groupBy("ctx", "row") \
-            .agg(F.collect_list(F.struct("col", (F.col("rank") - F.col("middle")).alias("r"))).alias("ranks"))
-        sums = vectors.select("ctx", "ranks").mapInArrow(_rank_sums({k: c for k, (_, _, c) in enumerate(contexts)}),
-                                                         "ctx int, part array<double>") \
+        tables = _tables(ranks, contexts, known)
+        vectors = _rank_vectors(stacked, rows, ranks, contexts, tables, plan)
+        sums = vectors.select("ctx", "v", "ranks").mapInArrow(_rank_sums({k: c for k, (_, _, c) in enumerate(contexts)}, tables),
+                                                              "ctx int, part array<double>") \
             .groupBy("ctx").agg(Summarizer.sum(array_to_vector("part")).alias("part")).collect()
         for s in sums:
             a, b, c = contexts[s["ctx"]]

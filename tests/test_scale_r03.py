@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tessera.operators import clean as C
+from tessera.operators import correlation as R
 from tessera.operators import knn as K
 from tessera.operators import models as ML
 from tessera.session import cut_lineage, scratch_path
@@ -106,3 +107,24 @@ def test_knn_requests_leave_in_pieces():
         seen.update(zip(out["qid"], out["cell"]))
         assert all(v is queries[i] or np.array_equal(v, queries[i]) for i, v in list(zip(out["qid"], out["vec"]))[:3])
     assert seen == {(i, c) for i in range(500) for c in range(3000) if c != i % 3000}
+
+
+@pytest.mark.parametrize("room", [0, 40, 100_000])
+def test_spearman_same_for_any_lookup(spark, monkeypatch, room):
+    """Looked-up and joined ranks give pandas' Spearman; columns of few values are no keys of a join."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"few": rng.integers(0, 4, 300).astype(float), "many": rng.normal(size=300), "same": 4.0, "more": rng.normal(size=300)})
+    pdf["many"] += pdf["few"]
+    pdf.loc[pdf.index % 7 == 0, "more"] = np.nan
+    pdf.loc[pdf.index % 5 == 0, "few"] = np.nan
+    pdf.loc[1, "few"] = -0.0
+    seen = []
+    vectors = R._rank_vectors
+    monkeypatch.setattr(R, "LOOKUP", room)
+    monkeypatch.setattr(R, "_rank_vectors", lambda *a: seen.append(a[4]) or vectors(*a))
+    got = {(r.a, r.b): (r.r, r.n) for r in R.spearman_pairs(spark.createDataFrame(pdf), list(pdf.columns)).collect()}
+    for (a, b), (r, n) in got.items():
+        both = pdf[[a, b]].dropna()
+        assert n == len(both)
+        assert r is None if "same" in (a, b) else r == pytest.approx(both[a].rank().corr(both[b].rank()), abs=1e-12)
+    assert len(seen[0]) > 0 if room else not seen[0]
