@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.text import chunks
+from tessera.llm.text import chunks, give_back
 
 CACHE = 150_000
 
@@ -81,6 +82,10 @@ def merge_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
     return [t for t in symbols if t >= 0]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Cache(dict):
     """Results by key in two generations of at most ``CACHE`` entries: when the young one is
     full it becomes the old one, and entries used again move up.  Bounds memory only."""
@@ -130,24 +135,21 @@ class Codec:
         self.words = _Cache(self.word_ids)
         self.pieces = _Cache(self.piece_ids)
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
         """Ids of a normalised word."""
         symbols = [self.byte[b] for b in word.encode("utf-8")]
         symbols[-1] = self.last_byte[word.encode("utf-8")[-1]]
-        return merge_symbols(symbols, self.merges)
+        return _packed(merge_symbols(symbols, self.merges))
 
     def piece_ids(self, piece: str) -> bytes:
         """Ids of a run of characters without white space."""
         if piece.isascii():
-            ids = [i for w in self.pattern.findall(piece.lower()) for i in self.words[w]]
-        elif piece.isalpha() and max(piece) < "\u0130":
-            ids = self.words["".join(c.lower() for c in unicodedata.normalize("NFC", piece))]
-        else:
-            # other signs: which of them are letters or numerals is the library's table to say
-            cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
-            ids = [i for w, _ in cut
-                   for i in merge_symbols([*(self.letter[c] for c in w[:-1]), self.last[w[-1]]], self.merges)]
-        return np.asarray(ids, dtype="<u4").tobytes()
+            return b"".join(map(self.words.__getitem__, self.pattern.findall(piece.lower())))
+        if piece.isalpha() and max(piece) < "\u0130":
+            return self.words["".join(c.lower() for c in unicodedata.normalize("NFC", piece))]
+        # other signs: which of them are letters or numerals is the library's table to say
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return b"".join(_packed(merge_symbols([*(self.letter[c] for c in w[:-1]), self.last[w[-1]]], self.merges)) for w, _ in cut)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -203,6 +205,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         finally:            # a worker serves other stages too: what it has learnt goes with the task
             own.words.forget()
             own.pieces.forget()
+            give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
