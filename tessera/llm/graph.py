@@ -8,36 +8,24 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 
-def _minimum(pairs: DataFrame) -> DataFrame:
-    """(u, m): least of u and its neighbours; map-side combined, so a hub is one row."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (a, b).
 
-    Alternates two star steps until nothing changes.  Large star: every larger neighbour of
-    u is tied to the least of u's neighbourhood; small star: u and its smaller neighbours
-    are tied to the least of them.  The number of rounds grows with the logarithm of the
-    longest path; edges are written to the shared folder each round (repeated ones go in the next
-    round's large star; the last round has none).  A hub's rows meet
-    their minimum in an inner join that Spark may split when it is skewed."""
-    both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    at = cut_lineage(both, "edges")
-    seen = None
+    Alternates two star steps.  Large star: every larger neighbour of u is tied to the least of
+    u's neighbourhood; small star: u and its smaller neighbours are tied to the least of them.
+    Each edge stays one edge in both: the number of edges never grows, so repeated ones need no
+    exchange of their own.  It ends when every node is a root (its neighbours are larger) or a
+    leaf of one root (it has one neighbour, a smaller one).  The number of rounds grows with the
+    logarithm of the longest path; edges and nodes are written to the shared folder each round.
+    A hub's rows meet its least neighbour in an inner join that Spark may split when it is skewed."""
+    at = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     while True:
         either = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (either.join(_minimum(either), "u").filter("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # map-side combined, so a hub is one row
+        near = cut_lineage(either.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most")), "nodes")
+        if near.filter("least < u and least < most").isEmpty():
+            return near.select(F.col("u").alias("node"), F.least("u", "least").alias("component"))
+        large = at.join(near.select(F.col("u").alias("v"), F.least("u", "least").alias("m")), "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u")
-                 .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-                 .select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         at = cut_lineage(small, "edges")
-        now = tuple(at.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")),
-                           F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen:
-            break
-        seen = now
-    roots = at.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
-    return at.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -200,11 +200,11 @@ def _cell_links(width: int, share: tuple[int, int]):
 
 
 def compare_all(over: DataFrame, reps: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b): links between members (bucket, rep, size, component) of different components
+    """(a, b): links between members (bucket, rep, size, hub, component) of different components
     whose buckets are the same or tied by common members: all pairs, in cells of two blocks."""
-    ties = over.join(over.groupBy("bucket").agg(F.min("rep").alias("a")), "bucket").select("a", F.col("rep").alias("b"))
-    cluster = components(ties).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
-    placed = cut_lineage(over.select("rep", "size", "component").distinct().join(cluster, "rep"), "clusters")
+    cluster = components(over.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()) \
+        .withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
+    placed = cut_lineage(over.select("rep", "size", "component").dropDuplicates(["rep"]).join(cluster, "rep"), "clusters")
     blocks = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
                                            .cast("int").alias("blocks"))
     cells = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
@@ -240,13 +240,14 @@ def among(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least share[0] / share[1] in common.
 
-    Pairs carry a salt from b, so the pairs of a hub are dealt to as many tasks as there are
-    shuffle partitions.  Texts are asked for by (doc_id, a, salt): a hub's once per salt, a
-    member's once per pair; a text moves to its requests and from there to its pair."""
+    ``pairs`` is a table that was written before.  Pairs carry a salt from b, so the pairs of a
+    hub are dealt to as many tasks as there are shuffle partitions.  Texts are asked for by
+    doc_id: a hub's once per salt, a member's once per pair; a text moves to its requests and
+    from there to its pair."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cut_lineage(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(n))), "pairs")
-    hubs = cut_lineage(pairs.select(F.col("a").alias("doc_id"), "a", "salt").distinct(), "hubs")
-    left = docs.join(hubs, "doc_id").select("a", "salt", F.col("text").alias("text_a"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(n)))
+    hubs = pairs.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("salt").alias("salts"))       # n at most
+    left = docs.join(hubs, "doc_id").select(F.col("doc_id").alias("a"), F.explode("salts").alias("salt"), F.col("text").alias("text_a"))
     right = docs.join(pairs.withColumn("doc_id", F.col("b")), "doc_id").select("a", "salt", "b", F.col("text").alias("text_b"))
     return left.join(right, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, share), "a long, b long")
 
@@ -283,47 +284,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         y = small.select("bucket", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("comp_b"))
         return x.join(y, "bucket").filter("a < b and comp_a <> comp_b").filter(alike("size_a", "size_b")).select("a", "b")
 
-    def torn(rows: DataFrame, found: DataFrame) -> DataFrame:
+    def torn(rows: DataFrame, found: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+        # rows of buckets with members of different components, last: (ties, rep) of the latest of hubs
         placed = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
             .withColumn("component", F.coalesce("component", "rep"))
-        apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q")
-        return cut_lineage(placed.join(apart.select("bucket"), "bucket"), "torn")
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("bucket")
+        apart = apart.withColumn("last", F.lit(None).cast("struct<ties: bigint, rep: bigint>")) if hubs is None else \
+            apart.join(hubs.select("bucket", F.struct("ties", "rep").alias("last")), "bucket", "left")
+        return cut_lineage(placed.join(apart, "bucket"), "torn")
+
+    def next_hub(over: DataFrame) -> DataFrame:
+        # per bucket the member of most ties that has not been its hub: hubs come in falling order of (ties, rep)
+        left = over.filter("rep <> hub").filter(F.col("last").isNull() | (F.struct("ties", "rep") < F.col("last")))
+        best = left.groupBy("bucket").agg(F.max(F.struct("ties", "rep", "size", "component")).alias("top"))
+        return cut_lineage(best.select("bucket", "top.*"), "hubs")
 
     members = bucketed(reps.select("rep", "size", "bins").mapInArrow(_band(bands, rows), "rep long, size long, keys array<long>")
                        .select("rep", "size", F.posexplode("keys").alias("band", "key"))
                        .select(F.xxhash64("band", "key").alias("bucket"), "rep", "size"))
     asked = id_bitmap(members, "rep")        # every pair below is of members
     texts = cut_lineage(among(docs, "doc_id", asked), "texts")
-    first = stars(members).distinct()
+    first = cut_lineage(stars(members).distinct(), "pairs")
     copies = known.join(groups.filter("n > 1").select("digest", "rep"), "digest").filter("doc_id <> rep") \
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = cut_lineage(confirm(first, texts, width, share).unionByName(copies), "links")
-    found = cut_lineage(components(edges), "components")
+    found = components(edges)
 
     def joined(found: DataFrame, more: DataFrame) -> DataFrame:
-        return cut_lineage(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "components")
+        return components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     known_reps = among(reps, "rep", asked)
     a, b = (known_reps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
-    ties = members.groupBy("rep").agg(F.sum("n").alias("ties"))
-    left = torn(members, found)
-    tried = left.select("bucket", F.col("hub").alias("rep")).distinct()
+    left = torn(members.join(members.groupBy("rep").agg(F.sum("n").alias("ties")), "rep"), found)
     for round_ in range(HUBS):
         over = left.filter(F.col("n") > FEW)
-        central = over.join(tried, ["bucket", "rep"], "left_anti").join(ties, "rep").groupBy("bucket") \
-            .agg(F.max(F.struct("ties", "rep", "size", "component")).alias("top")).select("bucket", "top.*")
-        central = cut_lineage(central.toDF("bucket", "ties", "top", "top_size", "top_component"), "hubs")
-        rest = over.join(central, "bucket").filter("component <> top_component").filter(alike("size", "top_size")) \
+        central = next_hub(over)
+        rest = over.join(central.select("bucket", F.col("rep").alias("top"), F.col("size").alias("top_size"),
+                                        F.col("component").alias("top_component")), "bucket") \
+            .filter("component <> top_component").filter(alike("size", "top_size")) \
             .select(F.least("top", "rep").alias("a"), F.greatest("top", "rep").alias("b"))
         rest = (rest if round_ else rest.unionByName(few(left))).distinct().join(first, ["a", "b"], "left_anti")
         rest = rest.join(a, "a").join(b, "b").select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b") \
             .mapInArrow(_likely(share), "a long, b long")
+        rest = cut_lineage(rest, "pairs")
+        if rest.isEmpty():
+            break
         more = cut_lineage(confirm(rest, texts, width, share), "links")
         if more.isEmpty():
             break
         found = joined(found, more)
-        left = torn(left.drop("component"), found)
-        tried = tried.unionByName(central.select("bucket", F.col("top").alias("rep")))
+        left = torn(over.drop("component", "last"), found, central)
     over = left.filter(F.col("n") > FEW)
     if not over.isEmpty():
         more = cut_lineage(compare_all(over, known_reps, texts, width, share), "links")
