@@ -272,8 +272,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
             .groupBy("doc_id", "item_id", "words", F.floor(start / 8).alias("region")).agg(F.min(start).alias("start")))
     asks = cut_lineage(near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "words")).alias("asks")), "candidates")
     texts = among(docs, "doc_id", id_bitmap(asks, "doc_id")).join(asks, "doc_id").select("doc_id", "text", "asks")
-    places = texts.mapInArrow(_stretches(edits), "doc_id long, item_id long, exact binary, about binary")
-    pairs = places.join(items.mapInArrow(_item_words, "item_id long, item binary"), "item_id") \
+    # written, so that no stage has two Python steps: each would keep a worker for every core
+    places = cut_lineage(texts.mapInArrow(_stretches(edits), "doc_id long, item_id long, exact binary, about binary"), "places")
+    pairs = places.join(cut_lineage(items.mapInArrow(_item_words, "item_id long, item binary"), "item_words"), "item_id") \
         .select("doc_id", "item_id", "exact", "about", "item")
     held = pairs.mapInArrow(_verify(edits), "doc_id long, item_id long, distance long, n_words long")
     return held.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("n_words").alias("n_words")) \
