@@ -15,7 +15,8 @@ A text's set is its distinct ``width``-word shingles.  Method:
    whose members are in different components after step 5 are looked at again.  In buckets
    of at most ``FEW`` members all members of different components are compared.  Larger ones
    get up to ``HUBS`` further hubs, first the member that shares most buckets with others
-   (of many copies of one text: that text), as long as new links are found;
+   (of many copies of one text: that text), as long as new links are found and their members
+   are more than ``AT_ONCE`` blocks of step 7;
 7. the members of larger buckets that are still apart are compared all with all: buckets
    that share members make a cluster, a cluster's members are dealt to blocks, and each pair
    of blocks is one cell.  A cell finds the members that are likely linked to one of another
@@ -38,19 +39,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.graph import components
+from tessera.llm.graph import labels, star_forest, turned
 from tessera.llm.text import SPACE, chunks, mix64, salts, shingle_sets, small_batches, utf8
 from tessera.session import cut_lineage
 
 BANDS, ROWS = 40, 5
 FEW, HUBS = 16, 4
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20     # members and shingles of a block on average
+AT_ONCE = 8                              # blocks that are compared all with all before any further hub
 SLOTS, SLOT_BITS = 1024, 32768           # SLOT_BITS is the size of Spark's bitmaps
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bins binary"
@@ -199,10 +202,17 @@ def _cell_links(width: int, share: tuple[int, int]):
     return run
 
 
+def at_once(over: DataFrame) -> bool:
+    """Whether the members (rep, size) are of ``AT_ONCE`` blocks at most: all their pairs are then
+    few cells, less work than a round of hubs and the search for components after it."""
+    left = over.dropDuplicates(["rep"]).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return max(left["n"] / BLOCK, left["size"] / BLOCK_SHINGLES) <= AT_ONCE
+
+
 def compare_all(over: DataFrame, reps: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """(a, b): links between members (bucket, rep, size, hub, component) of different components
     whose buckets are the same or tied by common members: all pairs, in cells of two blocks."""
-    cluster = components(over.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()) \
+    cluster = labels(star_forest(turned(over.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))) \
         .withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster")
     placed = cut_lineage(over.select("rep", "size", "component").dropDuplicates(["rep"]).join(cluster, "rep"), "clusters")
     blocks = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
@@ -284,20 +294,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         y = small.select("bucket", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("comp_b"))
         return x.join(y, "bucket").filter("a < b and comp_a <> comp_b").filter(alike("size_a", "size_b")).select("a", "b")
 
-    def torn(rows: DataFrame, found: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
-        # rows of buckets with members of different components, last: (ties, rep) of the latest of hubs
+    def torn(rows: DataFrame, found: DataFrame) -> DataFrame:
+        # rows of buckets with members of different components, top: the next hub of a larger one, the member of
+        # most ties that has not been its hub (hubs come in falling order of (ties, rep), last is the latest)
         placed = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
             .withColumn("component", F.coalesce("component", "rep"))
-        apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("bucket")
-        apart = apart.withColumn("last", F.lit(None).cast("struct<ties: bigint, rep: bigint>")) if hubs is None else \
-            apart.join(hubs.select("bucket", F.struct("ties", "rep").alias("last")), "bucket", "left")
-        return cut_lineage(placed.join(apart, "bucket"), "torn")
-
-    def next_hub(over: DataFrame) -> DataFrame:
-        # per bucket the member of most ties that has not been its hub: hubs come in falling order of (ties, rep)
-        left = over.filter("rep <> hub").filter(F.col("last").isNull() | (F.struct("ties", "rep") < F.col("last")))
-        best = left.groupBy("bucket").agg(F.max(F.struct("ties", "rep", "size", "component")).alias("top"))
-        return cut_lineage(best.select("bucket", "top.*"), "hubs")
+        new = (F.col("n") > FEW) & (F.col("rep") != F.col("hub")) & (F.col("last").isNull() | (F.struct("ties", "rep") < F.col("last")))
+        apart = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"),
+                                             F.max(F.when(new, F.struct("ties", "rep", "size", "component"))).alias("top"))
+        return cut_lineage(placed.join(apart.filter("p < q").select("bucket", "top"), "bucket"), "torn")
 
     members = bucketed(reps.select("rep", "size", "bins").mapInArrow(_band(bands, rows), "rep long, size long, keys array<long>")
                        .select("rep", "size", F.posexplode("keys").alias("band", "key"))
@@ -307,39 +312,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     first = cut_lineage(stars(members).distinct(), "pairs")
     copies = known.join(groups.filter("n > 1").select("digest", "rep"), "digest").filter("doc_id <> rep") \
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    edges = cut_lineage(confirm(first, texts, width, share).unionByName(copies), "links")
-    found = components(edges)
+    forest = star_forest(turned(confirm(first, texts, width, share).unionByName(copies)))
 
-    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
-        return components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    def with_links(forest: DataFrame, more: DataFrame) -> DataFrame:
+        return turned(forest.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more))
 
     known_reps = among(reps, "rep", asked)
     a, b = (known_reps.select(F.col("rep").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
-    left = torn(members.join(members.groupBy("rep").agg(F.sum("n").alias("ties")), "rep"), found)
-    for round_ in range(HUBS):
-        over = left.filter(F.col("n") > FEW)
-        central = next_hub(over)
-        rest = over.join(central.select("bucket", F.col("rep").alias("top"), F.col("size").alias("top_size"),
-                                        F.col("component").alias("top_component")), "bucket") \
+
+    def central(over: DataFrame) -> DataFrame:
+        # the pairs of a larger bucket's next hub with members of other components
+        return over.select("rep", "size", "component", F.col("top.rep").alias("top"), F.col("top.size").alias("top_size"),
+                           F.col("top.component").alias("top_component")) \
             .filter("component <> top_component").filter(alike("size", "top_size")) \
             .select(F.least("top", "rep").alias("a"), F.greatest("top", "rep").alias("b"))
-        rest = (rest if round_ else rest.unionByName(few(left))).distinct().join(first, ["a", "b"], "left_anti")
-        rest = rest.join(a, "a").join(b, "b").select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b") \
-            .mapInArrow(_likely(share), "a long, b long")
-        rest = cut_lineage(rest, "pairs")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(pairs.distinct().join(first, ["a", "b"], "left_anti").join(a, "a").join(b, "b")
+                           .select("a", "b", F.least("size_a", "size_b").alias("least"), "bins_a", "bins_b")
+                           .mapInArrow(_likely(share), "a long, b long"), "pairs")
+
+    ties = members.groupBy("rep").agg(F.sum("n").alias("ties"))
+    left = torn(members.join(ties, "rep").withColumn("last", F.lit(None).cast("struct<ties: bigint, rep: bigint>")), labels(forest))
+    small, more = few(left), []              # small: pairs that no round has taken along yet
+    for _ in range(HUBS):
+        over = left.filter(F.col("n") > FEW)
+        if at_once(over):
+            break
+        rest = likely(central(over) if small is None else central(over).unionByName(small))
+        small = None
         if rest.isEmpty():
             break
-        more = cut_lineage(confirm(rest, texts, width, share), "links")
-        if more.isEmpty():
+        grown = with_links(forest, confirm(rest, texts, width, share))
+        if grown.count() == forest.count():          # no link was found
             break
-        found = joined(found, more)
-        left = torn(over.drop("component", "last"), found, central)
+        forest = star_forest(grown)
+        latest = F.when(F.col("top").isNotNull(), F.struct("top.ties", "top.rep")).otherwise(F.col("last"))
+        left = torn(over.withColumn("last", latest).drop("component", "top"), labels(forest))
+    rest = None if small is None else likely(small)
+    if rest is not None and not rest.isEmpty():
+        more.append(confirm(rest, texts, width, share))
     over = left.filter(F.col("n") > FEW)
     if not over.isEmpty():
-        more = cut_lineage(compare_all(over, known_reps, texts, width, share), "links")
-        if not more.isEmpty():
-            found = joined(found, more)
+        more.append(compare_all(over, known_reps, texts, width, share))
+    if more:
+        forest = star_forest(with_links(forest, reduce(DataFrame.unionByName, more)))
 
+    found = labels(forest)
     out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
