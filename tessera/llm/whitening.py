@@ -10,7 +10,10 @@ and the tasks' small sums are added on an executor.
 3. cycles on a block of k + ``GUARD`` columns.  A cycle damps the unwanted part of the spectrum,
    from its lower bound to the least Ritz value, by a Chebyshev polynomial of V (one pass per
    degree, three-term recurrence scaled so that nothing overflows), then QR, one pass V Q and
-   Rayleigh-Ritz on the small Q' V Q;
+   Rayleigh-Ritz on the small Q' V Q.  The polynomial raises the largest eigenvalue above the others
+   by ``RANGE`` at most, or the others' digits would be lost in it: where an eigenvalue stands far
+   out the degree is less until its vector is found (residual ``HELD``), which then is held as it is
+   while the others are filtered at right angles to it;
 4. certificate: the k residuals |V q - e q| are within ``TOLERANCE`` of the largest eigenvalue, or
    have stopped falling below ``FLOOR`` of it; then fresh random columns, filtered in the same way
    and kept orthogonal to the block, must hold no Ritz value above the k-th (a direction that the
@@ -47,6 +50,7 @@ from tessera.session import cut_lineage
 COMPONENTS, GUARD, PROBES = 8, 12, 4
 BOUNDS, DEGREE, CYCLES = 10, 10, 40
 TOLERANCE, FLOOR = 2e-14, 1e-10
+RANGE, HELD = 1e8, 2e-13
 PIECE = 16384
 LARGEST = float(1 << 52)
 
@@ -163,20 +167,27 @@ def spectrum_bounds(times, d: int, rng: np.random.Generator) -> tuple[float, flo
     return max(0.0, float(ritz[0]) - off[-1]), float(ritz[-1]) + off[-1]
 
 
-def chebyshev(times, q: np.ndarray, first: np.ndarray, low: float, cut: float, top: float, degree: int) -> np.ndarray:
+def chebyshev(times, q: np.ndarray, first: np.ndarray, low: float, cut: float, top: float, degree: int,
+              within=lambda p: p) -> np.ndarray:
     """The polynomial of the given degree of V times Q: at most 1 on [low, cut], steeply growing
-    above, scaled to 1 at ``top``.  ``first`` is V Q."""
+    above, scaled to 1 at ``top``.  ``first`` is V Q.  ``within`` keeps the columns in their space."""
     centre, half = (low + cut) / 2, (cut - low) / 2
     scale = half / (top - centre)
     now, before = (first - centre * q) * (scale / half), q
     step = scale
     for _ in range(1, degree):
         following = 1 / (2 / scale - step)
-        now, before = (times(now) - centre * now) * (2 * following / half) - (step * following) * before, now
+        now, before = within((times(now) - centre * now) * (2 * following / half) - (step * following) * before), now
         step = following
     return now
 
 
+def degree_for(value: float, low: float, cut: float) -> int:
+    """The degree at which the polynomial is ``RANGE`` at ``value``, from 1 to ``DEGREE``."""
+    far = (value - (low + cut) / 2) / ((cut - low) / 2)
+    return DEGREE if far <= 1 else int(min(DEGREE, max(1, np.log(2 * RANGE) // np.arccosh(far))))
+
+
 @dataclass
 class Components:
     """Eigenvalues by fall, unit eigenvectors (columns), and the residuals and passes behind them."""
@@ -218,7 +229,7 @@ def leading(times, d: int, k: int = COMPONENTS, guard: int = GUARD, seed: int =
             probe = rng.normal(size=(d, min(PROBES, d - size)))
             out = lambda p: p - q @ (q.T @ p)
             probe = out(out(probe))
-            probe = chebyshev(lambda p: out(counted(p)), probe, out(counted(probe)), low, max(values[-1], low + 1e-9 * top), top, DEGREE)
+            probe = chebyshev(lambda p: out(counted(p)), probe, out(counted(probe)), low, max(values[-1], low + 1e-9 * top), top, DEGREE, out)
             probe = np.linalg.qr(out(probe))[0]
             found = np.linalg.eigvalsh(probe.T @ counted(probe)).max()
             if found <= values[k - 1] * (1 + 1e-9):
@@ -233,7 +244,14 @@ def leading(times, d: int, k: int = COMPONENTS, guard: int = GUARD, seed: int =
             continue
         cut = max(float(values[-1]), low + 1e-9 * top)
         top = max(top, float(values[0]) * (1 + 1e-9))
-        values, q, vq = ritz(np.linalg.qr(chebyshev(counted, q, vq, low, cut, top, DEGREE))[0])
+        held = 0
+        while held < k and residual[held] <= HELD * values[0] and degree_for(values[held], low, cut) < DEGREE:
+            held += 1
+        known = q[:, :held]
+        away = lambda p: p - known @ (known.T @ p)
+        rest = chebyshev(lambda p: away(counted(p)), q[:, held:], away(vq[:, held:]), low, cut, max(float(values[held]), cut) if held else top,
+                         degree_for(values[held], low, cut), away)
+        values, q, vq = ritz(np.linalg.qr(np.column_stack([known, rest]))[0])
     raise ArithmeticError(f"no convergence in {CYCLES} cycles: residual {worst:.1e} of the largest eigenvalue")
 
 
