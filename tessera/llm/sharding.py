@@ -5,7 +5,9 @@ most one apart; under it, links between shards are to be few.
 
 1. each row of the table gets a row number, and its text's size and digests; only these move
    from here on.  Linked rows (those that share a digest) begin in a shard by the hash of their
-   row number;
+   row number.  Texts with more copies than a shard has places (fewer texts than shards) take no
+   part in the rounds: their rows are numbered and fill one shard after the other, the rest of
+   the linked rows begins in the places that are left;
 2. rounds of label propagation.  A linked row's neighbours in a shard are the rows of its digest
    there, counted by (digest, shard) with partial sums: a text that fills a third of the table is
    one row per shard here.  Every row wants to go to the shard with most of its neighbours among
@@ -17,7 +19,7 @@ most one apart; under it, links between shards are to be few.
    a hash threshold, groups that are large against the room row by row.  The admitted
    moves are joined to the rows and the table is written; the rounds end when no row
    wants to move, after ``ROUNDS`` at the latest;
-4. levelling: rows of each shard are numbered (whole groups first, torn ones next); those
+4. levelling: rows of each shard are numbered (those that fill shards, whole groups, torn ones); those
    beyond the shard's share, and all single rows, are numbered once more and dealt to the
    places that are left.  The numbers are the slots.
 
@@ -124,6 +126,21 @@ def numbered(rows: DataFrame, group: str, first: Column, buckets: int = BUCKETS)
         .withColumn("number", (F.col("offset") + F.col("inside")).cast("long")).drop("bucket", "inside", "offset")
 
 
+def filled(rows: DataFrame, copies: DataFrame, quota: list[int]) -> tuple[DataFrame | None, list[int]]:
+    """(row, digest, shard) of the texts that no shard can hold, and the rows of them in each
+    shard.  There are fewer such texts than shards."""
+    large = copies.filter(F.col("copies") > max(quota)).orderBy(F.desc("copies"), "digest").collect()
+    if not large:
+        return None, [0] * len(quota)
+    before = [sum(r["copies"] for r in large[:i]) for i in range(len(large) + 1)]
+    ends = [sum(quota[:s + 1]) for s in range(len(quota))]
+    which = F.array_position(F.array(*[F.lit(bytes(r["digest"])) for r in large]), F.col("digest")).cast("int") - 1
+    number = numbered(rows.filter(F.col("copies") > max(quota)).select("row", "digest", which.alias("text")), "text", F.lit(0))
+    place = F.col("number") + _pick(before[:-1], F.col("text"))
+    shard = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= place)).alias("shard")
+    return cut_lineage(number.select("row", "digest", shard), "filled"), [max(0, min(q, before[-1] - (e - q))) for q, e in zip(quota, ends)]
+
+
 def shards(docs: DataFrame, n: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) per row of ``docs``."""
     rows = cut_lineage(described(docs), "rows")
@@ -131,15 +148,25 @@ def shards(docs: DataFrame, n: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     rows = cut_lineage(rows.join(copies, "digest", "left"), "counted")
 
-    linked = rows.filter("copies is not null").select("row", "digest", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("shard"))
-    linked = propagate(linked, quota, rounds)
+    fixed, taken = filled(rows, copies, quota)
+    free = [q - t for q, t in zip(quota, taken)]
+    begin = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    if fixed is not None:
+        ends = [sum(free[:s + 1]) for s in range(n)]
+        place = F.pmod(F.xxhash64("row"), F.lit(max(ends[-1], 1)))
+        begin = F.least(F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= place)), F.lit(n - 1))
+    linked = rows.filter(F.col("copies").isNotNull() & (F.lit(fixed is None) | (F.col("copies") <= max(quota)))) \
+        .select("row", "digest", begin.alias("shard"))
+    linked = propagate(linked, free, rounds)
     torn = linked.groupBy("digest", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("digest") \
         .agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    linked = cut_lineage(numbered(linked.join(torn, "digest", "left").select("row", "shard", "parts"), "shard",
-                                  F.when(F.col("parts").isNull(), 0).otherwise(1)).select("row", "shard", "number"), "numbered")
+    linked = linked.join(torn, "digest", "left").select("row", "shard", F.when(F.col("parts").isNull(), 1).otherwise(2).alias("first"))
+    if fixed is not None:
+        linked = linked.unionByName(fixed.select("row", "shard", F.lit(0).alias("first")))
+    linked = cut_lineage(numbered(linked, "shard", F.col("first")).select("row", "shard", "number"), "numbered")
     stays = F.col("number") < _pick(quota, F.col("shard"))
     kept = {r["shard"]: r["n"] for r in linked.filter(stays).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ends, total = [], 0
+    ends, total = [], 0                      # of the places that are left
     for s in range(n):
         total += quota[s] - kept.get(s, 0)
         ends.append(total)
