@@ -3,12 +3,12 @@
 * Pearson coefficients and VIF come from one masked Gram pass (``gram.py``), whatever the number
   of columns.
 * Spearman = Pearson on average ranks over the rows where both columns have values.  Columns with
-  the same NULL pattern (known from the Gram masks) share one ranking; for two patterns the
-  ranks are taken over the rows that have both.  All columns of all such contexts are
-  ranked in one long-form job (``rank.py``: no single-task order).  Ranks of columns with few values
-  are looked up where the rows are (``LOOKUP``); the others are joined and regrouped by row.  A
-  Gram-like pass adds up the rank vectors of a context.  So the number of jobs does not depend on
-  the number of columns.
+  the same NULL pattern (known from the Gram masks) share one set of rows; for two patterns the
+  ranks are taken over the rows that have both.  A column is put in order once: its values are counted in
+  all their sets of rows (contexts) side by side, in one long-form job for all columns
+  (``rank.py``: no single-task order).  Ranks of columns with few values are looked up where the rows
+  are (``LOOKUP``); the others are joined and regrouped by row.  A Gram-like pass adds up the rank
+  vectors of each context.  So the number of jobs does not depend on the number of columns.
 * VIF = diag(R^-1) of the correlation matrix R; the p x p inverse runs on the driver.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import q
 from tessera.functions.stats import safe_corr, t_pvalue
 from tessera.operators.gram import TINY, gram
-from tessera.operators.rank import rank_table
+from tessera.operators.rank import ordered_prefix
 from tessera.session import cut_lineage
 
 
@@ -37,136 +37,132 @@ def _long(df: DataFrame, structs, schema: str) -> DataFrame:
     return df.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
 
 
-def _contexts(masks: np.ndarray, pairs) -> list[tuple[int, int, list[int]]]:
-    """(a, b, columns): rows that have a value in both a and b, and the columns ranked over them.
-    One context per pair of NULL patterns that some wanted pair of columns has."""
-    first = [int(np.flatnonzero(masks[i])[0]) for i in range(len(masks))]
+def _contexts(n: np.ndarray, masks: np.ndarray, pairs) -> dict[tuple[int, int], list[int]]:
+    """Columns ranked over the rows that have a value in both a and b, by (a, b): one context per set of rows
+    that some wanted pair of columns has."""
     out: dict[tuple[int, int], set[int]] = {}
     for i, j in pairs:
-        a, b = sorted((first[i], first[j]))
-        out.setdefault((a, b), set()).update((i, j))
-    return [(a, b, sorted(c)) for (a, b), c in sorted(out.items())]
+        out.setdefault(_rows_of(n, masks, i, j), set()).update((i, j))
+    return {c: sorted(out[c]) for c in sorted(out) if n[c] > 0}
 
 
-#: (context, column) pairs of few values, up to so many in all, have their ranks looked up in the tasks
+def _rows_of(n: np.ndarray, masks: np.ndarray, i: int, j: int) -> tuple[int, int]:
+    """The first columns with the NULLs of i and j; one alone where the other has values in all its rows."""
+    a, b = sorted(int(np.flatnonzero(masks[x])[0]) for x in (i, j))
+    if n[a, b] == n[a, a]:
+        return a, a
+    return (b, b) if n[a, b] == n[b, b] else (a, b)
+
+
+#: columns of few values, up to so many in all, have their ranks looked up in the tasks
 LOOKUP = 100_000
 
 
-def _rank_sums(width: dict[int, list[int]], tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
-    """Sums over rows of products of ranks (off their mean) of a context's columns.  Rows bring the
-    ranks of the columns that have no table, and all their values."""
+def _rank_sums(contexts: dict[tuple[int, int], list[int]], places: dict[int, list[int]], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Sums over rows of products of ranks (off their mean) of each context's columns.  Rows bring all their
+    values, and the ranks of the columns that have no table, one for each context of the column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ctx = batch.column(0).to_numpy()
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            ranks = batch.column(2)
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            has = ~np.isnan(values)
+            ranks = batch.column(1)
             cell = ranks.flatten()
-            col, value = cell.field(0).to_numpy(zero_copy_only=False), cell.field(1).to_numpy(zero_copy_only=False)
+            col, own = cell.field(0).to_numpy(zero_copy_only=False), cell.field(1)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ranks.offsets.to_numpy()))
-            for c in np.unique(ctx):
-                cols = width[int(c)]
-                here = np.flatnonzero(ctx == c)
-                place = np.full(max(cols) + 1, -1)
-                place[cols] = np.arange(len(cols))
-                mine = np.isin(row, here)
-                x = np.zeros((len(here), len(cols)))
-                x[np.searchsorted(here, row[mine]), place[col[mine]]] = value[mine]
-                for k, i in enumerate(cols):
-                    if (int(c), i) in tables:
-                        known, rank = tables[int(c), i]
-                        x[:, k] = rank[np.searchsorted(known, values[here, i])]
-                part = x.T @ x
-                sums[int(c)] = part if int(c) not in sums else sums[int(c)] + part
-        for c, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.reshape(-1)], pa.list_(pa.float64()))],
+            numbers, start = own.flatten().to_numpy(zero_copy_only=False), own.offsets.to_numpy()[:-1]
+            start = start - start[:1]
+            x: dict[int, np.ndarray] = {}                    # (contexts of the column, rows)
+            for i, width in ((i, len(p)) for i, p in places.items()):
+                x[i] = np.zeros((width, batch.num_rows))
+                if i in tables:
+                    known, rank = tables[i]
+                    here = np.flatnonzero(has[:, i])
+                    x[i][:, here] = rank[:width, np.searchsorted(known, values[here, i])]
+                else:
+                    mine = np.flatnonzero(col == i)
+                    x[i][:, row[mine]] = numbers[start[mine] + np.arange(width)[:, None]]
+            for k, ((a, b), cols) in enumerate(contexts.items()):
+                here = has[:, a] & has[:, b]
+                part = np.column_stack([x[i][places[i].index(k)][here] for i in cols])
+                part = part.T @ part
+                sums[k] = part if k not in sums else sums[k] + part
+        for k, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.reshape(-1)], pa.list_(pa.float64()))],
                                              names=["ctx", "part"])
     return run
 
 
-def _rank_vectors(stacked: DataFrame, rows: DataFrame, ranks: DataFrame, contexts, tables, plan) -> DataFrame:
-    """(ctx, v, ranks) per context and row: the values, and the ranks of the columns without a table."""
-    wanted = {k: [i for i in c if (k, i) not in tables] for k, (_, _, c) in enumerate(contexts)}
-    one, many, none = ([k for k, c in wanted.items() if test(len(c))] for test in (lambda n: n == 1, lambda n: n > 1, lambda n: n == 0))
-    rank = F.struct("col", (F.col("rank") - F.col("middle")).alias("r"))
-    parts = []
-    for keys in (one, many):
-        if keys:
-            looked = F.array(*[F.struct(F.lit(k).alias("ctx"), F.lit(i).alias("col")) for k in keys for i in wanted[k]])
-            found = stacked.filter(F.array_contains(looked, F.struct("ctx", "col"))).join(ranks, ["ctx", "col", "value"])
-            parts.append(found.select("ctx", "v", F.array(rank).alias("ranks")) if keys is one else
-                         found.groupBy("ctx", "row").agg(F.any_value("v").alias("v"), F.collect_list(rank).alias("ranks")).drop("row"))
-    if none:
-        parts.append(rows.select("v", F.explode(plan).alias("c")).filter(F.col("c.ctx").isin(none))
-                     .filter(F.get("v", F.col("c.a")).isNotNull() & F.get("v", F.col("c.b")).isNotNull())
-                     .select("c.ctx", "v", F.array().cast("array<struct<col:int,r:double>>").alias("ranks")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _tables(ranks: DataFrame, contexts, known) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """Values in order and their ranks off the mean, of the (context, column) pairs with the fewest values,
+def _rank_vectors(stacked: DataFrame, rows: DataFrame, ranks: DataFrame, places, tables) -> DataFrame:
+    """(v, ranks) per row: the values, and the ranks of the columns without a table."""
+    wanted = [i for i in places if i not in tables]
+    none = F.array().cast("array<struct<col:int,r:array<double>>>")
+    if not wanted:
+        return rows.select("v", none.alias("ranks"))
+    found = stacked.filter(F.col("col").isin(wanted)).join(ranks, ["col", "value"]).select("row", "col", "r")
+    many = found.groupBy("row").agg(F.collect_list(F.struct("col", "r")).alias("ranks"))
+    return rows.join(many, "row", "left").select("v", F.coalesce("ranks", none).alias("ranks"))
+
+
+def _tables(ranks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Values in order and their ranks off the mean (context by value) of the columns with the fewest values,
     at most LOOKUP values in all.  A value that many rows hold is then no key of a join."""
-    sizes = {(r["ctx"], r["col"]): r["n"] for r in ranks.groupBy("ctx", "col").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["col"]: r["n"] for r in ranks.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken, room = [], LOOKUP
-    for key, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+    for i, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
         if n > room:
             break
-        taken.append(key)
+        taken.append(i)
         room -= n
     if not taken:
         return {}
-    few = F.array(*[F.struct(F.lit(k).alias("ctx"), F.lit(i).alias("col")) for k, i in taken])
-    got = ranks.filter(F.array_contains(few, F.struct("ctx", "col"))).toPandas()
-    out = {}
-    for (k, i), part in got.groupby(["ctx", "col"]):
-        a, b, _ = contexts[k]
-        part = part.sort_values("value")
-        out[int(k), int(i)] = part["value"].to_numpy(), part["rank"].to_numpy() - (known.n[a, b] + 1) / 2
-    return out
+    out: dict[int, list] = {i: [] for i in taken}
+    for r in ranks.filter(F.col("col").isin(taken)).collect():
+        out[r["col"]].append((r["value"], r["r"]))
+    return {i: (np.array([v for v, _ in sorted(x)]), np.array([r for _, r in sorted(x)]).T) for i, x in out.items()}
 
 
 def rank_correlations(df: DataFrame, cols, pairs) -> list[tuple[int, int, float | None, int]]:
     """(i, j, r, n) of each wanted pair of column positions."""
-    cols = list(cols)
+    cols, pairs = list(cols), list(pairs)
     known = gram(df, cols)
-    contexts = _contexts(known.same_mask(), pairs)
-    contexts = [(a, b, c) for a, b, c in contexts if known.n[a, b] > 0]
-    found: dict[tuple[int, int], float | None] = {}
+    masks = known.same_mask()
+    contexts = _contexts(known.n, masks, pairs)
+    found: dict[tuple[int, int, int, int], float | None] = {}
     if contexts:
-        spark = df.sparkSession
+        # the contexts of each column; its values are counted and ranked in all of them at once
+        places = {i: [k for k, c in enumerate(contexts.values()) if i in c] for i in sorted({i for c in contexts.values() for i in c})}
+        widest = max(map(len, places.values()))
+        keys = list(contexts)
         values = F.array(*[F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")) for c in cols])
         rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), values.alias("v")), "rank_rows")
-        plan = F.array(*[F.struct(F.lit(k).alias("ctx"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(known.n[a, b])).alias("n"),
-                                  F.array(*[F.lit(i) for i in c]).alias("cols")) for k, (a, b, c) in enumerate(contexts)])
-        stacked = rows.select("row", "v", F.explode(plan).alias("c")) \
-            .filter(F.get("v", F.col("c.a")).isNotNull() & F.get("v", F.col("c.b")).isNotNull()) \
-            .select("row", "v", "c.ctx", "c.n", F.explode("c.cols").alias("col")) \
-            .select("row", "v", "ctx", "col", ((F.col("n") + 1) / 2).alias("middle"), F.get("v", F.col("col")).alias("value"))
-        ranks = cut_lineage(rank_table(stacked.select("ctx", "col", "value"), "value", ["ctx", "col"], "rank"), "ranks")
-        tables = _tables(ranks, contexts, known)
-        vectors = _rank_vectors(stacked, rows, ranks, contexts, tables, plan)
-        sums = vectors.select("ctx", "v", "ranks").mapInArrow(_rank_sums({k: c for k, (_, _, c) in enumerate(contexts)}, tables),
-                                                              "ctx int, part array<double>") \
+
+        def counted(i):
+            inside = [F.get("v", F.lit(keys[k][0])).isNotNull() & F.get("v", F.lit(keys[k][1])).isNotNull() for k in places[i]]
+            return F.struct(F.lit(i).alias("col"), F.get("v", F.lit(i)).alias("value"),
+                            F.array(*[x.cast("long") for x in inside], *[F.lit(0).cast("long")] * (widest - len(inside))).alias("inside"))
+        stacked = rows.select("row", F.explode(F.array(*[counted(i) for i in places])).alias("c")).select("row", "c.*") \
+            .filter(F.col("value").isNotNull())
+        weights = [f"n{j}" for j in range(widest)]
+        counts = stacked.groupBy("col", "value").agg(*[F.sum(F.get("inside", F.lit(j))).alias(w) for j, w in enumerate(weights)])
+        middles = F.array(*[F.array(*[F.lit((float(known.n[keys[k]]) + 1) / 2) for k in places.get(i, [])], *[F.lit(0.0)] * (widest - len(places.get(i, []))))
+                            for i in range(len(cols))])
+        rank = [F.col(f"{w}_before") + (F.col(w) + F.lit(1.0)) / F.lit(2.0) - F.get(F.get(middles, F.col("col")), F.lit(j)) for j, w in enumerate(weights)]
+        ranks = cut_lineage(ordered_prefix(counts, "value", weights, ["col"]).select("col", "value", F.array(*rank).alias("r")), "ranks")
+        tables = _tables(ranks)
+        vectors = _rank_vectors(stacked.select("row", "col", "value"), rows, ranks, places, tables)
+        sums = vectors.select("v", "ranks").mapInArrow(_rank_sums(contexts, places, tables), "ctx int, part array<double>") \
             .groupBy("ctx").agg(Summarizer.sum(array_to_vector("part")).alias("part")).collect()
         for s in sums:
-            a, b, c = contexts[s["ctx"]]
+            (a, b), c = keys[s["ctx"]], contexts[keys[s["ctx"]]]
             xx = s["part"].toArray().reshape(len(c), len(c))
             own = np.diag(xx)
             for i, j in combinations(range(len(c)), 2):
                 varies = min(own[i], own[j]) > TINY * known.n[a, b] ** 3
                 found[a, b, c[i], c[j]] = float(np.clip(xx[i, j] / np.sqrt(own[i] * own[j]), -1, 1)) if varies else None
-    first = [int(np.flatnonzero(m)[0]) for m in known.same_mask()]
-    out = []
-    for i, j in pairs:
-        a, b = sorted((first[i], first[j]))
-        lo, hi = sorted((i, j))
-        out.append((i, j, found.get((a, b, lo, hi)), int(known.n[i, j])))
-    return out
+    return [(i, j, found.get((*_rows_of(known.n, masks, i, j), *sorted((i, j)))), int(known.n[i, j])) for i, j in pairs]
 
 
 def spearman_pairs(df: DataFrame, cols, min_abs: float | None = None) -> DataFrame:
